@@ -12,6 +12,13 @@ from .shared import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public vocabulary file, which the tokenizers' package tells."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .digest import edited_fingerprints
 
@@ -40,9 +47,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .best_fit_pack import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op3_document_fingerprints, op5_source_mixing, op6_chat_formatting, op9_sharding,
+        op10_best_fit_packing,
     )}
 
 

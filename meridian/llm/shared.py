@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
@@ -44,3 +48,39 @@ def hash_uniform(*cols: Column, seed: int) -> Column:
     """A number in [0, 1) with 52 bits, decided by the columns and the seed alone."""
     key = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols], F.lit(str(seed)))
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+#: Bytes of text that a kernel works on at a time; a longer document is worked on alone.
+SLICE_BYTES = 4 << 20
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``most`` bytes of text each."""
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    piece = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices start, start + 1, ... of every range, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def rank_within(df: DataFrame, key: str, order: list[str], salts: int = 64) -> DataFrame:
+    """Column ``rank``: 0, 1, ... within each key, where one key may hold most rows.
+
+    Keys are dealt into salts by a hash of the order columns; a small table of counts by key and salt
+    (at most the number of keys times salts) gives where each salt starts. Keys must be few.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    counts = salted.groupBy(key, "_salt").count()
+    before = Window.partitionBy(key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(key, "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    own = Window.partitionBy(key, "_salt").orderBy(*order)
+    numbered = salted.withColumn("_own", F.row_number().over(own) - 1)
+    return numbered.join(F.broadcast(starts), [key, "_salt"]).withColumn("rank", F.col("_start") + F.col("_own")).drop("_salt", "_start", "_own")
