@@ -19,6 +19,13 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_outliers import judge
+
+    judged = judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .digest import edited_fingerprints
 
@@ -55,7 +62,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op3_document_fingerprints, op5_source_mixing, op6_chat_formatting, op9_sharding,
+        op1_quality_rules, op3_document_fingerprints, op5_source_mixing, op6_chat_formatting, op9_sharding,
         op10_best_fit_packing,
     )}
 
