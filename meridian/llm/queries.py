@@ -26,6 +26,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_suffix_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_count", "lines_deleted", "text")
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .digest import edited_fingerprints
 
@@ -68,7 +74,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_quality_rules, op3_document_fingerprints, op4_ngram_jaccard_join, op5_source_mixing, op6_chat_formatting, op9_sharding,
+        op1_quality_rules, op2_line_dedup, op3_document_fingerprints, op4_ngram_jaccard_join, op5_source_mixing, op6_chat_formatting, op9_sharding,
         op10_best_fit_packing,
     )}
 
