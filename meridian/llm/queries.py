@@ -59,6 +59,12 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_chats(rows.unionByName(more)))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney_langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ring_shard import bounded_ring
 
@@ -74,7 +80,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_quality_rules, op2_line_dedup, op3_document_fingerprints, op4_ngram_jaccard_join, op5_source_mixing, op6_chat_formatting, op9_sharding,
+        op1_quality_rules, op2_line_dedup, op3_document_fingerprints, op4_ngram_jaccard_join, op5_source_mixing, op6_chat_formatting, op8_language_id, op9_sharding,
         op10_best_fit_packing,
     )}
 
