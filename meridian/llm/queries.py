@@ -59,6 +59,13 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_chats(rows.unionByName(more)))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pseudo_likelihood import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kneser_ney_langid import identify
 
@@ -80,7 +87,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_quality_rules, op2_line_dedup, op3_document_fingerprints, op4_ngram_jaccard_join, op5_source_mixing, op6_chat_formatting, op8_language_id, op9_sharding,
+        op1_quality_rules, op2_line_dedup, op3_document_fingerprints, op4_ngram_jaccard_join, op5_source_mixing, op6_chat_formatting, op7_lm_scoring, op8_language_id, op9_sharding,
         op10_best_fit_packing,
     )}
 
