@@ -23,6 +23,8 @@ from .shared import materialize
 
 #: Rows of a range of doc_ids, and how many ranges at most; a range is streamed, never held whole.
 DOCS_A_PART, MOST_PARTS = 1500, 20_000
+#: Rows in buckets of two or more up to which their ids are sent to the texts (about 60 bytes a row); beyond, both are shuffled.
+BROADCAST_MEMBERS = 1_000_000
 
 
 def canonical(text: str | None) -> str:
@@ -31,12 +33,12 @@ def canonical(text: str | None) -> str:
     return " ".join(folded.split())
 
 
-def digest_of(canon: str) -> str:
-    return xxhash.xxh3_128_hexdigest(canon.encode("utf-8", "surrogatepass"))
+def digest_of(canon: str) -> bytes:
+    return xxhash.xxh3_128_digest(canon.encode("utf-8", "surrogatepass"))
 
 
 def digest(text: str | None) -> str:
-    return digest_of(canonical(text))
+    return digest_of(canonical(text)).hex()
 
 
 def edited(text: str, following: str) -> str:
@@ -62,8 +64,10 @@ def resolve_collisions(keyed: DataFrame, texts: DataFrame) -> DataFrame:
     """
     buckets = keyed.groupBy("fingerprint").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("bucket_rows"))
     joined = keyed.join(buckets, "fingerprint")
-    members = joined.filter("bucket_rows > 1").select("doc_id", "fingerprint", "copy_of").join(texts, "doc_id")
-    with_text = members.groupBy("doc_id", "fingerprint", "copy_of").agg(F.min("text").alias("text")).withColumn("canon", _canonical_bytes())
+    members = joined.filter("bucket_rows > 1").select("doc_id", "fingerprint", "copy_of")
+    few = members.count() <= BROADCAST_MEMBERS
+    told = (F.broadcast(members) if few else members).join(texts, "doc_id")
+    with_text = told.groupBy("doc_id", "fingerprint", "copy_of").agg(F.min("text").alias("text")).withColumn("canon", _canonical_bytes())
     heads = with_text.filter("doc_id = copy_of").select("fingerprint", F.col("canon").alias("head"))
     differs = with_text.join(heads, "fingerprint").filter("canon != head")
     other = differs.select("doc_id", F.substring(F.sha2("canon", 256), 1, 32).alias("other"))
@@ -94,10 +98,10 @@ def _part_bounds(ids: DataFrame) -> list[int]:
 
 
 EDITED_SCHEMA = pa.schema([
-    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()),
+    ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
 ])
-EDITED_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDITED_DDL = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _edit_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +119,7 @@ def _edit_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held is not None and held[0] == part:
                 new = edited(held[2], text)
                 new_canon = canonical(new)
-                sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
+                sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).digest()
                 out.append((held[1], len(held[2]), sha, digest_of(held[3]), digest_of(new_canon), float(held[3] == new_canon), float(held[3] == own)))
             held = None if lent else (part, doc_id, text, own)
         columns = list(zip(*out, strict=True)) or [()] * len(EDITED_SCHEMA)
@@ -145,7 +149,14 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     rows = own.union(lent.select("part", F.lit(1).alias("lent"), "doc_id", "text"))
     in_order = rows.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "lent", "doc_id", "text")
     made = materialize(in_order.mapInArrow(_edit_part, EDITED_DDL), "digests")
-    told = resolve_collisions(made.select("doc_id", "fingerprint"), texts)
+    told = resolve_collisions(made.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint")), texts)
     return made.drop("fingerprint").join(told, "doc_id").select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "copy_of"
+        "doc_id",
+        "n_chars",
+        F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
+        "fingerprint",
+        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "copy_of",
     )
