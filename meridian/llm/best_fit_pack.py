@@ -8,67 +8,118 @@ rather than pieces. The pieces then take the planned places by joining on their
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .shared import materialize, rank_within, ragged, text_slices
 
-#: Words that a Python worker remembers the ids of; beyond, it starts anew.
-CACHED_WORDS = 400_000
+#: Words that a Python worker remembers the ids of (about 40 bytes each); beyond, it starts anew.
+CACHED_WORDS = 2_000_000
+#: Words that the tokenizer gets at a time.
+BATCH_WORDS = 20_000
 
 
 class WordIds:
-    """Token ids of white-space-free words by the tokenizer, remembered.
+    """Token ids of white-space-free words by the tokenizer, remembered under 128-bit hashes.
 
     The tokenizer drops white space and none of its tokens spans any, so the ids of a text are those
     of its words one after the other.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core already
         self.tokenizer = Tokenizer.from_file(path)
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.known = np.zeros(0, dtype=np.uint64)  # ascending
+        self.check = np.zeros(0, dtype=np.uint64)
+        self.row = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
         self.starts = np.zeros(0, dtype=np.int64)
-        self.lengths = np.zeros(0, dtype=np.int64)
+        self.lengths = np.zeros(0, dtype=np.int32)
 
-    def look_up(self, words: list[str]) -> np.ndarray:
-        if len(self.at) > CACHED_WORDS:
+    def look_up(self, words: list[bytes]) -> np.ndarray:
+        """A row of starts and lengths for each of the distinct words."""
+        if len(self.starts) > CACHED_WORDS:
             self.clear()
-        new = [w for w in words if w not in self.at]
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, flat])
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        first = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        second = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        rows = np.full(len(words), -1, np.int64)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, first), len(self.known) - 1)
+            hit = (self.known[at] == first) & (self.check[at] == second)
+            rows[hit] = self.row[at[hit]]
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            rows[new] = np.arange(len(self.starts), len(self.starts) + len(new))
+            self._encode([words[i].decode() for i in new.tolist()])
+            new = new[np.argsort(first[new])]
+            known = np.concatenate([self.known, first[new]])
+            order = np.argsort(known, kind="stable")  # merges two ascending runs
+            self.known = known[order]
+            self.check = np.concatenate([self.check, second[new]])[order]
+            self.row = np.concatenate([self.row, rows[new]])[order]
+        return rows
+
+    def _encode(self, words: list[str]) -> None:
+        flat, lengths = [self.ids], [self.lengths]
+        for a in range(0, len(words), BATCH_WORDS):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[a : a + BATCH_WORDS], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, found), np.int32, len(found)))
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
+        self.ids, self.lengths = np.concatenate(flat), np.concatenate(lengths)
+        self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
 
 
 _WORKERS: dict[str, WordIds] = {}
 
 
+def _word_table(words: WordIds, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of distinct words one after the other, where each word starts and how many it has.
+
+    The tokenizer lower-cases, and takes full stops and commas after a letter or digit for tokens of
+    their own; so words are looked up in lower case and without them. Words that may hold a special
+    token are looked up as they are.
+    """
+    plain = pc.invert(pc.match_substring(distinct, "<"))
+    stems = pc.if_else(plain, pc.utf8_rtrim(pc.ascii_lower(distinct), ".,"), distinct)
+    stems = pc.if_else(pc.match_substring_regex(stems, "[a-z0-9]$"), stems, distinct)
+    sizes = pc.binary_length(stems).to_numpy(zero_copy_only=False)
+    whole = distinct.cast(pa.binary())
+    cut = np.flatnonzero(sizes < pc.binary_length(distinct).to_numpy(zero_copy_only=False))
+    tails = [b""] * len(distinct)
+    for i, w, n in zip(cut.tolist(), whole.take(pa.array(cut)).to_pylist(), sizes[cut].tolist(), strict=True):
+        tails[i] = w[n:]
+    coded = pa.concat_arrays([stems.cast(pa.binary()), pa.array(tails, pa.binary())]).dictionary_encode()
+    rows = words.look_up(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)].reshape(2, -1).T
+    lengths = words.lengths[rows]
+    flat = words.ids[ragged(words.starts[rows].ravel(), lengths.ravel())]
+    per_word = lengths.sum(axis=1)
+    return flat, np.cumsum(per_word) - per_word, per_word
+
+
 def token_ids(words: WordIds, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids of all texts, each followed by ``end``, and how many each text has."""
     split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     coded = split.flatten().dictionary_encode()
-    rows = words.look_up(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-    per_word = words.lengths[rows]
+    table, starts, lengths = _word_table(words, coded.dictionary)
+    rows = coded.indices.to_numpy(zero_copy_only=False)
+    per_word = lengths[rows]
     ends = np.concatenate([[0], np.cumsum(per_word)])
     offsets = np.asarray(split.offsets) - split.offsets[0].as_py()
     per_text = np.diff(ends[offsets])
-    flat = words.ids[ragged(words.starts[rows], per_word)]
+    flat = table[ragged(starts[rows], per_word)]
     return np.insert(flat, ends[offsets[1:]], np.uint32(end)), per_text + 1
 
 
@@ -79,7 +130,9 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end: int, ke
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORKERS.setdefault(tokenizer_path, WordIds(tokenizer_path)) if tokenizer_path not in _WORKERS else _WORKERS[tokenizer_path]
+        if tokenizer_path not in _WORKERS:
+            _WORKERS[tokenizer_path] = WordIds(tokenizer_path)
+        words = _WORKERS[tokenizer_path]
         for batch in batches:
             for part in text_slices(batch):
                 ids, counts = token_ids(words, part.column("text"), end)
