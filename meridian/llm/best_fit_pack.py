@@ -82,7 +82,14 @@ class WordIds:
         self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
 
 
-_WORKERS: dict[str, WordIds] = {}
+_OF_WORKER: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's own WordIds, for all its tasks (a task's function brings copies of the globals it names itself)."""
+    if path not in _OF_WORKER:
+        _OF_WORKER[path] = WordIds(path)
+    return _OF_WORKER[path]
 
 
 def _word_table(words: WordIds, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,9 +137,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end: int, ke
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _WORKERS:
-            _WORKERS[tokenizer_path] = WordIds(tokenizer_path)
-        words = _WORKERS[tokenizer_path]
+        words = word_ids(tokenizer_path)
         for batch in batches:
             for part in text_slices(batch):
                 ids, counts = token_ids(words, part.column("text"), end)
