@@ -10,7 +10,9 @@ Jaccard distance is a metric on sets. Two kinds of pivots split the documents in
 * Documents, inside every region that is large: distances to them are computed exactly, documents
   go to the nearest (their Voronoi cell) and are replicated into every cell whose pivot is within
   2 * t of that distance, which the triangle inequality shows to be enough. Cells split again until
-  they are small; a cell whose documents are already connected is done.
+  they are small. Where all distances are much the same, cells would not be smaller than the region;
+  then the region stays as it is, without its pivots, whose pairs are all known. Regions with the same
+  documents are one, and a region whose documents are already connected is done.
 
 Order of the singleton pivots, sizes of cells and numbers of pivots change the cost, never the result.
 """
@@ -34,9 +36,11 @@ FREQUENT = 200_000
 #: Documents of one slice of the corpus that must hold a shingle for it to be proposed as frequent.
 PROPOSE_FROM = 2
 #: A region of at most so many documents compares each with each; a larger one is split by document pivots.
-SMALL_REGION = 24
-#: Document pivots of a large region, and how often regions may be split before pairs are taken in full.
-PIVOTS, SPLITS = 6, 8
+SMALL_REGION = 32
+#: Document pivots of a large region in a round, and rounds before what is left is compared in full.
+PIVOTS, ROUNDS = 32, 12
+#: A region falls into its cells if these have at most so many documents for each of its own; else its pivots leave it.
+REPLICATION = 1.5
 #: Documents in candidate pairs up to which their ids (8 bytes) are sent to the texts; beyond, both are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -169,7 +173,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 def _may_link(percent: int):
-    """Sizes and the places of the common pivot leave room for enough common shingles."""
+    """Sizes, and the places of the common pivot where it is the first, leave room for enough common shingles."""
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / F.lit(100 + percent))
     return F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need
 
@@ -181,37 +185,40 @@ def _pairs_within(regions: DataFrame, percent: int) -> DataFrame:
     return met.filter(_may_link(percent)).select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
 
 
-def _labelled(regions: DataFrame, links: DataFrame | None) -> DataFrame:
-    """regions with the component of each document so far, without those that are one component."""
-    bare = regions.drop("component", "size")
-    if links is None:
-        named = bare.withColumn("component", F.col("doc"))
-    else:
-        found = connected_components(links)
-        named = bare.join(found, bare["doc"] == found["node"], "left").withColumn("component", F.coalesce("component", "doc")).drop("node")
-    sizes = named.groupBy("region").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return named.join(sizes.filter("lo < hi").select("region", "size"), "region")
+def _labelled(regions: DataFrame, links: DataFrame) -> DataFrame:
+    """region, doc, n, pos with size and the component of each document so far, without the regions that are one
+    component and without all but one of the regions that hold the same documents.
+
+    The place of the pivot is dropped (0): regions that look alike may differ in it.
+    """
+    found = connected_components(links)
+    bare = regions.select("region", "doc", "n", F.lit(0).alias("pos"))
+    named = bare.join(found, bare["doc"] == found["node"], "left").withColumn("component", F.coalesce("component", "doc")).drop("node")
+    alike = [F.count("*").alias("size"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("sum"), F.expr("bit_xor(xxhash64(doc, 1))").alias("xor")]
+    sizes = named.groupBy("region").agg(*alike, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    return named.join(sizes.groupBy("size", "sum", "xor").agg(F.min("region").alias("region")).select("region", "size"), "region")
 
 
-def _split(regions: DataFrame, docs: DataFrame, k: int, percent: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Links with the document pivots of large regions, and the cells that the regions fall into.
+def _split(regions: DataFrame, docs: DataFrame, k: int, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Links with the document pivots of large regions, and the regions or cells that are left of these.
 
-    Distances to all pivots of the region are exact. A document goes to every cell whose pivot is within
-    2 * t of its nearest; pivots leave, as all their pairs are known.
+    Pivots come from different components. Distances to all pivots of the region are exact. A document
+    goes to every cell whose pivot is within 2 * t of its nearest.
     """
-    slot = F.pmod(F.xxhash64("doc", F.lit(depth)), F.lit(PIVOTS))
-    pivots = regions.groupBy("region", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("doc", F.lit(depth)), "doc")).alias("p"))
-    pivots = materialize(pivots.select("region", F.col("p.doc").alias("pivot")), "pivots")
+    slot = F.pmod(F.xxhash64("component", F.lit(turn)), F.lit(PIVOTS))
+    first = F.min(F.struct(F.xxhash64("component", F.lit(turn)), F.xxhash64("doc"), "doc"))
+    pivots = materialize(regions.groupBy("region", slot.alias("slot")).agg(first.alias("p")).select("region", F.col("p.doc").alias("pivot")), "pivots")
     met = regions.join(pivots, "region").filter("doc != pivot").withColumns({"a": F.least("doc", "pivot"), "b": F.greatest("doc", "pivot")})
     known = materialize(verified(met.select("a", "b").distinct(), docs, k), "known")
     links = known.filter(100 * F.col("inter") >= percent * F.col("total")).select("a", "b")
-    others = regions.join(pivots, (regions["region"] == pivots["region"]) & (regions["doc"] == pivots["pivot"]), "left_anti")
-    far = met.join(known, ["a", "b"]).select("region", "doc", "pivot", (1 - F.col("inter") / F.col("total")).alias("d"))
+    others = regions.join(pivots.withColumnRenamed("pivot", "doc"), ["region", "doc"], "left_anti").select("region", "doc", "n", "pos")
+    far = met.join(known, ["a", "b"]).select("region", "doc", "pivot", (1 - F.col("inter") / F.col("total")).alias("d")).join(others.select("region", "doc"), ["region", "doc"], "left_semi")
     nearest = far.groupBy("region", "doc").agg(F.min("d").alias("home"))
     reach = 2 * (100 - percent) / 100 + 1e-9
-    cells = far.join(nearest, ["region", "doc"]).filter(F.col("d") <= F.col("home") + reach).select("region", "doc", "pivot")
-    moved = others.join(cells, ["region", "doc"]).withColumn("region", F.xxhash64("region", "pivot")).drop("pivot")
-    return links, moved.select("region", "doc", "n", "pos")
+    cells = materialize(far.join(nearest, ["region", "doc"]).filter(F.col("d") <= F.col("home") + reach).select("region", "doc", "pivot"), "cells")
+    fall = cells.groupBy("region").agg(F.count("*").alias("rows"), F.countDistinct("doc").alias("docs")).filter(F.col("rows") <= REPLICATION * F.col("docs")).select("region")
+    falling = others.join(fall, "region", "left_semi").join(cells, ["region", "doc"]).withColumn("region", F.xxhash64("region", "pivot")).drop("pivot")
+    return links, falling.select(*others.columns).union(others.join(fall, "region", "left_anti"))
 
 
 def links_between(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -221,20 +228,20 @@ def links_between(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> Dat
     shared = posted.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
     regions = materialize(posted.join(shared, "region").withColumn("component", F.col("doc")), "regions")
     links = materialize(_confirmed(_pairs_within(regions.filter(F.col("size") <= SMALL_REGION), percent), docs, k, percent), "links")
-    large = regions.filter(F.col("size") > SMALL_REGION).drop("size", "component")
-    for depth in range(SPLITS):
-        large = materialize(_labelled(large, links), "large")
-        small = large.filter(F.col("size") <= SMALL_REGION)
+    large = regions.filter(F.col("size") > SMALL_REGION)
+    for turn in range(ROUNDS):
         if large.isEmpty():
             return links
-        links = materialize(links.union(_confirmed(_pairs_within(small, percent), docs, k, percent)), "links")
+        large = materialize(_labelled(large, links), "large")
+        small = large.filter(F.col("size") <= SMALL_REGION)
+        if not small.isEmpty():
+            links = materialize(links.union(_confirmed(_pairs_within(small, percent), docs, k, percent)), "links")
         large = large.filter(F.col("size") > SMALL_REGION)
         if large.isEmpty():
             return links
-        more, cells = _split(large, docs, k, percent, depth)
-        links, large = materialize(links.union(more), "links"), materialize(cells, "cells")
-    rest = materialize(_labelled(large, links), "large")
-    return links.union(_confirmed(_pairs_within(rest, percent), docs, k, percent))
+        more, left = _split(large, docs, k, percent, turn)
+        links, large = materialize(links.union(more), "links"), materialize(left, "left")
+    return links.union(_confirmed(_pairs_within(_labelled(large, links), percent), docs, k, percent))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:

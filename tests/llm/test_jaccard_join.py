@@ -36,7 +36,7 @@ def brute(sets, percent):
 def test_components_match_brute_force(unique, monkeypatch, k, percent, small, broadcast):
     monkeypatch.setattr(J, "SMALL_REGION", small)
     monkeypatch.setattr(J, "PIVOTS", 2)
-    monkeypatch.setattr(J, "SPLITS", 3)
+    monkeypatch.setattr(J, "ROUNDS", 3)
     monkeypatch.setattr(J, "BROADCAST_IDS", broadcast)
     sets = sets_of(unique.collect(), k)
     found = {r.doc_id: r for r in J.jaccard_components(unique, k, percent).collect()}
