@@ -1 +1 @@
-
+"""Operators: DataFrame to DataFrame."""

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import graph_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+PLANS = (graph_queries,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for plan in PLANS for name, f in plan.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in PLANS for name, sql in plan.oracle_sql().items()}
