@@ -10,7 +10,7 @@ Jaccard distance is a metric on sets. Two kinds of pivots split the documents in
 * Documents, inside every region that is large: distances to them are computed exactly, documents
   go to the nearest (their Voronoi cell) and are replicated into every cell whose pivot is within
   2 * t of that distance, which the triangle inequality shows to be enough. Cells split again until
-  they are small. Where all distances are much the same, cells would not be smaller than the region;
+  they are small. Large regions that share documents are taken as one first. Where all distances are much the same, cells would not be smaller than the region;
   then the region stays as it is, without its pivots, whose pairs are all known. Regions with the same
   documents are one, and a region whose documents are already connected is done.
 
@@ -185,6 +185,16 @@ def _pairs_within(regions: DataFrame, percent: int) -> DataFrame:
     return met.filter(_may_link(percent)).select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
 
 
+def _clusters(regions: DataFrame) -> DataFrame:
+    """Large regions that share documents, as one: a group of near copies meets in most of its shingles' regions,
+    which differ by a few documents each."""
+    heads = regions.groupBy("region").agg(F.min("doc").alias("head"))
+    star = regions.join(heads, "region").select(F.col("doc").alias("a"), F.col("head").alias("b"))
+    found = connected_components(star)
+    sizes = regions.select("doc", "n").distinct()
+    return materialize(found.join(sizes, found["node"] == sizes["doc"]).select(F.col("component").alias("region"), "doc", "n", F.lit(0).alias("pos")), "clusters")
+
+
 def _labelled(regions: DataFrame, links: DataFrame) -> DataFrame:
     """region, doc, n, pos with size and the component of each document so far, without the regions that are one
     component and without all but one of the regions that hold the same documents.
@@ -228,7 +238,7 @@ def links_between(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> Dat
     shared = posted.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
     regions = materialize(posted.join(shared, "region").withColumn("component", F.col("doc")), "regions")
     links = materialize(_confirmed(_pairs_within(regions.filter(F.col("size") <= SMALL_REGION), percent), docs, k, percent), "links")
-    large = regions.filter(F.col("size") > SMALL_REGION)
+    large = _clusters(regions.filter(F.col("size") > SMALL_REGION))
     for turn in range(ROUNDS):
         if large.isEmpty():
             return links
