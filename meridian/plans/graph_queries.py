@@ -11,6 +11,8 @@ from ..functions import bits as B
 from ..operators import adjustment as A
 from ..operators import graphs as G
 from ..operators import meek as M
+from ..operators.fixpoint import settle
+from ..operators.radius import breakdown_radius, extensions
 from ..sources.population import dags, edge_rows, hash_percent
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,10 +171,27 @@ def all_valid_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("gid").agg(F.count("n").alias("n_sets"), F.min("n").cast("long").alias("least_size")).filter("n_sets > 0")
 
 
+def dag_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many DAGs each CPDAG stands for."""
+    return extensions(M.cpdag(dags(spark, sf_dir))).groupBy("gid").agg(F.count("*").alias("n_extensions"))
+
+
+def radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breakdown radius of the optimal set of each graph's first and last node, all open edges being claimed as in the DAG.
+
+    Graphs of up to four nodes whose pair has a causal path.
+    """
+    true = _pairs(spark, sf_dir).filter(F.size("labels") <= 4)
+    asked = settle(true.withColumn("z", A.optimal(F.col("x"), F.col("y"))).withColumn("causal", B.has(F.get("de", F.col("x")), F.col("y"))).select("gid", "x", "y", "z", "causal"))
+    graphs = settle(M.cpdag(true))
+    claims = edge_rows(graphs).filter("kind = 'u'").select("gid", "a", "b")  # in a DAG of the population a < b is a -> b
+    return breakdown_radius(graphs.join(asked.filter("causal").drop("causal"), "gid"), claims, most=3)
+
+
 def queries() -> dict[str, Query]:
     plain = (
         skeleton, v_structures, moral_edges, descendants, ancestors, acyclicity, topo_depth, undirected_components, edge_string,
-        shd, cpdag_closure, cpdag_summary, apply_knowledge, claim_contradiction, all_valid_sets,
+        shd, dag_extensions, radius, cpdag_closure, cpdag_summary, apply_knowledge, claim_contradiction, all_valid_sets,
     )
     return {f.__name__: f for f in plain} | {f"meek_r{i}": _rule(i) for i in M.RULES} | {
         "causal_nodes": _node_set(A.causal_nodes),
