@@ -38,7 +38,7 @@ PROPOSE_FROM = 2
 #: A region of at most so many documents compares each with each; a larger one is split by document pivots.
 SMALL_REGION = 32
 #: Document pivots of a large region in a round, and rounds before what is left is compared in full.
-PIVOTS, ROUNDS = 32, 12
+PIVOTS, ROUNDS = 64, 12
 #: A region falls into its cells if these have at most so many documents for each of its own; else its pivots leave it.
 REPLICATION = 1.5
 #: Documents in candidate pairs up to which their ids (8 bytes) are sent to the texts; beyond, both are shuffled.
@@ -112,7 +112,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
     counted = docs.select("text").mapInArrow(propose, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "g").limit(FREQUENT)
-    return np.sort(np.array([r["g"] for r in top.select("g").collect()], dtype=np.int64).view(np.uint64))
+    return np.sort(top.select("g").toArrow()["g"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def shingled(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -169,7 +169,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                     total.append(len(x) + len(y) - both)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(inter, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "inter", "total"])
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, inter long, total long")
+    # Pairs and texts grow with the corpus alike, so neither is broadcast.
+    return pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, inter long, total long")
 
 
 def _may_link(percent: int):
