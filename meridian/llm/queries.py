@@ -95,9 +95,34 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_source_mixing": OP5_SQL,
+        "op6_chat_formatting": OP6_SQL,
     }
 
 
+def _escaped(column: str) -> str:
+    """The SQL of chat_format.escape: the control strings, in its order."""
+    from .chat_format import BODY, CLOSE, ESCAPES, FOREIGN, NEXT, OPEN
+
+    out = f"replace({column}, '%', '%25')"
+    for control in (OPEN, BODY, NEXT, CLOSE, *FOREIGN):
+        out = f"replace({out}, '{control}', '{ESCAPES[control[0]] + control[1:]}')"
+    return out
+
+
+OP6_SQL = f"""
+with r as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t as (select *, lag(role) over (partition by conv_id order by turn, role, text) as before from r)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length({_escaped('text')}) + case when before is distinct from role then length({_escaped('role')}) + 23 else 8 end)::bigint as formatted_chars
+from t group by conv_id
+"""
+
+
 OP5_SQL = """
 with sizes as (select source, sum(coalesce(length(text), 0) + 1) as size from documents group by source),
 rates as (
