@@ -1,8 +1,9 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model a language, of order four over an alphabet of 64 classes: 0 for all that is no letter, the
-62 most frequent letters of the training texts, and one for other letters. The n-grams of all
-languages lie in arrays sorted by hash, with a column of probabilities for each language. A text gets
+62 most frequent letters of the training texts, and one for other letters. Every n-gram of the training
+texts counts: probabilities are derived in Spark, order by order, and only the finished ones come to
+the driver, as sorted arrays of n-grams with an entry for each language that has one. A text gets
 the language with the lowest cross-entropy a character; the margin to the second is turned into a
 score by a logistic curve fitted on training documents, and a cross-entropy far above theirs marks
 the answer as unreliable.
@@ -19,41 +20,40 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_slices
+from .shared import materialize, ragged, text_slices
 
 ORDER, BITS = 4, 6
 CLASSES = 1 << BITS
 DISCOUNT = 0.75
-#: Bounds: n-grams of all languages that the model keeps (the most frequent), and documents for the calibration.
-MOST_NGRAMS, CALIBRATION_DOCS = 2_000_000, 1_000
-
-
-def _hash(codes: np.ndarray) -> np.ndarray:
-    x = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+#: Bound: documents for the calibration.
+CALIBRATION_DOCS = 1_000
 
 
 @dataclass
 class Table:
-    """Values of n-grams, a row each, in order of their hashes."""
+    """Values of n-grams by language: sorted n-grams, and where the entries of each start."""
 
     keys: np.ndarray
+    starts: np.ndarray
+    lang: np.ndarray
     values: np.ndarray
     missing: float
+    width: int
 
     @classmethod
-    def of(cls, codes: np.ndarray, values: np.ndarray, missing: float) -> Table:
-        keys = _hash(codes)
-        order = np.argsort(keys)
-        return cls(keys[order], values[order].astype(np.float64), missing)
+    def of(cls, lang: np.ndarray, codes: np.ndarray, values: np.ndarray, missing: float, width: int) -> Table:
+        order = np.argsort(codes)
+        keys, starts = np.unique(codes[order], return_index=True)
+        return cls(keys, np.append(starts, len(codes)), lang[order].astype(np.int32), values[order].astype(np.float64), missing, width)
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
-        out = np.full((len(codes), self.values.shape[1]), self.missing)
+        out = np.full((len(codes), self.width), self.missing)
         if len(self.keys):
-            wanted = _hash(codes)
-            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            hit = self.keys[at] == wanted
-            out[hit] = self.values[at[hit]]
+            at = np.minimum(np.searchsorted(self.keys, codes), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[at] == codes)
+            sizes = self.starts[at[hit] + 1] - self.starts[at[hit]]
+            rows = ragged(self.starts[at[hit]], sizes)
+            out[np.repeat(hit, sizes), self.lang[rows]] = self.values[rows]
         return out
 
 
@@ -127,8 +127,8 @@ def _letters(training: DataFrame) -> list[str]:
     return sorted(totals, key=lambda x: (-totals[x], x))[: CLASSES - 2]
 
 
-def _counts(training: DataFrame, letters: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """lang, code and count of the n-grams of the highest order."""
+def _counts(training: DataFrame, letters: list[str], langs: list[str]) -> DataFrame:
+    """lang (its index), code and n, the count, of every n-gram of the highest order."""
     shared = training.sparkSession.sparkContext.broadcast((class_table(letters), {x: i for i, x in enumerate(langs)}))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,34 +141,54 @@ def _counts(training: DataFrame, letters: list[str], langs: list[str]) -> tuple[
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
     summed = training.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    kept = summed.orderBy(F.desc("n"), "key").limit(MOST_NGRAMS).toArrow()
-    key, n = kept["key"].to_numpy(), kept["n"].to_numpy()
-    return key >> (BITS * ORDER), key & ((1 << BITS * ORDER) - 1), n
+    return summed.select(F.shiftright("key", BITS * ORDER).cast("int").alias("lang"), _low(F.col("key"), ORDER).alias("code"), "n")
+
+
+def _low(code: Column, order: int) -> Column:
+    """The last classes of n-grams."""
+    return code.bitwiseAND(F.lit((1 << BITS * order) - 1).cast("long"))
+
+
+def _unigrams(lang: np.ndarray, code: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    counts = np.zeros((CLASSES, width))
+    counts[code, lang] = n
+    total = np.maximum(counts.sum(axis=0), 1)
+    spare = np.where(counts.sum(axis=0) > 0, DISCOUNT * (counts > 0).sum(axis=0) / total, 1.0)
+    return np.maximum(counts - DISCOUNT, 0) / total + spare / CLASSES
 
 
 def fit(lang: np.ndarray, code: np.ndarray, n: np.ndarray, langs: list[str], letters: list[str]) -> Model:
-    """Interpolated Kneser-Ney: counts at the highest order, numbers of distinct left extensions below."""
+    """Interpolated Kneser-Ney: counts at the highest order, numbers of distinct left extensions below.
+
+    For counts that are in memory; fit_all() does the same over a DataFrame.
+    """
     grams, backoff = [], []
     for order in range(ORDER, 1, -1):
-        codes, of_code = np.unique(code, return_inverse=True)
-        counts = np.zeros((len(codes), len(langs)))
-        counts[of_code, lang] = n
-        contexts, of = np.unique(codes >> BITS, return_inverse=True)
-        total, kinds = np.zeros((2, len(contexts), len(langs)))
-        for i in range(len(langs)):
-            total[:, i] = np.bincount(of, counts[:, i], len(contexts))
-            kinds[:, i] = np.bincount(of, counts[:, i] > 0, len(contexts))
-        safe = np.maximum(total, 1)
-        grams.insert(0, Table.of(codes, np.maximum(counts - DISCOUNT, 0) / safe[of], 0.0))
-        backoff.insert(0, Table.of(contexts, np.where(total > 0, DISCOUNT * kinds / safe, 1.0), 1.0))
+        contexts, of = np.unique((lang << BITS * order) | (code >> BITS), return_inverse=True)
+        total, kinds = np.bincount(of, n, len(contexts)), np.bincount(of, minlength=len(contexts))
+        grams.insert(0, Table.of(lang, code, np.maximum(n - DISCOUNT, 0) / total[of], 0.0, len(langs)))
+        backoff.insert(0, Table.of(contexts >> BITS * order, contexts & ((1 << BITS * order) - 1), DISCOUNT * kinds / total, 1.0, len(langs)))
         width = BITS * (order - 1)
         pairs, n = np.unique((lang << width) | (code & ((1 << width) - 1)), return_counts=True)
         lang, code = pairs >> width, pairs & ((1 << width) - 1)
-    counts = np.zeros((CLASSES, len(langs)))
-    counts[code, lang] = n
-    total = np.maximum(counts.sum(axis=0), 1)
-    spare = np.where(counts.sum(axis=0) > 0, DISCOUNT * (counts > 0).sum(axis=0) / total, 1.0)
-    return Model(langs, letters, np.maximum(counts - DISCOUNT, 0) / total + spare / CLASSES, grams, backoff)
+    return Model(langs, letters, _unigrams(lang, code, n, len(langs)), grams, backoff)
+
+
+def fit_all(counts: DataFrame, langs: list[str], letters: list[str]) -> Model:
+    """fit() over all n-grams of counts (lang, code, n), with counts, totals and discounts worked out in Spark."""
+
+    def arrays(df: DataFrame) -> list[np.ndarray]:
+        return [column.to_numpy() for column in df.toArrow().columns]
+
+    grams, backoff, level = [], [], materialize(counts, "grams")
+    for order in range(ORDER, 1, -1):
+        keyed = level.withColumn("context", F.shiftright("code", BITS))
+        contexts = keyed.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        share = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total")
+        grams.insert(0, Table.of(*arrays(keyed.join(contexts, ["lang", "context"]).select("lang", "code", share.alias("p"))), 0.0, len(langs)))
+        backoff.insert(0, Table.of(*arrays(contexts.select("lang", "context", (DISCOUNT * F.col("kinds") / F.col("total")).alias("p"))), 1.0, len(langs)))
+        level = level.groupBy("lang", _low(F.col("code"), order - 1).alias("code")).agg(F.count("*").alias("n"))
+    return Model(langs, letters, _unigrams(*arrays(level), len(langs)), grams, backoff)
 
 
 class Scorer:
@@ -225,7 +245,7 @@ def train(docs: DataFrame) -> Model:
     training = docs.select("text", "lang").filter("text is not null and lang is not null")
     langs = sorted(r["lang"] for r in training.select("lang").distinct().collect())  # one row a language
     letters = _letters(training)
-    model = fit(*_counts(training, letters, langs), langs, letters)
+    model = fit_all(_counts(training, letters, langs), langs, letters)
     sample = training.orderBy(F.xxhash64("text"), "lang").limit(CALIBRATION_DOCS)
     _calibrate(model, [(r["text"], r["lang"]) for r in sample.toLocalIterator()])
     return model

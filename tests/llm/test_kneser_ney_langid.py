@@ -73,3 +73,24 @@ def test_awkward_rows(awkward, none):
     assert identify(none).count() == 0
     unlabelled = awkward.withColumn("lang", awkward["lang"].substr(0, 0).cast("string")).filter("false").unionByName(awkward)
     assert predict(unlabelled, train(none)).filter("lang_pred != 'und'").count() == 0
+
+
+def test_rare_ngrams_of_a_small_language_count(spark):
+    """A hot language with over two million n-grams leaves those that a small one has once each."""
+    import random
+
+    rnd = random.Random(8)
+    alphabet = "abcdefghijklmnopqrstuvwxyzäöüßàáâãåæçèéêëìíîïðñòóôõøùúûýþÿāăąćĉċčďđ"[:62]
+    hot = [(i, "".join(rnd.choices(alphabet, k=100_000)), "hot") for i in range(36)]
+    small = [(100, "zebra quilt vixen jumbo", "small")]
+    docs = spark.createDataFrame(hot + small, "doc_id long, text string, lang string").repartition(8)
+    model = train(docs)
+    assert len(model.grams[-1].lang) > 2_000_000
+    classes = class_table(model.letters)
+    counts = [np.unique(np.concatenate([gram_codes([t], classes)[0] for _, t, x in hot + small if x == lang]), return_counts=True) for lang in model.langs]
+    lang = np.repeat(np.arange(2), [len(c) for c, _ in counts])
+    slow = fit(lang, np.concatenate([c for c, _ in counts]).astype(np.int64), np.concatenate([n for _, n in counts]), model.langs, model.letters)
+    probe = np.concatenate([counts[0][0][:1000], counts[1][0]])
+    assert np.allclose(model.log_probs(probe), slow.log_probs(probe), rtol=1e-6)
+    entropy = Scorer(model)([small[0][1]])[0][0]
+    assert entropy[model.langs.index("small")] < entropy[model.langs.index("hot")]
