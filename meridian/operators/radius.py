@@ -10,29 +10,57 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from . import adjustment as A
-from .meek import apply_knowledge
+from .meek import apply_knowledge, close
 from .fixpoint import settle
 
 #: A graph without a failing shell.
 UNREACHED = -1
 
 
+def _open_edges() -> Column:
+    idx = B.indices(F.col("nb"))
+    return F.flatten(F.transform("nb", lambda m, j: F.transform(F.filter(idx, lambda i: B.has(m, i) & (i < j)), lambda i: F.struct(i.alias("i"), j.alias("j")))))
+
+
+def _branched(graphs: DataFrame, most: int) -> DataFrame:
+    """graphs with their open edges as _open, those of more than ``most`` as branches of fewer.
+
+    A branch turns one edge and is closed, so that ways which no DAG allows are hardly followed.
+    """
+    # Settled, as a filter would be moved below the steps that made the graphs and repeat them.
+    left, done = settle(graphs.withColumn("_open", _open_edges())), []
+    while True:
+        done.append(left.filter(F.size("_open") <= most))
+        left = left.filter(F.size("_open") > most)
+        if left.isEmpty():
+            return reduce(DataFrame.union, done)
+        ways = F.array(F.struct(F.get("_open", F.lit(0))["i"].alias("i"), F.get("_open", F.lit(0))["j"].alias("j")), F.struct(F.get("_open", F.lit(0))["j"].alias("i"), F.get("_open", F.lit(0))["i"].alias("j")))
+        split = left.withColumn("_edge", F.explode(ways))
+        i, j = F.col("_edge.i"), F.col("_edge.j")
+        turned = split.withColumns(
+            {
+                "pa": F.transform("pa", lambda m, v: F.when(v == j, m.bitwiseOR(B.bit(i))).otherwise(m)),
+                "nb": F.transform("nb", lambda m, v: F.when(v == j, B.minus(m, B.bit(i))).when(v == i, B.minus(m, B.bit(j))).otherwise(m)),
+            }
+        )
+        left = settle(close(turned.drop("_open", "_edge")).withColumn("_open", _open_edges()).select(*left.columns))
+
+
 def extensions(graphs: DataFrame, most: int = 12) -> DataFrame:
     """graphs' keys and pa for every DAG that a graph allows: each way to turn its open edges that makes
     no cycle and no new v-structure.
 
-    Graphs with more than ``most`` open edges are left out; callers count them as undecided.
+    Up to ``most`` open edges all ways are tried at once; graphs with more are branched down to so many
+    first. It decides the cost and nothing else.
     """
     idx = B.indices(F.col("nb"))
-    open_edges = F.flatten(F.transform("nb", lambda m, j: F.transform(F.filter(idx, lambda i: B.has(m, i) & (i < j)), lambda i: F.struct(i.alias("i"), j.alias("j")))))
     keys = [c for c in graphs.columns if c not in ("pa", "nb")]
-    # Settled first, as a filter would be moved below the steps that made the graphs and repeat them.
-    listed = settle(graphs).withColumn("_open", open_edges).filter(F.size("_open") <= most)
+    listed = _branched(graphs.withColumn("_from", F.col("pa")), most)
     turned = listed.withColumn("_way", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size("_open")) - 1)))
     edges = F.transform("_open", lambda e, k: F.when(B.has(F.col("_way").cast("long"), k), F.struct(e["j"].alias("i"), e["i"].alias("j"))).otherwise(e))
     oriented = turned.withColumn("_edges", edges).withColumn(
@@ -43,8 +71,8 @@ def extensions(graphs: DataFrame, most: int = 12) -> DataFrame:
     cyclic = F.exists(F.transform("_an", lambda m, i: B.has(m, i)), lambda x: x)
     shields = lambda a: F.get("_adj", a).bitwiseOR(B.bit(a))
     fresh = F.exists(
-        F.arrays_zip("pa", "_all"),
-        lambda z: F.exists(idx, lambda a: B.has(z["_all"], a) & B.overlap(B.minus(z["_all"], shields(a)), F.when(B.has(z["pa"], a), B.minus(z["_all"], z["pa"])).otherwise(z["_all"]))),
+        F.arrays_zip("_from", "_all"),
+        lambda z: F.exists(idx, lambda a: B.has(z["_all"], a) & B.overlap(B.minus(z["_all"], shields(a)), F.when(B.has(z["_from"], a), B.minus(z["_all"], z["_from"])).otherwise(z["_all"]))),
     )
     judged = known.withColumn("_bad", cyclic | fresh)
     # The steps stay columns up to here: one that only a lambda uses would be worked out again for each element.

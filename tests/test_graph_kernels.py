@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from meridian.operators import meek
 from meridian.operators.radius import breakdown_radius, extensions
@@ -158,3 +159,19 @@ def test_streams(spark, sf_dir, tmp_path):
     query.stop()
     last = spark.sql("select instance, max(n) as n, max(stopped) as stopped from stops group by instance").collect()
     assert len(last) == 5 and all(r.n >= 30 for r in last)
+
+
+def test_extensions_of_dense_graphs(spark):
+    """All orders of a clique of six nodes (15 open edges), and one of its edges known."""
+    edges = [(g, a, b, "d" if (g, a, b) == (2, 1, 2) else "u") for g in (1, 2) for a, b in itertools.combinations(range(1, 7), 2)]
+    nodes = spark.createDataFrame([(g, v) for g in (1, 2) for v in range(1, 7)], "gid long, v int")
+    found = extensions(pack(spark.createDataFrame(edges, "gid long, a int, b int, kind string"), nodes))
+    assert found.columns == ["gid", "labels", "pa"]
+    assert {r.gid: (r.n, r.d) for r in found.groupBy("gid").agg(F.count("*").alias("n"), F.count_distinct("pa").alias("d")).collect()} == {1: (720, 720), 2: (360, 360)}
+
+
+def test_extensions_do_not_depend_on_the_bound(population):
+    _, packed = population
+    cpdags = meek.cpdag(packed.select("gid", "labels", "pa"))
+    rows = lambda most: sorted((r.gid, r.pa) for r in extensions(cpdags, most).collect())
+    assert rows(1) == rows(12)
