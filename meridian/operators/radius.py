@@ -87,21 +87,27 @@ def valid_everywhere(states: DataFrame, key: list[str]) -> DataFrame:
     return counts.select(*key, (F.col("n") == F.col("n_valid")).alias("valid"))
 
 
-def breakdown_radius(graphs: DataFrame, claims: DataFrame, most: int) -> DataFrame:
-    """gid, radius: least number of claims (gid, a, b) whose removal makes z fail; UNREACHED if none up to ``most`` does.
+def breakdown_radius(graphs: DataFrame, claims: DataFrame, most: int | None = None) -> DataFrame:
+    """gid, radius: least number of claims (gid, a, b) whose removal makes z fail; UNREACHED if none does, or none up
+    to ``most`` where that is given.
 
-    graphs: gid, labels, pa, nb (CPDAGs), x, y, z.
+    graphs: gid, labels, pa, nb (CPDAGs), x, y, z. Without any claim a graph allows every DAG that one of
+    its states allows, so those where z holds even then are unreached and enter no shell; of the others
+    the last shell fails at the latest.
     """
     listed = claims.groupBy("gid").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("claims"))
     todo = settle(graphs.join(listed, "gid", "left").withColumn("claims", F.coalesce("claims", F.array().cast("array<struct<a:int,b:int>>"))))
-    found = []
-    for shell in range(most + 1):
+    found, shell = [], 0
+    holds = valid_everywhere(todo.drop("claims"), ["gid"]).filter("valid").select("gid")
+    never = settle(todo.join(holds, "gid", "left_semi").select("gid"))
+    todo = settle(todo.join(never, "gid", "left_anti"))
+    while (most is None or shell <= most) and not (open_ := todo.filter(F.size("claims") >= shell)).isEmpty():
         ways = F.filter(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size("claims")) - 1), lambda w: F.bit_count(w) == shell)
-        states = todo.filter(F.size("claims") >= shell).withColumn("gone", F.explode(ways)).withColumn("state", F.concat_ws("/", "gid", "gone"))
+        states = open_.withColumn("gone", F.explode(ways)).withColumn("state", F.concat_ws("/", "gid", "gone"))
         kept = states.select(F.col("state").alias("gid"), F.explode(F.filter("claims", lambda _, i: ~B.has(F.col("gone").cast("long"), i))).alias("c")).select("gid", "c.a", "c.b")
         base = states.select(F.col("state").alias("gid"), "labels", "pa", "nb", "x", "y", "z")
         judged = valid_everywhere(apply_knowledge(base, kept).drop("status"), ["gid"])
         fails = settle(judged.groupBy(F.substring_index("gid", "/", 1).cast("long").alias("gid")).agg(F.min(F.col("valid").cast("int")).alias("ok")).filter("ok = 0").select("gid"))
         found.append(fails.withColumn("radius", F.lit(shell)))
-        todo = settle(todo.join(fails, "gid", "left_anti"))
-    return reduce(DataFrame.union, found).union(todo.select("gid", F.lit(UNREACHED).alias("radius")))
+        todo, shell = settle(todo.join(fails, "gid", "left_anti")), shell + 1
+    return reduce(DataFrame.union, found, never.union(todo.select("gid")).withColumn("radius", F.lit(UNREACHED)))

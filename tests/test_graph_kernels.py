@@ -175,3 +175,29 @@ def test_extensions_do_not_depend_on_the_bound(population):
     cpdags = meek.cpdag(packed.select("gid", "labels", "pa"))
     rows = lambda most: sorted((r.gid, r.pa) for r in extensions(cpdags, most).collect())
     assert rows(1) == rows(12)
+
+
+def test_radius_beyond_the_third_shell(spark):
+    """A path of five nodes, where each claim implies those after it; told by brute force over all claims."""
+    path, own = range(1, 6), [(i, i + 1) for i in range(1, 5)]
+    alike = [es for es in all_extensions(path, [], own) if not v_structures(es)]
+    asked, expected = [], {}
+    for gid, (x, y, z) in enumerate([(1, 2, []), (3, 5, [2]), (4, 5, [3]), (4, 5, [])]):
+        fails = (k for k in range(5) if any(not all(valid(path, es, x, y, z) for es in alike if all(c in es for c in kept)) for kept in itertools.combinations(own, 4 - k)))
+        expected[gid] = next(fails, -1)
+        asked.append((gid, x - 1, y - 1, sum(1 << (v - 1) for v in z)))
+    assert 4 in expected.values()
+    edges = spark.createDataFrame([(g, a, b, "u") for g in expected for a, b in own], "gid long, a int, b int, kind string")
+    nodes = spark.createDataFrame([(g, v) for g in expected for v in path], "gid long, v int")
+    found = breakdown_radius(pack(edges, nodes).join(spark.createDataFrame(asked, "gid long, x int, y int, z long"), "gid"), edges.select("gid", "a", "b"))
+    assert {r.gid: r.radius for r in found.collect()} == expected
+
+
+def test_radius_query_takes_graphs_of_every_size(spark, sf_dir):
+    """Every graph of three nodes or more that has a causal path gets a row."""
+    from meridian.plans.graph_queries import _pairs, radius
+    from meridian.functions import bits as B
+
+    pairs = _pairs(spark, sf_dir).filter(B.has(F.get("de", F.col("x")), F.col("y")))
+    assert {r.gid for r in radius(spark, sf_dir).collect()} == {r.gid for r in pairs.select("gid").collect()}
+    assert pairs.filter(F.size("labels") == 7).count() > 0
