@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
-
-MOST_ROUNDS = 60
+from .shared import Tables, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,15 +26,16 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Aggregates combine before the shuffle and joins may be split, so a hub of any degree is spread out.
     """
-    edges = materialize(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    tables = Tables(links.sparkSession)
+    edges = tables.write(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
-    for _ in range(MOST_ROUNDS):
-        edges = materialize(_star(_star(edges, large=True), large=False), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
+    while True:
+        edges = tables.write(_star(_star(edges, large=True), large=False), "edges")
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == state:
             break
-        state = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
+        state = now
     heads = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(heads)
+    found = materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(heads), "components")
+    tables.drop()
+    return found

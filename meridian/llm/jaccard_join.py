@@ -1,20 +1,27 @@
 """Exact Jaccard metric-space join of documents by their word shingles.
 
-Jaccard distance is a metric on sets. Two kinds of pivots split the documents into regions:
-
-* Singleton sets {g}. A document holds g or is as far from it as can be, so its nearest pivots are its
-  own shingles; the rarest comes first. A document y within distance t of x lacks at most a share t of
-  x's shingles, so x is replicated into the regions of its first floor(t * n) + 1 pivots (its window)
-  and y meets it in one of them. Document pivots alone can't do this: documents without a common
-  shingle are all at distance 1, where the triangle inequality rules nothing out.
-* Documents, inside every region that is large: distances to them are computed exactly, documents
-  go to the nearest (their Voronoi cell) and are replicated into every cell whose pivot is within
-  2 * t of that distance, which the triangle inequality shows to be enough. Cells split again until
-  they are small. Large regions that share documents are taken as one first. Where all distances are much the same, cells would not be smaller than the region;
-  then the region stays as it is, without its pivots, whose pairs are all known. Regions with the same
-  documents are one, and a region whose documents are already connected is done.
-
-Order of the singleton pivots, sizes of cells and numbers of pivots change the cost, never the result.
+Jaccard distance is a metric on sets, and so is the size of the symmetric difference. Documents x and y
+link when |x ^ y| <= s * (|x| + |y|), with s = (1 - t) / (1 + t) for the similarity t. Regions of
+documents are made by pivots and join recursively:
+
+* The first pivot is the empty set, from which the difference of a document is its whole set. Documents
+  are dealt into a region for each shingle of their window, rarest first: of two that link, both hold
+  one of the first |x| - ceil(t |x|) + 1 shingles of the other. Document pivots alone can't begin: texts
+  without a common shingle are all at distance 1, where the triangle inequality rules nothing out.
+* A region with many documents takes one of them as its pivot p, the one that most regions share, and
+  measures all others against it. Those that link with p are its cell: one component, so no two of them
+  need to be compared. Those within 2 (1 - t) are the window of the triangle inequality: a text beyond it
+  links with none of the cell. Cell and window are dealt into regions again, now by the elements of
+  x ^ p: as x ^ y = (x ^ p) ^ (y ^ p), two that link and do not both link with p share some of these. What
+  does not link with p stays and takes further pivots, four times as many in each turn.
+* With e = |x ^ p|, c the elements of x ^ p from the shared one on, and a = e - s |x|: two documents of a
+  region can link only if a of each is at most 2 c - a of the other. So the least a of a region tells
+  which of its documents have no partner left, without a comparison; texts that differ from p in ways of
+  their own leave like that, however many they are.
+* Few documents in a region are compared with each other, first by bits that bound |x ^ y| from below.
+
+Orders, sizes of regions and numbers of pivots change the cost, never the result. Shingles are 64-bit
+hashes and sets are named by 128-bit ones; documents with equal sets are one, their head.
 """
 
 from __future__ import annotations
@@ -25,24 +32,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize, text_slices
+from .shared import Tables, fresh, materialize, text_slices
 
-#: Shingles told to be frequent and so used as the last pivots; 8 bytes each are broadcast.
+#: Shingles told to be frequent and so used as the last pivots; 16 bytes each are broadcast.
 FREQUENT = 200_000
 #: Documents of one slice of the corpus that must hold a shingle for it to be proposed as frequent.
 PROPOSE_FROM = 2
-#: A region of at most so many documents compares each with each; a larger one is split by document pivots.
+#: A region of at most so many documents compares each with each; a larger one takes pivots.
 SMALL_REGION = 32
-#: Document pivots of a large region in a round, and rounds before what is left is compared in full.
-PIVOTS, ROUNDS = 64, 12
-#: A region falls into its cells if these have at most so many documents for each of its own; else its pivots leave it.
-REPLICATION = 1.5
-#: Documents in candidate pairs up to which their ids (8 bytes) are sent to the texts; beyond, both are shuffled.
-BROADCAST_IDS = 2_000_000
+#: Most document pivots of a region in a turn, and turns before what is left is compared in full.
+PIVOTS, TURNS = 64, 10
+#: Documents in candidate pairs up to which their ids (24 bytes) are sent to the texts; beyond, both are shuffled.
+BROADCAST_IDS = 1_000_000
+#: Bits of the parity sketch of a set.
+BITS = 512
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -101,7 +109,7 @@ def _sort_within(values: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """The shingles that most documents seem to hold, ascending; only their order as pivots hangs on it."""
+    """The shingles that most documents seem to hold, least frequent first; only their order as pivots hangs on it."""
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,152 +120,270 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
     counted = docs.select("text").mapInArrow(propose, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "g").limit(FREQUENT)
-    return np.sort(top.select("g").toArrow()["g"].to_numpy().astype(np.int64).view(np.uint64))
+    return top.select("g").toArrow()["g"].to_numpy().astype(np.int64).view(np.uint64)[::-1]
 
 
-def shingled(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, signature of the set (16 bytes), prefix: the pivots of its window, nearest first."""
-    last = docs.sparkSession.sparkContext.broadcast(frequent)
+class Rarity:
+    """Order of shingles as pivots: those not told to be frequent by their hash, then the others by frequency."""
 
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = last.value
-        for batch in batches:
-            for part in text_slices(batch):
-                values, counts = shingle_sets(part.column("text"), k)
-                late = np.zeros(len(values), bool)
-                if len(often):
-                    late = often[np.minimum(np.searchsorted(often, values), len(often) - 1)] == values
-                ends = np.cumsum(counts)
-                window = np.where(counts > 0, counts - -(-percent * counts // 100) + 1, 0)
-                signatures, prefixes = [], []
-                for a, b, w in zip((ends - counts).tolist(), ends.tolist(), window.tolist(), strict=True):
-                    own, tail = values[a:b], late[a:b]
-                    signatures.append(xxhash.xxh3_128_digest(own.tobytes()))
-                    first = own[~tail][:w]
-                    prefixes.append(first if len(first) == w else np.concatenate([first, own[tail][: w - len(first)]]))
-                flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(window)]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(signatures, pa.binary()), lists],
-                    names=["doc_id", "n_shingles", "signature", "prefix"],
-                )
+    def __init__(self, rarest_first: np.ndarray) -> None:
+        order = np.argsort(rarest_first)
+        self.often, self.rank = rarest_first[order], order.astype(np.int64)
 
-    return docs.mapInArrow(shingle, "doc_id long, n_shingles long, signature binary, prefix array<long>")
+    def ranks(self, values: np.ndarray) -> np.ndarray:
+        """Place among the frequent ones from 0, or -1."""
+        if not len(self.often):
+            return np.full(len(values), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.often, values), len(self.often) - 1)
+        return np.where(self.often[at] == values, self.rank[at], -1)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """pairs (a, b) with inter and total, the sizes of intersection and union of their sets.
+def sketch(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A row of words for each set: bit i tells whether the set holds an odd number of values that are i modulo BITS.
 
-    Only documents in pairs bring their texts, once for each pair; sets are made again from them.
+    Sets that differ in d values differ in d bits at most.
     """
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    row = np.repeat(np.arange(len(counts)), counts)
+    odd = np.bincount(row * BITS + (values % np.uint64(BITS)).astype(np.int64), minlength=len(counts) * BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(counts), BITS), axis=1).view(np.int64)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "text_a"):
-                inter, total = [], []
-                sets = [shingle_sets(part.column(c), k) for c in ("text_a", "text_b")]
-                bounds = [np.cumsum(n) for _, n in sets]
-                for i in range(part.num_rows):
-                    x, y = (v[b[i] - n[i] : b[i]] for (v, n), b in zip(sets, bounds, strict=True))
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    inter.append(both)
-                    total.append(len(x) + len(y) - both)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(inter, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "inter", "total"])
 
-    # Pairs and texts grow with the corpus alike, so neither is broadcast.
-    return pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, inter long, total long")
+def _lists(sizes: np.ndarray, flat: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat))
 
 
-def _may_link(percent: int):
-    """Sizes, and the places of the common pivot where it is the first, leave room for enough common shingles."""
-    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / F.lit(100 + percent))
-    return F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need
+SETS = "doc_id long, text_hash long, n long, signature binary, window array<long>, bits array<long>"
 
 
-def _pairs_within(regions: DataFrame, percent: int) -> DataFrame:
-    """Pairs of documents of the same region that may link; regions are small, or what splitting has left."""
-    other = regions.select("region", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos", "component")])
-    met = regions.join(other, "region").filter((F.col("doc") < F.col("doc2")) & (F.col("component") != F.col("component2")))
-    return met.filter(_may_link(percent)).select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
+def shingled(texts: DataFrame, k: int, percent: int, rarity: Broadcast) -> DataFrame:
+    """doc_id, text_hash, n (size of the set), its signature (16 bytes), its window of pivots and its sketch, a row for each row."""
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                values, counts = shingle_sets(part.column("text"), k)
+                ranks = rarity.value.ranks(values)
+                ends = np.cumsum(counts)
+                width = np.where(counts > 0, counts - -(-percent * counts // 100) + 1, 0)
+                signatures, windows = [], [np.zeros(0, np.uint64)]
+                for a, b, w in zip((ends - counts).tolist(), ends.tolist(), width.tolist(), strict=True):
+                    own, rank = values[a:b], ranks[a:b]
+                    signatures.append(xxhash.xxh3_128_digest(own.tobytes()))
+                    first = own[rank < 0][:w]
+                    if len(first) < w:
+                        late = np.flatnonzero(rank >= 0)
+                        first = np.concatenate([first, own[late[np.argsort(rank[late])][: w - len(first)]]])
+                    windows.append(first)
+                bits = sketch(values, counts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"), part.column("text_hash"), pa.array(counts.astype(np.int64)), pa.array(signatures, pa.binary()),
+                        _lists(width, np.concatenate(windows).view(np.int64)), _lists(np.full(len(bits), bits.shape[1]), bits.ravel()),
+                    ],
+                    names=[f.split()[0] for f in SETS.split(", ")],
+                )
 
+    return texts.mapInArrow(shingle, SETS)
 
-def _clusters(regions: DataFrame) -> DataFrame:
-    """Large regions that share documents, as one: a group of near copies meets in most of its shingles' regions,
-    which differ by a few documents each."""
-    heads = regions.groupBy("region").agg(F.min("doc").alias("head"))
-    star = regions.join(heads, "region").select(F.col("doc").alias("a"), F.col("head").alias("b"))
-    found = connected_components(star)
-    sizes = regions.select("doc", "n").distinct()
-    return materialize(found.join(sizes, found["node"] == sizes["doc"]).select(F.col("component").alias("region"), "doc", "n", F.lit(0).alias("pos")), "clusters")
 
+def _room(percent: int, c: str = "") -> tuple[Column, Column]:
+    """a and 2 c - a of the module's description, in whole numbers: 100 + percent times as much."""
+    n, e, pos = F.col(f"n{c}"), F.col(f"e{c}"), F.col(f"pos{c}")
+    a = (100 + percent) * e - (100 - percent) * n
+    return a, 2 * (100 + percent) * (e - pos) - a
 
-def _labelled(regions: DataFrame, links: DataFrame) -> DataFrame:
-    """region, doc, n, pos with size and the component of each document so far, without the regions that are one
-    component and without all but one of the regions that hold the same documents.
 
-    The place of the pivot is dropped (0): regions that look alike may differ in it.
+def _pairs_within(regions: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the documents of small regions that may link and are not known to be connected."""
+    other = regions.select("region", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "e", "pos", "key")])
+    (a, room), (a2, room2) = _room(percent), _room(percent, "2")
+    met = regions.join(other, "region").filter((F.col("doc") < F.col("doc2")) & (F.col("key") != F.col("key2")) & (a <= room2) & (a2 <= room))
+    return met.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
+
+
+def _alive(regions: DataFrame, percent: int) -> DataFrame:
+    """regions without the documents that have no partner: none of another key that leaves room for enough common elements."""
+    a, room = _room(percent)
+    least = regions.groupBy("region", "key").agg(F.min(a).alias("a"))
+    first = least.groupBy("region").agg(F.min(F.struct("a", "key")).alias("first"))
+    second = least.join(first, "region").filter(F.col("key") != F.col("first.key")).groupBy("region").agg(F.min("a").alias("second"), F.first("first").alias("first"))
+    # A region with one key has no second and so no partners at all.
+    partner = F.when(F.col("key") == F.col("first.key"), F.col("second")).otherwise(F.col("first.a"))
+    return regions.join(second, "region").filter(partner <= room).select(regions.columns)
+
+
+def _sized(regions: DataFrame) -> DataFrame:
+    """regions with the size of each, without those of one document."""
+    return regions.join(regions.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1"), "region")
+
+
+class Corpus:
+    """Heads of the documents with equal sets, and how to get at their texts."""
+
+    def __init__(self, texts: DataFrame, heads: DataFrame, k: int, percent: int, rarity: Broadcast, tables: Tables) -> None:
+        self.texts, self.heads, self.k, self.percent, self.rarity, self.tables = texts, heads, k, percent, rarity, tables
+
+    def may_be_near(self, pairs: DataFrame, share: int) -> DataFrame:
+        """The pairs (a, b) for which sizes and sketches allow 100 * intersection >= share * union."""
+        sides = [self.heads.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b")]
+        words = BITS // 64
+        apart = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(words)), F.lit(0))
+        sizes = F.col("n_a") + F.col("n_b")
+        fits = ((100 + share) * apart <= (100 - share) * sizes) & (100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b"))
+        return pairs.join(sides[0], "a").join(sides[1], "b").filter(fits).select("a", "b")
+
+    def measured(self, pairs: DataFrame, share: int, elements: bool = False) -> DataFrame:
+        """a, b, n, n2 (sizes of their sets), inter, for the pairs (a, b) with 100 * intersection >= share * union.
+
+        With elements also the window of a into regions by what tells it from b.
+        """
+        k, percent, rarity = self.k, self.percent, self.rarity
+        pairs = self.tables.write(self.may_be_near(pairs, share), "pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.heads.select("node", "doc_id", "text_hash"), "node")
+        ids = self.tables.write(ids, "involved")
+        few = ids.count() <= BROADCAST_IDS
+        own = self.texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+        texts = own.join(F.broadcast(ids) if few else ids, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
+        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in text_slices(batch, "text_a"):
+                    rows, windows = [], []
+                    sets = [shingle_sets(part.column(c), k) for c in ("text_a", "text_b")]
+                    bounds = [np.cumsum(n) for _, n in sets]
+                    for i, (a, b) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)):
+                        x, p = (v[end[i] - n[i] : end[i]] for (v, n), end in zip(sets, bounds, strict=True))
+                        inter = len(np.intersect1d(x, p, assume_unique=True))
+                        if 100 * inter >= share * (len(x) + len(p) - inter):
+                            rows.append((a, b, len(x), len(p), inter))
+                            windows.append(difference_window(x, p, inter, percent, rarity.value) if elements else np.zeros(0, np.int64))
+                    columns = np.array(rows, np.int64).reshape(-1, 5).T
+                    sizes = np.fromiter(map(len, windows), np.int64, len(windows))
+                    flat = np.concatenate([np.zeros(0, np.int64), *windows])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), _lists(sizes, flat)], names=["a", "b", "n", "n2", "inter", "window"])
+
+        # Pairs and texts grow with the corpus alike, so neither is broadcast.
+        joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
+        return joined.mapInArrow(compare, "a long, b long, n long, n2 long, inter long, window array<long>")
+
+
+def difference_window(x: np.ndarray, p: np.ndarray, inter: int, percent: int, rarity: Rarity) -> np.ndarray:
+    """The elements of x ^ p, rarest first, as far as x may meet a partner there that does not link with p if x does.
+
+    What x adds comes before what it lacks, as its own words are rare; the latter is told apart by its sign bit's complement.
     """
-    found = connected_components(links)
-    bare = regions.select("region", "doc", "n", F.lit(0).alias("pos"))
-    named = bare.join(found, bare["doc"] == found["node"], "left").withColumn("component", F.coalesce("component", "doc")).drop("node")
-    alike = [F.count("*").alias("size"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("sum"), F.expr("bit_xor(xxhash64(doc, 1))").alias("xor")]
-    sizes = named.groupBy("region").agg(*alike, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    return named.join(sizes.groupBy("size", "sum", "xor").agg(F.min("region").alias("region")).select("region", "size"), "region")
+    e = len(x) + len(p) - 2 * inter
+    a, own = (100 + percent) * e - (100 - percent) * len(x), (100 - percent) * len(p)
+    # The least a of a partner: it does not link with p, or else it differs from p by one element at least.
+    least = own + 1 if 100 * inter >= percent * (len(x) + len(p) - inter) else 2 * percent - own
+    width = e - -(-(a + least) // (2 * (100 + percent))) + 1
+    added, lacks = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
+    added = added[np.lexsort((added, rarity.ranks(added)))]
+    return np.concatenate([added.view(np.int64), ~lacks.view(np.int64)])[: max(int(width), 0)]
+
+
+def _linked(percent: int) -> Column:
+    return 100 * F.col("inter") >= percent * (F.col("n") + F.col("n2") - F.col("inter"))
+
 
+REGION = ["region", "doc", "n", "e", "pos", "key", "age"]
 
-def _split(regions: DataFrame, docs: DataFrame, k: int, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Links with the document pivots of large regions, and the regions or cells that are left of these.
 
-    Pivots come from different components. Distances to all pivots of the region are exact. A document
-    goes to every cell whose pivot is within 2 * t of its nearest.
+def _turn(large: DataFrame, corpus: Corpus) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) with the pivots of large regions, and the regions that are still to be joined.
+
+    Regions that choose the same first pivot are one from then on. key: documents of one key are in one
+    component, or are all within the window of a pivot and so meet in its regions.
     """
-    slot = F.pmod(F.xxhash64("component", F.lit(turn)), F.lit(PIVOTS))
-    first = F.min(F.struct(F.xxhash64("component", F.lit(turn)), F.xxhash64("doc"), "doc"))
-    pivots = materialize(regions.groupBy("region", slot.alias("slot")).agg(first.alias("p")).select("region", F.col("p.doc").alias("pivot")), "pivots")
-    met = regions.join(pivots, "region").filter("doc != pivot").withColumns({"a": F.least("doc", "pivot"), "b": F.greatest("doc", "pivot")})
-    known = materialize(verified(met.select("a", "b").distinct(), docs, k), "known")
-    links = known.filter(100 * F.col("inter") >= percent * F.col("total")).select("a", "b")
-    others = regions.join(pivots.withColumnRenamed("pivot", "doc"), ["region", "doc"], "left_anti").select("region", "doc", "n", "pos")
-    far = met.join(known, ["a", "b"]).select("region", "doc", "pivot", (1 - F.col("inter") / F.col("total")).alias("d")).join(others.select("region", "doc"), ["region", "doc"], "left_semi")
-    nearest = far.groupBy("region", "doc").agg(F.min("d").alias("home"))
-    reach = 2 * (100 - percent) / 100 + 1e-9
-    cells = materialize(far.join(nearest, ["region", "doc"]).filter(F.col("d") <= F.col("home") + reach).select("region", "doc", "pivot"), "cells")
-    fall = cells.groupBy("region").agg(F.count("*").alias("rows"), F.countDistinct("doc").alias("docs")).filter(F.col("rows") <= REPLICATION * F.col("docs")).select("region")
-    falling = others.join(fall, "region", "left_semi").join(cells, ["region", "doc"]).withColumn("region", F.xxhash64("region", "pivot")).drop("pivot")
-    return links, falling.select(*others.columns).union(others.join(fall, "region", "left_anti"))
-
-
-def links_between(sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) among the documents of sets (doc_id, n_shingles, prefix; distinct sets): enough of them to
-    give the same connected components as all links."""
-    posted = sets.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "region"))
-    shared = posted.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
-    regions = materialize(posted.join(shared, "region").withColumn("component", F.col("doc")), "regions")
-    links = materialize(_confirmed(_pairs_within(regions.filter(F.col("size") <= SMALL_REGION), percent), docs, k, percent), "links")
-    large = _clusters(regions.filter(F.col("size") > SMALL_REGION))
-    for turn in range(ROUNDS):
-        if large.isEmpty():
-            return links
-        large = materialize(_labelled(large, links), "large")
-        small = large.filter(F.col("size") <= SMALL_REGION)
-        if not small.isEmpty():
-            links = materialize(links.union(_confirmed(_pairs_within(small, percent), docs, k, percent)), "links")
+    percent, tables = corpus.percent, corpus.tables
+    share = 2 * percent - 100
+    score = large.groupBy("doc").agg(F.count("*").alias("score"))
+    slot = F.pmod(F.xxhash64("doc", "age"), F.least(F.lit(PIVOTS), F.pow(F.lit(4), F.col("age"))).cast("long"))
+    best = F.max(F.struct("score", F.xxhash64("doc"), "doc")).alias("best")
+    pivots = large.join(score, "doc").groupBy("region", slot.alias("slot")).agg(best).select("region", F.col("best.doc").alias("pivot"))
+    met = large.join(pivots, "region").withColumn("region", F.when(F.col("age") == 0, F.col("pivot")).otherwise(F.col("region")))
+    keys = F.when(F.min("key") == F.max("key"), F.min("key")).otherwise(F.col("doc")).alias("key")
+    met = tables.write(met.groupBy("region", "doc", "n", "age", "pivot").agg(keys), "met")
+    pairs = met.filter("doc != pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
+    known = tables.write(corpus.measured(pairs, share, elements=True).withColumn("linked", _linked(percent)), "known")
+    near = known.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "inter", "linked")
+    state = met.join(near, ["doc", "pivot"], "left").groupBy("region", "doc", "n", "age", "key").agg(
+        F.max(F.coalesce("linked", F.col("doc") == F.col("pivot"))).alias("left"), F.max(F.struct("inter", "pivot"))["pivot"].alias("nearest"), F.max("inter").alias("inter")
+    )
+    rest = state.filter(~F.col("left")).withColumn("key", F.when(F.col("inter").isNotNull(), F.col("nearest")).otherwise(F.col("key")))
+    rest = rest.select("region", "doc", "n", F.col("n").alias("e"), F.lit(0).alias("pos"), "key", (F.col("age") + 1).alias("age"))
+    dealt = known.select("a", "b", "n", (F.col("n") + F.col("n2") - 2 * F.col("inter")).alias("e"), "linked", F.posexplode("window").alias("pos", "element"))
+    key = F.when(F.col("linked"), F.col("b")).otherwise(F.col("a")).alias("key")
+    again = dealt.select(F.xxhash64("b", "element").alias("region"), F.col("a").alias("doc"), "n", "e", "pos", key, F.lit(0).alias("age"))
+    return known.filter("linked").select("a", "b"), again.select(REGION).union(rest.select(REGION))
+
+
+def links_between(corpus: Corpus) -> DataFrame:
+    """Links (a, b) among the heads: enough of them to give the same connected components as all links."""
+    percent, tables = corpus.percent, corpus.tables
+    # One exchange serves the count of each region and the join with it.
+    posted = corpus.heads.select(F.col("node").alias("doc"), "n", F.posexplode("window").alias("pos", "region")).repartition("region")
+    shared = posted.join(posted.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1"), "region")
+    whole = shared.withColumns({"e": F.col("n"), "key": F.col("doc"), "age": F.lit(0)})
+    regions = tables.write(whole.select(*REGION, "size"), "regions")
+    pairs = [_pairs_within(regions.filter(F.col("size") <= SMALL_REGION), percent)]
+    links, large = [], regions.filter(F.col("size") > SMALL_REGION).select(REGION)
+    for _ in range(TURNS):
+        once = tables.write(_alive(large, percent), "alive")
+        large = tables.write(_sized(_alive(once, percent)), "large")
+        pairs.append(_pairs_within(large.filter(F.col("size") <= SMALL_REGION), percent))
         large = large.filter(F.col("size") > SMALL_REGION)
         if large.isEmpty():
-            return links
-        more, left = _split(large, docs, k, percent, turn)
-        links, large = materialize(links.union(more), "links"), materialize(left, "left")
-    return links.union(_confirmed(_pairs_within(_labelled(large, links), percent), docs, k, percent))
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    pairs = materialize(pairs, "pairs")
-    return verified(pairs, docs, k).filter(100 * F.col("inter") >= percent * F.col("total")).select("a", "b")
+            break
+        found, left = _turn(large, corpus)
+        links.append(found)
+        large = tables.write(left, "left")
+    else:
+        pairs.append(_pairs_within(_alive(large, percent), percent))
+    together = pairs[0]
+    for more in pairs[1:]:
+        together = together.union(more)
+    links.append(corpus.measured(together.distinct(), percent).select("a", "b"))
+    out = links[0]
+    for more in links[1:]:
+        out = out.union(more)
+    return out
+
+
+#: Stands for a missing doc_id where rows are told apart.
+NO_ID = -(2**63)
+
+
+def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component, component_id and copy_of: a row for each row of docs (doc_id, text).
+
+    component: a number of the component, null for empty sets.
+    """
+    spark, tables = docs.sparkSession, Tables(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    rarity = spark.sparkContext.broadcast(Rarity(frequent_shingles(texts, k)))
+    sets = materialize(shingled(texts, k, percent, rarity), "sets")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text_hash")).alias("first")
+    alike = sets.filter("n > 0").groupBy("signature").agg(first, F.min("doc_id").alias("copy_of"))
+    # Written once, so the numbers stay.
+    names = materialize(alike.select("signature", "first.*", "copy_of").withColumn("node", F.monotonically_increasing_id()), "names")
+    own = [F.coalesce(sets["doc_id"], F.lit(NO_ID)) == names["doc_id"], *[sets[c] == names[c] for c in ("text_hash", "signature")]]
+    heads = tables.write(sets.join(names, own).select("node", names["doc_id"], names["text_hash"], "n", "window", "bits").dropDuplicates(["node"]), "heads")
+    found = connected_components(links_between(Corpus(texts, heads, k, percent, rarity, tables)))
+    tables.drop()
+    named = names.select("signature", "node", "copy_of").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("copy_of").alias("component_id"))
+    classes = named.join(least, "component").select("signature", "component", "component_id", "copy_of")
+    return sets.join(classes, "signature", "left").select(
+        "doc_id",
+        "text_hash",
+        F.col("n").alias("n_shingles"),
+        "component",
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("copy_of")).otherwise(F.col("doc_id")).alias("copy_of"),
+    )
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -265,24 +391,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     Two documents link when 100 * intersection >= percent * union of their sets of k-word shingles. Null
     text and texts without words have empty sets and link with nothing; a text with under k words is one
-    shingle. Rows without a doc_id are left out; rows that share a doc_id are told apart by nothing and
-    count as linked. An empty table gives no rows; other columns are ignored.
+    shingle. Every row gets a row, rows that share a doc_id too; where no row of a component has a doc_id,
+    component_id is null. An empty table gives no rows; other columns are ignored.
     """
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialize(shingled(texts, k, percent, frequent_shingles(texts, k)), "sets")
-    alike = sets.filter("n_shingles > 0").groupBy("signature").agg(F.min("doc_id").alias("copy_of"))
-    heads = sets.filter("n_shingles > 0").join(alike.select(F.col("copy_of").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    found = connected_components(links_between(heads, texts, k, percent))
-    named = sets.select("doc_id", "n_shingles", "signature").join(alike, "signature", "left")
-    return named.join(found, named["copy_of"] == found["node"], "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.coalesce("component", "copy_of")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n_shingles") > 0, F.col("copy_of")).otherwise(F.col("doc_id")).alias("copy_of"),
-    )
+    return jaccard_sets(docs, k, percent).drop("text_hash", "component")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs, all columns kept, with one document (the least doc_id) of each component; rows without a doc_id go."""
-    found = jaccard_components(docs, k, percent)
-    return docs.join(found.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    """docs, all columns kept, with one row of each component: the first by doc_id (null first), then by a hash of its text.
+
+    Rows whose sets are empty all stay; of rows that are alike in doc_id and text one stays. Columns of docs
+    may have any names.
+    """
+    found = jaccard_sets(docs, k, percent).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    best = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("best")).select("best.*", F.lit(False).alias("all"))
+    kept = best.union(found.filter("component is null").select("doc_id", "text_hash", F.lit(True)).distinct())
+    id_, hash_, all_, turn = fresh(docs, "id", "hash", "all", "turn")
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), hash_: F.xxhash64("text")})
+    joined = keyed.join(kept.toDF(id_, hash_, all_), [id_, hash_])
+    # The join has put rows that are alike side by side, so the window needs no exchange of its own.
+    numbered = joined.withColumn(turn, F.row_number().over(Window.partitionBy(id_, hash_).orderBy(id_)))
+    return numbered.filter(F.col(all_) | (F.col(turn) == 1)).select(*docs.columns)
