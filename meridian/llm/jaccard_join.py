@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Tables, fresh, materialize, text_slices
+from .shared import Tables, fresh, materialize, small_batches, text_slices
 
 #: Shingles told to be frequent and so used as the last pivots; 16 bytes each are broadcast.
 FREQUENT = 200_000
@@ -49,6 +49,8 @@ SMALL_REGION = 32
 PIVOTS, TURNS = 64, 10
 #: Documents in candidate pairs up to which their ids (24 bytes) are sent to the texts; beyond, both are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Texts, and pairs of texts, of an Arrow batch.
+TEXTS_A_BATCH, PAIRS_A_BATCH = 1000, 250
 #: Bits of the parity sketch of a set.
 BITS = 512
 
@@ -266,7 +268,8 @@ class Corpus:
 
         # Pairs and texts grow with the corpus alike, so neither is broadcast.
         joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
-        return joined.mapInArrow(compare, "a long, b long, n long, n2 long, inter long, window array<long>")
+        with small_batches(joined.sparkSession, PAIRS_A_BATCH):
+            return self.tables.write(joined.mapInArrow(compare, "a long, b long, n long, n2 long, inter long, window array<long>"), "measured")
 
 
 def difference_window(x: np.ndarray, p: np.ndarray, inter: int, percent: int, rarity: Rarity) -> np.ndarray:
@@ -299,15 +302,17 @@ def _turn(large: DataFrame, corpus: Corpus) -> tuple[DataFrame, DataFrame]:
     """
     percent, tables = corpus.percent, corpus.tables
     share = 2 * percent - 100
-    score = large.groupBy("doc").agg(F.count("*").alias("score"))
+    # Of whole sets the one that most regions share lies in the middle; of differences from a pivot, the least one.
+    score = large.groupBy("doc").agg(F.count("*").alias("regions"))
+    score_of = F.when(F.col("e") == F.col("n"), F.col("regions")).otherwise(-F.col("e")).alias("score")
     slot = F.pmod(F.xxhash64("doc", "age"), F.least(F.lit(PIVOTS), F.pow(F.lit(4), F.col("age"))).cast("long"))
-    best = F.max(F.struct("score", F.xxhash64("doc"), "doc")).alias("best")
+    best = F.max(F.struct(score_of, F.xxhash64("doc"), "doc")).alias("best")
     pivots = large.join(score, "doc").groupBy("region", slot.alias("slot")).agg(best).select("region", F.col("best.doc").alias("pivot"))
     met = large.join(pivots, "region").withColumn("region", F.when(F.col("age") == 0, F.col("pivot")).otherwise(F.col("region")))
     keys = F.when(F.min("key") == F.max("key"), F.min("key")).otherwise(F.col("doc")).alias("key")
     met = tables.write(met.groupBy("region", "doc", "n", "age", "pivot").agg(keys), "met")
     pairs = met.filter("doc != pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
-    known = tables.write(corpus.measured(pairs, share, elements=True).withColumn("linked", _linked(percent)), "known")
+    known = corpus.measured(pairs, share, elements=True).withColumn("linked", _linked(percent))
     near = known.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "inter", "linked")
     state = met.join(near, ["doc", "pivot"], "left").groupBy("region", "doc", "n", "age", "key").agg(
         F.max(F.coalesce("linked", F.col("doc") == F.col("pivot"))).alias("left"), F.max(F.struct("inter", "pivot"))["pivot"].alias("nearest"), F.max("inter").alias("inter")
@@ -363,8 +368,9 @@ def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     spark, tables = docs.sparkSession, Tables(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    rarity = spark.sparkContext.broadcast(Rarity(frequent_shingles(texts, k)))
-    sets = materialize(shingled(texts, k, percent, rarity), "sets")
+    with small_batches(spark, TEXTS_A_BATCH):
+        rarity = spark.sparkContext.broadcast(Rarity(frequent_shingles(texts, k)))
+        sets = materialize(shingled(texts, k, percent, rarity), "sets")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text_hash")).alias("first")
     alike = sets.filter("n > 0").groupBy("signature").agg(first, F.min("doc_id").alias("copy_of"))
     # Written once, so the numbers stay.
