@@ -51,9 +51,6 @@ PIVOTS, TURNS = 64, 10
 BROADCAST_IDS = 1_000_000
 #: Texts, and pairs of texts, of an Arrow batch.
 TEXTS_A_BATCH, PAIRS_A_BATCH = 1000, 250
-#: Bits of the parity sketch of a set.
-BITS = 512
-
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -140,14 +137,19 @@ class Rarity:
         return np.where(self.often[at] == values, self.rank[at], -1)
 
 
-def sketch(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A row of words for each set: bit i tells whether the set holds an odd number of values that are i modulo BITS.
+def sketches(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit words of the parity sketches of all sets, one after the other, and how many each has.
 
-    Sets that differ in d values differ in d bits at most.
+    Bit i tells whether the set holds an odd number of values that are i modulo the number of bits, the
+    power of two that is from two to four times the size of the set (512 at least). Sets that differ in d
+    values differ in d bits at most; the exclusive or of the halves of a sketch is the sketch of half the length.
     """
+    words = 1 << np.maximum(3, np.ceil(np.log2(np.maximum(counts, 1) / 32)).astype(np.int64))
+    starts = np.cumsum(words) - words
     row = np.repeat(np.arange(len(counts)), counts)
-    odd = np.bincount(row * BITS + (values % np.uint64(BITS)).astype(np.int64), minlength=len(counts) * BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(len(counts), BITS), axis=1).view(np.int64)
+    at = 64 * starts[row] + (values % (64 * words[row]).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=64 * int(words.sum())) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64), words
 
 
 def _lists(sizes: np.ndarray, flat: np.ndarray) -> pa.ListArray:
@@ -176,11 +178,11 @@ def shingled(texts: DataFrame, k: int, percent: int, rarity: Broadcast) -> DataF
                         late = np.flatnonzero(rank >= 0)
                         first = np.concatenate([first, own[late[np.argsort(rank[late])][: w - len(first)]]])
                     windows.append(first)
-                bits = sketch(values, counts)
+                bits, words = sketches(values, counts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("text_hash"), pa.array(counts.astype(np.int64)), pa.array(signatures, pa.binary()),
-                        _lists(width, np.concatenate(windows).view(np.int64)), _lists(np.full(len(bits), bits.shape[1]), bits.ravel()),
+                        _lists(width, np.concatenate(windows).view(np.int64)), _lists(words, bits),
                     ],
                     names=[f.split()[0] for f in SETS.split(", ")],
                 )
@@ -228,10 +230,16 @@ class Corpus:
     def may_be_near(self, pairs: DataFrame, share: int) -> DataFrame:
         """The pairs (a, b) for which sizes and sketches allow 100 * intersection >= share * union."""
         sides = [self.heads.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b")]
-        words = BITS // 64
-        apart = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(words)), F.lit(0))
+        length = F.least(F.size("bits_a"), F.size("bits_b"))
+
+        def word(bits: str, i: Column) -> Column:
+            """Word i of a sketch that is cut to the common length."""
+            parts = F.sequence(F.lit(0), (F.size(bits) / length).cast("int") - 1)
+            return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, j: acc.bitwiseXOR(F.get(bits, i + j * length)))
+
+        apart = F.aggregate(F.sequence(F.lit(0), length - 1), F.lit(0), lambda acc, i: acc + F.bit_count(word("bits_a", i).bitwiseXOR(word("bits_b", i))))
         sizes = F.col("n_a") + F.col("n_b")
-        fits = ((100 + share) * apart <= (100 - share) * sizes) & (100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b"))
+        fits = (100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b")) & ((100 + share) * apart <= (100 - share) * sizes)
         return pairs.join(sides[0], "a").join(sides[1], "b").filter(fits).select("a", "b")
 
     def measured(self, pairs: DataFrame, share: int, elements: bool = False) -> DataFrame:
@@ -328,13 +336,14 @@ def _turn(large: DataFrame, corpus: Corpus) -> tuple[DataFrame, DataFrame]:
 def links_between(corpus: Corpus) -> DataFrame:
     """Links (a, b) among the heads: enough of them to give the same connected components as all links."""
     percent, tables = corpus.percent, corpus.tables
-    # One exchange serves the count of each region and the join with it.
-    posted = corpus.heads.select(F.col("node").alias("doc"), "n", F.posexplode("window").alias("pos", "region")).repartition("region")
-    shared = posted.join(posted.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1"), "region")
-    whole = shared.withColumns({"e": F.col("n"), "key": F.col("doc"), "age": F.lit(0)})
-    regions = tables.write(whole.select(*REGION, "size"), "regions")
-    pairs = [_pairs_within(regions.filter(F.col("size") <= SMALL_REGION), percent)]
-    links, large = [], regions.filter(F.col("size") > SMALL_REGION).select(REGION)
+    # One exchange, of rows as short as may be, serves all that follows; n and pos share a word.
+    window = F.transform("window", lambda g, i: F.struct(g.alias("region"), F.shiftleft(F.col("n"), 32).bitwiseOR(i.cast("long")).alias("place")))
+    posted = corpus.heads.select(F.col("node").alias("doc"), F.explode(window).alias("post")).select("post.region", "doc", "post.place").repartition("region")
+    sized = posted.withColumn("size", F.count("*").over(Window.partitionBy("region"))).filter("size > 1")
+    n = F.shiftright("place", 32).alias("n")
+    regions = sized.select("region", "doc", n, n.alias("e"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), F.col("doc").alias("key"), F.lit(0).alias("age"), "size")
+    pairs = [tables.write(_pairs_within(regions.filter(F.col("size") <= SMALL_REGION), percent), "first_pairs")]
+    links, large = [], tables.write(regions.filter(F.col("size") > SMALL_REGION).select(REGION), "first_large")
     for _ in range(TURNS):
         once = tables.write(_alive(large, percent), "alive")
         large = tables.write(_sized(_alive(once, percent)), "large")
@@ -371,15 +380,14 @@ def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     with small_batches(spark, TEXTS_A_BATCH):
         rarity = spark.sparkContext.broadcast(Rarity(frequent_shingles(texts, k)))
         sets = materialize(shingled(texts, k, percent, rarity), "sets")
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text_hash")).alias("first")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text_hash", "n", "window", "bits")).alias("first")
     alike = sets.filter("n > 0").groupBy("signature").agg(first, F.min("doc_id").alias("copy_of"))
     # Written once, so the numbers stay.
-    names = materialize(alike.select("signature", "first.*", "copy_of").withColumn("node", F.monotonically_increasing_id()), "names")
-    own = [F.coalesce(sets["doc_id"], F.lit(NO_ID)) == names["doc_id"], *[sets[c] == names[c] for c in ("text_hash", "signature")]]
-    heads = tables.write(sets.join(names, own).select("node", names["doc_id"], names["text_hash"], "n", "window", "bits").dropDuplicates(["node"]), "heads")
+    heads = tables.write(alike.select("signature", "first.*", "copy_of").withColumn("node", F.monotonically_increasing_id()), "heads")
+    names = materialize(heads.select("signature", "copy_of", "node"), "names")
     found = connected_components(links_between(Corpus(texts, heads, k, percent, rarity, tables)))
     tables.drop()
-    named = names.select("signature", "node", "copy_of").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = names.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("copy_of").alias("component_id"))
     classes = named.join(least, "component").select("signature", "component", "component_id", "copy_of")
     return sets.join(classes, "signature", "left").select(
