@@ -1,12 +1,12 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model a language, of order four over an alphabet of 64 classes: 0 for all that is no letter, the
-62 most frequent letters of the training texts, and one for other letters. Every n-gram of the training
-texts counts: probabilities are derived in Spark, order by order, and only the finished ones come to
-the driver, as sorted arrays of n-grams with an entry for each language that has one. A text gets
-the language with the lowest cross-entropy a character; the margin to the second is turned into a
-score by a logistic curve fitted on training documents, and a cross-entropy far above theirs marks
-the answer as unreliable.
+One model a language, of order four over an alphabet of classes: 0 for all that is no letter, one for
+each letter of the training texts, whatever its script, and one for letters that these lack. Every
+n-gram of the training texts counts: probabilities are derived in Spark, order by order, and only the
+finished ones come to the driver, as sorted arrays of n-grams with an entry for each language that has
+one. A text gets the language with the lowest cross-entropy a character; the margin to the second is
+turned into a score by a logistic curve fitted on documents that the counts leave out, and a
+cross-entropy far above theirs marks the answer as unreliable.
 """
 
 from __future__ import annotations
@@ -20,13 +20,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, ragged, text_slices
+from .shared import materialize, ragged, small_batches, text_slices
 
-ORDER, BITS = 4, 6
+#: Four classes fill 60 bits; 32,766 letters have one of their own, by frequency, which is more than any script has in use.
+ORDER, BITS = 4, 15
 CLASSES = 1 << BITS
 DISCOUNT = 0.75
-#: Bound: documents for the calibration.
-CALIBRATION_DOCS = 1_000
+#: Bound: about so many documents for the calibration, and about one in so many of a language at most.
+CALIBRATION_DOCS, CALIBRATE_ONE_IN = 1_000, 10
+#: Bytes of text scored at a time; n-grams whose probabilities a task remembers.
+SLICE, REMEMBERED = 1 << 20, 2_000_000
 
 
 @dataclass
@@ -79,7 +82,7 @@ class Model:
 
 def class_table(letters: list[str]) -> np.ndarray:
     """Class of every code point."""
-    table = np.array([CLASSES - 1 if chr(c).isalpha() else 0 for c in range(0x110000)], dtype=np.uint8)
+    table = np.array([CLASSES - 1 if chr(c).isalpha() else 0 for c in range(0x110000)], dtype=np.int64)
     place = {x: i + 1 for i, x in enumerate(letters)}
     for c in np.flatnonzero(table).tolist():
         table[c] = place.get(chr(c).lower(), CLASSES - 1)
@@ -100,7 +103,7 @@ def gram_codes(texts: list[str], classes: np.ndarray) -> tuple[np.ndarray, np.nd
     starts = np.cumsum(sizes) - sizes
     pad = ORDER - 1
     at = np.arange(len(own)) + np.repeat(np.arange(1, len(texts) + 1) * pad, sizes)
-    padded = np.zeros(len(own) + pad * len(texts), np.int32)
+    padded = np.zeros(len(own) + pad * len(texts), np.int64)
     padded[at] = own
     code = padded[at]
     for k in range(1, ORDER):
@@ -127,6 +130,13 @@ def _letters(training: DataFrame) -> list[str]:
     return sorted(totals, key=lambda x: (-totals[x], x))[: CLASSES - 2]
 
 
+def _grouped(lang: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of language and code, ascending, and which of them each row has."""
+    codes, place = np.unique(code, return_inverse=True)
+    pairs, of = np.unique(lang * len(codes) + place, return_inverse=True)
+    return pairs // max(len(codes), 1), codes[pairs % max(len(codes), 1)], of
+
+
 def _counts(training: DataFrame, letters: list[str], langs: list[str]) -> DataFrame:
     """lang (its index), code and n, the count, of every n-gram of the highest order."""
     shared = training.sparkSession.sparkContext.broadcast((class_table(letters), {x: i for i, x in enumerate(langs)}))
@@ -134,14 +144,13 @@ def _counts(training: DataFrame, letters: list[str], langs: list[str]) -> DataFr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, place = shared.value
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, most=SLICE):
                 code, text, _ = gram_codes(part.column("text").to_pylist(), classes)
-                lang = np.array([place[x] for x in part.column("lang").to_pylist()], np.int64)
-                key, n = np.unique((lang[text] << (BITS * ORDER)) | code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+                own = np.array([place[x] for x in part.column("lang").to_pylist()], np.int64)
+                lang, grams, of = _grouped(own[text], code)
+                yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(grams), pa.array(np.bincount(of, minlength=len(grams)))], names=["lang", "code", "n"])
 
-    summed = training.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return summed.select(F.shiftright("key", BITS * ORDER).cast("int").alias("lang"), _low(F.col("key"), ORDER).alias("code"), "n")
+    return training.mapInArrow(count, "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def _low(code: Column, order: int) -> Column:
@@ -149,12 +158,13 @@ def _low(code: Column, order: int) -> Column:
     return code.bitwiseAND(F.lit((1 << BITS * order) - 1).cast("long"))
 
 
-def _unigrams(lang: np.ndarray, code: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+def _unigrams(lang: np.ndarray, code: np.ndarray, n: np.ndarray, width: int, letters: int) -> np.ndarray:
+    """What is discounted goes to all letters, non-letters and unknown letters alike."""
     counts = np.zeros((CLASSES, width))
     counts[code, lang] = n
     total = np.maximum(counts.sum(axis=0), 1)
     spare = np.where(counts.sum(axis=0) > 0, DISCOUNT * (counts > 0).sum(axis=0) / total, 1.0)
-    return np.maximum(counts - DISCOUNT, 0) / total + spare / CLASSES
+    return np.maximum(counts - DISCOUNT, 0) / total + spare / (letters + 2)
 
 
 def fit(lang: np.ndarray, code: np.ndarray, n: np.ndarray, langs: list[str], letters: list[str]) -> Model:
@@ -164,14 +174,13 @@ def fit(lang: np.ndarray, code: np.ndarray, n: np.ndarray, langs: list[str], let
     """
     grams, backoff = [], []
     for order in range(ORDER, 1, -1):
-        contexts, of = np.unique((lang << BITS * order) | (code >> BITS), return_inverse=True)
+        context_lang, contexts, of = _grouped(lang, code >> BITS)
         total, kinds = np.bincount(of, n, len(contexts)), np.bincount(of, minlength=len(contexts))
         grams.insert(0, Table.of(lang, code, np.maximum(n - DISCOUNT, 0) / total[of], 0.0, len(langs)))
-        backoff.insert(0, Table.of(contexts >> BITS * order, contexts & ((1 << BITS * order) - 1), DISCOUNT * kinds / total, 1.0, len(langs)))
-        width = BITS * (order - 1)
-        pairs, n = np.unique((lang << width) | (code & ((1 << width) - 1)), return_counts=True)
-        lang, code = pairs >> width, pairs & ((1 << width) - 1)
-    return Model(langs, letters, _unigrams(lang, code, n, len(langs)), grams, backoff)
+        backoff.insert(0, Table.of(context_lang, contexts, DISCOUNT * kinds / total, 1.0, len(langs)))
+        lang, code, of = _grouped(lang, code & ((1 << BITS * (order - 1)) - 1))
+        n = np.bincount(of, minlength=len(code))
+    return Model(langs, letters, _unigrams(lang, code, n, len(langs), len(letters)), grams, backoff)
 
 
 def fit_all(counts: DataFrame, langs: list[str], letters: list[str]) -> Model:
@@ -188,48 +197,48 @@ def fit_all(counts: DataFrame, langs: list[str], letters: list[str]) -> Model:
         grams.insert(0, Table.of(*arrays(keyed.join(contexts, ["lang", "context"]).select("lang", "code", share.alias("p"))), 0.0, len(langs)))
         backoff.insert(0, Table.of(*arrays(contexts.select("lang", "context", (DISCOUNT * F.col("kinds") / F.col("total")).alias("p"))), 1.0, len(langs)))
         level = level.groupBy("lang", _low(F.col("code"), order - 1).alias("code")).agg(F.count("*").alias("n"))
-    return Model(langs, letters, _unigrams(*arrays(level), len(langs)), grams, backoff)
+    return Model(langs, letters, _unigrams(*arrays(level), len(langs), len(letters)), grams, backoff)
 
 
 class Scorer:
-    """Cross-entropies of texts; n-grams that were met before are remembered (4 bytes for each possible one)."""
+    """Cross-entropies of texts; n-grams that were met before are remembered."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.classes = model, class_table(model.letters)
-        self.slot = np.full(1 << BITS * ORDER, -1, np.int32)
-        self.known = np.zeros((0, len(model.langs)), np.float32)
+        self.codes, self.known = np.zeros(0, np.int64), np.zeros((0, len(model.langs)), np.float32)
+
+    def _log_probs(self, codes: np.ndarray) -> np.ndarray:
+        """model.log_probs() of ascending codes."""
+        if len(self.codes) > REMEMBERED:
+            self.codes, self.known = self.codes[:0], self.known[:0]
+        at = np.searchsorted(self.codes, codes)
+        met = np.append(self.codes, -1)[np.minimum(at, len(self.codes))] == codes
+        if not met.all():
+            new = codes[~met]
+            self.known = np.insert(self.known, at[~met], self.model.log_probs(new), axis=0)
+            self.codes = np.insert(self.codes, at[~met], new)
+            at = np.searchsorted(self.codes, codes)
+        return self.known[at]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Nats a character by text and language, and the letters of each text."""
         code, text, letters = gram_codes(texts, self.classes)
-        new = np.unique(code[self.slot[code] < 0])
-        if len(new):
-            self.slot[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self.known = np.concatenate([self.known, self.model.log_probs(new)])
+        own, rows = np.unique(code, return_inverse=True)
+        logs = self._log_probs(own)
         sums = np.zeros((len(texts), len(self.model.langs)))
         sizes = np.bincount(text, minlength=len(texts))
         some = np.flatnonzero(sizes)
         if len(some):
             starts = (np.cumsum(sizes) - sizes)[some]
-            rows = self.slot[code]
             for i in range(len(self.model.langs)):
-                sums[some, i] = np.add.reduceat(self.known[:, i][rows].astype(np.float64), starts)
+                sums[some, i] = np.add.reduceat(logs[:, i][rows].astype(np.float64), starts)
         return -sums / np.maximum(sizes, 1)[:, None], letters
 
 
-def _calibrate(model: Model, sample: list[tuple[str, str]]) -> None:
+def _calibrate(model: Model, margin: np.ndarray, best: np.ndarray, right: np.ndarray) -> None:
     """Logistic curve from margin to the chance of being right, and the cross-entropy beyond which none is reliable."""
-    scorer = Scorer(model)
-    parts = [scorer([t]) for t, _ in sample]
-    if not parts:
+    if not len(margin) or len(model.langs) < 2:
         return
-    entropy, letters = (np.concatenate(x) for x in zip(*parts, strict=True))
-    use = letters > 0
-    if not use.any() or len(model.langs) < 2:
-        return
-    ranked = np.sort(entropy[use], axis=1)
-    margin, best = ranked[:, 1] - ranked[:, 0], ranked[:, 0]
-    right = np.array([x for _, x in sample])[use] == np.array(model.langs)[entropy[use].argmin(axis=1)]
     w = np.array([model.slope, model.offset])
     for _ in range(50):  # Newton steps with a weak prior, so that perfect answers give a finite slope
         p = 1 / (1 + np.exp(-np.clip(w[0] * margin + w[1], -30, 30)))
@@ -242,17 +251,24 @@ def _calibrate(model: Model, sample: list[tuple[str, str]]) -> None:
 
 def train(docs: DataFrame) -> Model:
     """Model from the text and lang of docs; rows without either teach nothing."""
-    training = docs.select("text", "lang").filter("text is not null and lang is not null")
-    langs = sorted(r["lang"] for r in training.select("lang").distinct().collect())  # one row a language
-    letters = _letters(training)
-    model = fit_all(_counts(training, letters, langs), langs, letters)
-    sample = training.orderBy(F.xxhash64("text"), "lang").limit(CALIBRATION_DOCS)
-    _calibrate(model, [(r["text"], r["lang"]) for r in sample.toLocalIterator()])
+    with small_batches(docs.sparkSession, 1000):
+        training = docs.select("text", "lang", F.xxhash64("text").alias("key")).filter("text is not null and lang is not null")
+        letters = _letters(training)
+        # Texts with small hashes are for the calibration alone; only numbers come to the driver.
+        sizes = {r["lang"]: r["count"] for r in training.groupBy("lang").count().collect()}  # one row a language
+        langs = sorted(sizes)
+        share = {x: 0.0 if n < CALIBRATE_ONE_IN else min(1 / CALIBRATE_ONE_IN, CALIBRATION_DOCS / len(sizes) / n) for x, n in sizes.items()}
+        shares = F.create_map(*[F.lit(x) for kv in share.items() for x in kv]) if share else F.lit(None).cast("map<string,double>")
+        apart = F.pmod("key", F.lit(1 << 40)) < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0)) * (1 << 40)
+        kept, sample = training.filter(~apart), training.filter(apart)
+        model = fit_all(_counts(kept.drop("key"), letters, langs), langs, letters)
+        margins = predict(sample.select(F.lit(0).alias("doc_id"), "text", "lang"), model, "lang").filter("lang_pred != 'und'").select("margin", "cross_entropy", (F.col("lang_pred") == F.col("lang")).cast("double").alias("right"))
+        _calibrate(model, *(c.to_numpy().astype(np.float64) for c in margins.toArrow().columns))
     return model
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, cross_entropy, reliable for every row of docs (doc_id, text).
+def predict(docs: DataFrame, model: Model, *more: str) -> DataFrame:
+    """doc_id, lang_pred, score, cross_entropy, reliable, margin, and the string columns more, for every row of docs (doc_id, text).
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned. Ties go to the
     language that comes first by name; repeated rows get a row each; other columns are ignored.
@@ -263,19 +279,23 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(shared.value)
         langs = np.array([*shared.value.langs, "und"], dtype=object)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, most=SLICE):
                 entropy, letters = scorer(pc.fill_null(part.column("text"), "").to_pylist())
                 known = (letters > 0) & (len(langs) > 1)
                 best = np.where(known, entropy.argmin(axis=1) if len(langs) > 1 else 0, len(langs) - 1)
                 ranked = np.sort(np.column_stack([entropy, np.full((len(entropy), 2), 99.0)]), axis=1)
-                chance = 1 / (1 + np.exp(-np.clip(shared.value.slope * (ranked[:, 1] - ranked[:, 0]) + shared.value.offset, -30, 30)))
+                margin = ranked[:, 1] - ranked[:, 0]
+                chance = 1 / (1 + np.exp(-np.clip(shared.value.slope * margin + shared.value.offset, -30, 30)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(langs[best], pa.string()), pa.array(np.where(known, chance, 0.0)), pa.array(ranked[:, 0]), pa.array(known & (ranked[:, 0] <= shared.value.worst))],
-                    names=["doc_id", "lang_pred", "score", "cross_entropy", "reliable"],
-                )
-
-    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return typed.mapInArrow(score, "doc_id long, lang_pred string, score double, cross_entropy double, reliable boolean")
+                    [
+                        part.column("doc_id"), pa.array(langs[best], pa.string()), pa.array(np.where(known, chance, 0.0)), pa.array(ranked[:, 0]),
+                        pa.array(known & (ranked[:, 0] <= shared.value.worst)), pa.array(margin), *[part.column(c) for c in more],
+                    ],
+                    names=["doc_id", "lang_pred", "score", "cross_entropy", "reliable", "margin", *more],
+                )
+
+    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    return typed.mapInArrow(score, "doc_id long, lang_pred string, score double, cross_entropy double, reliable boolean, margin double" + "".join(f", {c} string" for c in more))
 
 
 def fold(doc_id: Column, folds: int = 4) -> Column:

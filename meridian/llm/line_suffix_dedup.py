@@ -20,17 +20,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACES, materialize
+from .shared import SPACES, fresh, materialize
 
 DOC = ["_doc", "_hash"]
 NO_ID = -(2**63)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with columns that name the document: its doc_id and a hash of its text."""
-    return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_hash": F.xxhash64("text")})
-
-
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
@@ -52,7 +47,8 @@ def _least_run(sizes: str, i: Column, size: Column, min_chars: int) -> Column:
 
 def line_ids(docs: DataFrame, min_chars: int) -> DataFrame:
     """_doc, _hash, pos, h, g (two independent hashes of the line: its id) and m, a row for each line."""
-    keyed = _keyed(docs.select("doc_id", "text")).select(*DOC, _lines(F.col("text")).alias("lines"))
+    names = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64("text").alias("_hash")]
+    keyed = docs.select(*names, _lines(F.col("text")).alias("lines"))
     sized = keyed.select(*DOC, "lines", F.transform("lines", lambda x: F.length(x) + 1).alias("sizes"))
     ids = F.transform(
         "lines",
@@ -117,17 +113,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = 160) -> DataFrame:
     and text are one document and lose the same lines; an empty table gives no rows. Columns of docs
     called like the new ones are replaced; the text becomes empty where all lines go.
     """
-    runs = repeated_runs(docs, min_chars).groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_runs"))
     columns = [c for c in docs.columns if c not in ("line_count", "lines_deleted")]
-    joined = _keyed(docs.select(*columns)).join(runs, DOC, "left").withColumn("_lines", _lines(F.col("text")))
-    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_runs", i - 1)["end"])
-    kept = F.flatten(F.transform("_runs", lambda r, i: F.slice("_lines", before(i) + 1, r["start"] - before(i))))
-    end = F.element_at("_runs", -1)["end"]
-    left = F.array_join(F.concat(kept, F.slice("_lines", end + 1, F.size("_lines"))), "\n")
-    deleted = F.aggregate("_runs", F.lit(0), lambda acc, r: acc + r["end"] - r["start"])
+    rest = docs.select(*columns)
+    doc, hash_, found, lines = fresh(rest, *DOC, "_runs", "_lines")
+    runs = repeated_runs(docs, min_chars).groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("start", "end")))).toDF(doc, hash_, found)
+    keyed = rest.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), hash_: F.xxhash64("text")})
+    joined = keyed.join(runs, [doc, hash_], "left").withColumn(lines, _lines(F.col("text")))
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(found, i - 1)["end"])
+    kept = F.flatten(F.transform(found, lambda r, i: F.slice(lines, before(i) + 1, r["start"] - before(i))))
+    end = F.element_at(found, -1)["end"]
+    left = F.array_join(F.concat(kept, F.slice(lines, end + 1, F.size(lines))), "\n")
+    deleted = F.aggregate(found, F.lit(0), lambda acc, r: acc + r["end"] - r["start"])
     return joined.select(
-        *[F.when(F.col("_runs").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else c for c in columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).alias("line_count"),
+        *[F.when(F.col(found).isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else c for c in columns],
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("line_count"),
         F.coalesce(deleted, F.lit(0)).alias("lines_deleted"),
     )
 

@@ -7,30 +7,45 @@ the document and the seed, is exploded by its count, and the copies are shuffled
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hash_uniform
+from .shared import fresh, hash_uniform
 
-#: Sources up to which the table of rates is broadcast (a row takes under 4 kB); beyond, it is joined by shuffle.
+#: Sources up to which the table of rates is broadcast (a name and two numbers each); beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 10_000
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ...: as far as doubles tell the values from 1. Sums logarithms, so any rate will do."""
-    terms = F.sequence(F.lit(1), F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int"))
+def poisson_count(rate: Column, u: Column) -> Column:
+    """Least k with P(X <= k) > u: walks up from 0, or for a great rate from 12 deviations below it, where doubles begin to tell.
+
+    Sums logarithms, so any rate will do; takes as many steps as k is over the start, with a few numbers in hand.
+    """
+    deviation = F.sqrt(rate)
+    first = F.greatest(F.lit(0), F.floor(rate - 12 * deviation - 20)).cast("int")
+    steps = F.sequence(first, F.ceil(rate + 12 * deviation + 20).cast("int"))
     log_rate = F.log(F.greatest(rate, F.lit(1e-300)))
-    start = F.struct((-rate).alias("lp"), F.exp(-rate).alias("c"), F.array(F.exp(-rate)).alias("cdf"))
+    # log_p: that of the number that the next step adds; n: numbers whose distribution function is not over u.
+    begin = F.struct((first * log_rate - rate - _log_factorial(first)).alias("log_p"), F.lit(0.0).cast("double").alias("c"), first.alias("n"))
 
     def step(acc: Column, k: Column) -> Column:
-        lp = acc["lp"] + log_rate - F.log(k)
-        return F.struct(lp.alias("lp"), (acc["c"] + F.exp(lp)).alias("c"), F.concat(acc["cdf"], F.array(acc["c"] + F.exp(lp))).alias("cdf"))
+        c = acc["c"] + F.exp(acc["log_p"])
+        return F.struct((acc["log_p"] + log_rate - F.log(k + F.lit(1.0))).alias("log_p"), c.alias("c"), (acc["n"] + (c <= u).cast("int")).alias("n"))
+
+    return F.aggregate(steps, begin, step, lambda acc: acc["n"])
+
 
-    return F.aggregate(terms, start, step, lambda acc: acc["cdf"])
+def _log_factorial(n: Column) -> Column:
+    """By Stirling's series, which for n over 20 is exact to 1e-12 of its value; 0 for n = 0."""
+    x = F.greatest(n, F.lit(1)).cast("double")
+    series = x * F.log(x) - x + F.log(F.lit(2 * math.pi) * x) / 2 + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3.0)))
+    return F.when(n == 0, F.lit(0.0)).otherwise(series)
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None, temperature: float, total: float) -> DataFrame:
-    """source, size, rate and cdf: a row for each source.
+    """source, size and rate: a row for each source.
 
     Sizes are characters and one for each document. Without weights, shares are proportional to
     size ** temperature. A source that the weights leave out gets the rate 0.
@@ -48,7 +63,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, temperature:
         "rate",
         F.coalesce(F.try_divide(F.col("share") * F.col("all_size") * F.lit(total), F.col("all_share") * F.col("size")), F.lit(0.0)),
     )
-    return rates.select("source", "size", "rate", poisson_cdf(F.col("rate")).alias("cdf"))
+    return rates.select("source", "size", "rate")
 
 
 def mix(
@@ -61,13 +76,14 @@ def mix(
     ''), null text has size 1, a null doc_id hashes as ''. Columns of docs that are called like the new
     ones are replaced. An empty table gives no rows.
     """
-    rates = source_rates(docs, weights, temperature, total).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), F.col("cdf").alias("mix_cdf"))
-    docs = docs.drop("mix_rate", "mix_copies", "mix_copy", "mix_key", "mix_source", "mix_cdf")
+    docs = docs.drop("mix_rate", "mix_copies", "mix_copy", "mix_key")
+    (name,) = fresh(docs, "rate_of")
+    rates = source_rates(docs, weights, temperature, total).select(F.col("source").alias(name), F.col("rate").alias("mix_rate"))
     if docs.select(F.approx_count_distinct("source")).first()[0] <= BROADCAST_SOURCES // 2:
         rates = F.broadcast(rates)
-    joined = docs.join(rates, docs["source"].eqNullSafe(rates["mix_source"]))
+    joined = docs.join(rates, docs["source"].eqNullSafe(rates[name])).drop(name)
     u = hash_uniform(docs["doc_id"], docs["source"], seed=seed)
-    counted = joined.withColumn("mix_copies", F.size(F.filter("mix_cdf", lambda c: c <= u)))
-    copies = counted.drop("mix_source", "mix_cdf").filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
+    counted = joined.withColumn("mix_copies", poisson_count(F.col("mix_rate"), u))
+    copies = counted.filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     key = F.xxhash64("doc_id", "mix_copy", F.lit(seed))
     return copies.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, shared_dir, split_words
+from .shared import Tables, fresh, materialize, shared_dir, split_words
 
 SYMBOLS = "#*$%&|<>"  # fixed values
 
@@ -65,7 +65,15 @@ P = len(FEATURES)
 LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
 X, M = [f"x{i}" for i in range(P)], [f"m{i}" for i in range(P)]
 #: Distances are binned on a logarithmic scale to find the h nearest documents of a group; bins an octave.
-BINS_AN_OCTAVE = 4
+BINS_AN_OCTAVE = 16
+#: Groups up to which estimates (about 400 bytes each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_GROUPS = 20_000
+#: An estimate of n documents counts n parts, that of the group above it so many.
+PARENT_PARTS = 50
+
+
+#: Squared distance beyond which a document is rejected.
+CUTOFF = 100.0
 
 
 def feature_columns() -> list[Column]:
@@ -83,12 +91,17 @@ def _total(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def _whitened(scatter: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, w_ij (inverse of the lower Cholesky factor) and logdet, from columns s_ij of a scatter matrix.
+S, W = [f"s{i}{j}" for i, j in LOWER], [f"w{i}{j}" for i, j in LOWER]
 
-    One row a group and start. The floors make every scatter matrix positive definite.
-    """
-    df = scatter.select(*keep, *[(F.col(f"s{i}{j}") + (F.lit(list(FEATURES.values())[i] ** 2) if i == j else F.lit(0.0))).alias(f"s{i}{j}") for i, j in LOWER])
+
+def _floored(scatter: DataFrame) -> DataFrame:
+    """Adds the least spreads to the diagonal of s_ij, which makes every scatter matrix positive definite."""
+    return scatter.withColumns({f"s{i}{i}": F.col(f"s{i}{i}") + F.lit(least**2) for i, least in enumerate(FEATURES.values())})
+
+
+def _whitened(scatter: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, s_ij, w_ij (inverse of the lower Cholesky factor) and logdet, from columns s_ij of a positive definite matrix."""
+    df = scatter.select(*keep, *S)
     for j in range(P):
         low = lambda i, j=j: F.col(f"s{i}{j}") - _total([F.lit(0.0)] + [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)])
         df = df.withColumn(f"l{j}{j}", F.sqrt(F.greatest(low(j), F.lit(1e-12))))
@@ -98,7 +111,12 @@ def _whitened(scatter: DataFrame, keep: list[str]) -> DataFrame:
             {f"w{i}{j}": (F.lit(1.0) if i == j else -_total([F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)])) / F.col(f"l{i}{i}") for j in range(i + 1)}
         )
     logdet = _total([2 * F.log(f"l{i}{i}") for i in range(P)])
-    return df.select(*keep, *[f"w{i}{j}" for i, j in LOWER], logdet.alias("logdet"))
+    return df.select(*keep, *S, *W, logdet.alias("logdet"))
+
+
+def _beside(estimates: DataFrame) -> DataFrame:
+    """estimates, to be broadcast if they are few."""
+    return F.broadcast(estimates) if estimates.count() <= BROADCAST_GROUPS else estimates
 
 
 def _distance() -> Column:
@@ -113,12 +131,12 @@ def _starts(vectors: DataFrame) -> DataFrame:
     covariance of hyperbolic tangents; that of spatial signs.
     """
     floors = list(FEATURES.values())
-    medians = vectors.groupBy("group").agg(*[F.percentile_approx(x, 0.5, 1000).alias(m) for x, m in zip(X, M, strict=True)])
-    spreads = vectors.join(medians, "group").groupBy("group", *M).agg(
+    medians = vectors.groupBy("group").agg(*[F.percentile_approx(x, 0.5, 1000).alias(m) for x, m in zip(X, M, strict=True)]).checkpoint()
+    spreads = vectors.join(_beside(medians), "group").groupBy("group", *M).agg(
         *[F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(X[i]) - F.col(M[i])), 0.5, 1000), F.lit(floors[i])).alias(f"d{i}") for i in range(P)]
     )
     spreads = spreads.checkpoint()
-    z = vectors.join(spreads, "group").select("group", *[((F.col(X[i]) - F.col(M[i])) / F.col(f"d{i}")).alias(f"z{i}") for i in range(P)])
+    z = vectors.join(_beside(spreads), "group").select("group", *[((F.col(X[i]) - F.col(M[i])) / F.col(f"d{i}")).alias(f"z{i}") for i in range(P)])
     norm = F.sqrt(_total([F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)]) + 1e-9)
     sums = z.withColumn("norm", norm).groupBy("group").agg(
         *[F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}{j}") for i, j in LOWER],
@@ -129,17 +147,17 @@ def _starts(vectors: DataFrame) -> DataFrame:
         f"s{i}{j}": F.when(F.col("start") == 0, float(i == j)).when(F.col("start") == 1, F.col(f"t{i}{j}")).otherwise(F.col(f"u{i}{j}")) * F.col(f"d{i}") * F.col(f"d{j}")
         for i, j in LOWER
     }
-    return _whitened(kinds.withColumns(scatter), ["group", "start", *M])
+    return _whitened(_floored(kinds.withColumns(scatter)), ["group", "start", *M])
 
 
 def _concentrate(vectors: DataFrame, params: DataFrame, share: float) -> DataFrame:
     """One concentration step: mean and covariance of the share of each group that is nearest under params.
 
-    Moments are summed by bin of distance, so a group counts as many rows as it has bins; the nearest
-    share is rounded up to a whole bin.
+    Moments are summed by bin of distance, so a group counts as many rows as it has bins; of the bin in
+    which the share ends, as much counts as it needs.
     """
     bins = F.floor(BINS_AN_OCTAVE * F.log2(_distance() + 1e-3)).cast("int")
-    near = vectors.join(params.drop("logdet"), "group").withColumn("bin", bins)
+    near = vectors.join(_beside(params.drop("logdet", *S)), "group").withColumn("bin", bins)
     delta = [F.col(X[i]) - F.col(M[i]) for i in range(P)]
     binned = near.groupBy("group", "start", *M, "bin").agg(
         F.count("*").alias("n"),
@@ -148,45 +166,76 @@ def _concentrate(vectors: DataFrame, params: DataFrame, share: float) -> DataFra
     )
     of_group = Window.partitionBy("group", "start")
     before = F.coalesce(F.sum("n").over(of_group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    subset = binned.withColumns({"before": before, "all": F.sum("n").over(of_group)}).filter(F.col("before") < F.ceil(F.col("all") * share))
-    sums = subset.groupBy("group", "start", *M).agg(
-        F.sum("n").alias("n"), *[F.sum(f"a{i}").alias(f"a{i}") for i in range(P)], *[F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in LOWER]
-    )
+    room = F.col("all") * share - F.col("before")
+    subset = binned.withColumns({"before": before, "all": F.sum("n").over(of_group)}).withColumn("part", F.least(F.lit(1.0), room / F.col("n"))).filter("part > 0")
+    summed = lambda c: F.sum(F.col("part") * F.col(c)).alias(c)
+    sums = subset.groupBy("group", "start", *M).agg(summed("n"), *[summed(f"a{i}") for i in range(P)], *[summed(f"q{i}{j}") for i, j in LOWER])
     moved = sums.select(
         "group",
         "start",
         *[(F.col(M[i]) + F.col(f"a{i}") / F.col("n")).alias(M[i]) for i in range(P)],
         *[(F.col(f"q{i}{j}") / F.col("n") - F.col(f"a{i}") * F.col(f"a{j}") / F.col("n") / F.col("n")).alias(f"s{i}{j}") for i, j in LOWER],
     )
-    return _whitened(moved, ["group", "start", *M])
+    return _whitened(_floored(moved), ["group", "start", *M])
 
 
 def minimum_covariance(vectors: DataFrame, share: float = 0.75, steps: int = 5) -> DataFrame:
-    """group, m, w: of the starts of each group the one whose scatter ends with the least determinant."""
+    """group, m, s, w: of the starts of each group the one whose scatter ends with the least determinant."""
     shared_dir(vectors.sparkSession)
     params = _starts(vectors).checkpoint()
     for _ in range(steps):
         params = _concentrate(vectors, params, share).checkpoint()
     best = params.groupBy("group").agg(F.min(F.struct("logdet", "start")).alias("best"))
     kept = params.join(best, "group").filter(F.col("start") == F.col("best.start"))
-    return kept.select("group", *M, *[f"w{i}{j}" for i, j in LOWER]).checkpoint()
-
-
-def _grouped(stats: DataFrame, least_rows: int) -> DataFrame:
-    """Column group: language and source; of groups with few rows the language's rest; then the rest of all."""
-    fine = F.to_json(F.struct("lang", "source"))
-    coarse = F.to_json(F.struct(F.col("lang").alias("rest_of")))
-    few = lambda df, key, name: df.groupBy(F.col(key).alias(name)).agg(F.sum(F.when(~F.col("base_failed"), 1).otherwise(0)).alias("rows")).filter(F.col("rows") < least_rows).select(name)
-    keyed = stats.withColumns({"fine": fine, "coarse": coarse})
-    keyed = keyed.join(few(keyed, "fine", "few"), F.col("fine") == F.col("few"), "left").withColumn("group", F.when(F.col("few").isNull(), F.col("fine")).otherwise(F.col("coarse"))).drop("few")
-    return (
-        keyed.join(few(keyed, "group", "few"), F.col("group") == F.col("few"), "left")
-        .withColumn("group", F.when(F.col("few").isNull(), F.col("group")).otherwise(F.lit("{}")))
-        .drop("few", "fine", "coarse")
-    )
+    return kept.select("group", *M, *S, *W).checkpoint()
 
 
-def judge(docs: DataFrame, cutoff: float = 100.0, share: float = 0.75, steps: int = 5, least_rows: int = 50) -> DataFrame:
+def _pooled(own: DataFrame, above: DataFrame) -> DataFrame:
+    """group, n, m and s of own (group, parent, n, m, s), mixed with those of the parent: n parts of its own, PARENT_PARTS of the parent's.
+
+    Mean and covariance of the mixture, so a group of any size goes over into its parent without a break.
+    """
+    names = {c: f"{c}_up" for c in (*M, *S)}
+    both = own.join(above.select(F.col("group").alias("parent"), *[F.col(c).alias(up) for c, up in names.items()]), "parent")
+    part = F.col("n") / (F.col("n") + PARENT_PARTS)
+    mixed = lambda c: part * F.col(c) + (1 - part) * F.col(names[c])
+    apart = [F.col(m) - F.col(names[m]) for m in M]
+    scatter = [(mixed(f"s{i}{j}") + part * (1 - part) * apart[i] * apart[j]).alias(f"s{i}{j}") for i, j in LOWER]
+    return both.select("group", "n", *[mixed(m).alias(m) for m in M], *scatter)
+
+
+def estimates(good: DataFrame, share: float, steps: int) -> DataFrame:
+    """group, m, w for each language and source of good (fine, coarse, x): its own estimate, that of its language and that of all mixed."""
+    tables = Tables(good.sparkSession)
+    levels = F.array("fine", "coarse", F.lit(""))
+    vectors = tables.write(good.select(F.explode(levels).alias("group"), *X), "vectors")
+    found = minimum_covariance(vectors, share, steps)
+    sized = found.join(vectors.groupBy("group").agg(F.count("*").alias("n")), "group").checkpoint()
+    tables.drop()
+    parents = good.select(F.col("fine").alias("group"), F.col("coarse").alias("parent")).distinct()
+    tops = parents.select(F.col("parent").alias("group"), F.lit("").alias("parent")).distinct()
+    coarse = _pooled(sized.join(tops, "group"), sized)
+    return _whitened(_pooled(sized.join(parents, "group"), coarse), ["group", *M]).select("group", *M, *W).checkpoint()
+
+
+def _judged(docs: DataFrame, cutoff: float, share: float, steps: int) -> DataFrame:
+    """judge() with ``key``, a hash of what the verdict hangs on."""
+    shared_dir(docs.sparkSession)
+    tables = Tables(docs.sparkSession)
+    measured = text_stats(docs.select("doc_id", "text", "lang", "source").withColumn("key", F.xxhash64("text", "lang", "source")))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    stats = materialize(measured.withColumn("base_failed", failed), "stats")
+    names = {"fine": F.to_json(F.struct("lang", "source")), "coarse": F.to_json(F.struct(F.col("lang").alias("all_of")))}
+    vectors = stats.withColumns(names).withColumns(dict(zip(X, feature_columns(), strict=True)))
+    good = tables.write(vectors.filter(~F.col("base_failed")).select("fine", "coarse", *X), "good")
+    params = estimates(good, share, steps)
+    tables.drop()
+    scored = vectors.join(_beside(params.withColumnRenamed("group", "fine")), "fine", "left").withColumn("distance", _distance())
+    kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
+    return scored.select(*stats.columns, F.coalesce(kept, F.lit(False)).alias("kept"), "distance")
+
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF, share: float = 0.75, steps: int = 5) -> DataFrame:
     """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
     A document fails the base rules with under 50 words, or with over half of its words in repeated
@@ -194,19 +243,14 @@ def judge(docs: DataFrame, cutoff: float = 100.0, share: float = 0.75, steps: in
     as empty and so fails; null lang or source is a value of its own; repeated rows get a row each, a
     null doc_id is kept; an empty table gives no rows; other columns are ignored.
     """
-    measured = text_stats(docs.select("doc_id", "text", "lang", "source"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    stats = materialize(measured.withColumn("base_failed", failed), "stats")
-    vectors = _grouped(stats, least_rows).withColumns(dict(zip(X, feature_columns(), strict=True)))
-    good = vectors.filter(~F.col("base_failed")).select("group", *X)
-    params = minimum_covariance(materialize(good, "vectors"), share, steps)
-    scored = vectors.join(params, "group", "left").withColumn("distance", _distance())
-    kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
-    return scored.select(*stats.columns, F.coalesce(kept, F.lit(False)).alias("kept"), "distance")
+    return _judged(docs, cutoff, share, steps).drop("key")
 
 
-def keep_good(docs: DataFrame, **settings: float) -> DataFrame:
-    """docs without the rejected documents, all columns kept; rows without a doc_id go too (they can't be told apart)."""
-    verdicts = judge(docs, **settings)
-    good = verdicts.groupBy("doc_id").agg(F.min(F.col("kept").cast("int")).alias("_kept")).filter("_kept = 1").select("doc_id")
-    return docs.join(good, "doc_id", "left_semi")
+def keep_good(docs: DataFrame, cutoff: float = CUTOFF, share: float = 0.75, steps: int = 5) -> DataFrame:
+    """docs, row by row, without the rejected ones; all columns kept, whatever their names."""
+    doc_id, key = fresh(docs, "judged_id", "judged_key")
+    good = _judged(docs, cutoff, share, steps).filter("kept").select(F.col("doc_id").alias(doc_id), F.col("key").alias(key)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64("text", "lang", "source"))
+    # Rows without a doc_id go by their key alone.
+    same = keyed["doc_id"].eqNullSafe(good[doc_id]) & (keyed[key] == good[key])
+    return keyed.join(good, same, "left_semi").select(*docs.columns)

@@ -14,9 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import rank_within
+
 Plan = list[tuple[int, int, int, int, int]]
 
 
@@ -66,7 +68,7 @@ def bounded_ring(docs: DataFrame, n_shards: int = 40, vnodes: int = 64, slack: f
     """doc_id, size (UTF-8 bytes and 16), text_crc32, shard, slot (gapless from 0 in each shard).
 
     Null text counts as empty; a null doc_id has one place on the ring; repeated rows take a slot each;
-    ties in the hash are ordered by doc_id, then text_crc32, then size. An empty table gives no rows.
+    within an arc, documents are in the order of a hash, then of doc_id, text_crc32 and size. An empty table gives no rows.
     Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -90,8 +92,7 @@ def bounded_ring(docs: DataFrame, n_shards: int = 40, vnodes: int = 64, slack: f
     counts = {r["arc"]: r["count"] for r in keyed.groupBy("arc").count().collect()}  # n_shards * vnodes rows at most
     plan = plan_fill(counts, owner, capacities(sum(counts.values()), n_shards, slack))
     plan_df = spark.createDataFrame(plan, "arc int, lo long, hi long, shard int, slot0 long")
-    order = Window.partitionBy("arc").orderBy("pos", "doc_id", "text_crc32", "size")
-    ranked = keyed.withColumn("rank", F.row_number().over(order).cast("long") - 1)
+    ranked = rank_within(keyed, "arc", ["pos", "doc_id", "text_crc32", "size"])
     # The plan has at most 2 * n_shards * vnodes + n_shards rows: each step ends an arc or fills a shard.
     return ranked.join(
         F.broadcast(plan_df),

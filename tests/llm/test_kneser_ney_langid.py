@@ -1,8 +1,10 @@
+import random
 import zlib
 
 import numpy as np
 import pytest
 
+from meridian.llm import kneser_ney_langid as L
 from meridian.llm.kneser_ney_langid import BITS, CLASSES, DISCOUNT, ORDER, Scorer, class_table, fit, gram_codes, identify, predict, train
 
 
@@ -21,7 +23,7 @@ def slow_log_prob(counts, gram, lang):
         ctx = [v for k, v in of.items() if k[:-1] == g[:-1]]
         if n == 1:
             total = sum(of.values())
-            return max(of.get(g, 0) - DISCOUNT, 0) / total + DISCOUNT * len(of) / total / CLASSES
+            return max(of.get(g, 0) - DISCOUNT, 0) / total + DISCOUNT * len(of) / total / (5 + 2)
         if not ctx:
             return p(g[1:])
         return max(of.get(g, 0) - DISCOUNT, 0) / sum(ctx) + DISCOUNT * len(ctx) / sum(ctx) * p(g[1:])
@@ -75,10 +77,8 @@ def test_awkward_rows(awkward, none):
     assert predict(unlabelled, train(none)).filter("lang_pred != 'und'").count() == 0
 
 
-def test_rare_ngrams_of_a_small_language_count(spark):
+def test_rare_ngrams_of_a_small_language_count(spark, monkeypatch):
     """A hot language with over two million n-grams leaves those that a small one has once each."""
-    import random
-
     rnd = random.Random(8)
     alphabet = "abcdefghijklmnopqrstuvwxyzäöüßàáâãåæçèéêëìíîïðñòóôõøùúûýþÿāăąćĉċčďđ"[:62]
     hot = [(i, "".join(rnd.choices(alphabet, k=100_000)), "hot") for i in range(36)]
@@ -87,6 +87,8 @@ def test_rare_ngrams_of_a_small_language_count(spark):
     model = train(docs)
     assert len(model.grams[-1].lang) > 2_000_000
     classes = class_table(model.letters)
+    monkeypatch.setattr(L, "CALIBRATION_DOCS", 0)
+    model = train(docs)
     counts = [np.unique(np.concatenate([gram_codes([t], classes)[0] for _, t, x in hot + small if x == lang]), return_counts=True) for lang in model.langs]
     lang = np.repeat(np.arange(2), [len(c) for c, _ in counts])
     slow = fit(lang, np.concatenate([c for c, _ in counts]).astype(np.int64), np.concatenate([n for _, n in counts]), model.langs, model.letters)
@@ -94,3 +96,14 @@ def test_rare_ngrams_of_a_small_language_count(spark):
     assert np.allclose(model.log_probs(probe), slow.log_probs(probe), rtol=1e-6)
     entropy = Scorer(model)([small[0][1]])[0][0]
     assert entropy[model.langs.index("small")] < entropy[model.langs.index("hot")]
+
+
+def test_languages_of_other_scripts_beside_a_hot_one(spark):
+    """Every letter that is learned has a class of its own, so small scripts are told apart."""
+    rnd = random.Random(3)
+    scripts = {"hot": "abcdefghijklmnopqrstuvwxyzéàèêôûîäöüßåæøñçãõ", "uk": "абвгґдеєжзиіїйклмноп", "bg": "абвгдежзийклмнопърстуф", "zh": [chr(0x4E00 + i) for i in range(3000)], "ja": [chr(0x3041 + i) for i in range(80)]}
+    word = lambda x: "".join(rnd.choices(scripts[x], k=rnd.randint(2, 6)))
+    rows = [(i, " ".join(word(x) for _ in range(60)), x) for i, x in enumerate(["hot"] * 200 + ["uk", "bg", "zh", "ja"] * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert len({r.lang for r in found}) == 5 and all(r.lang == r.lang_pred for r in found)
