@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
-from . import adjustment as A
+from .criterion import why_invalid
 from .meek import apply_knowledge, close
 from .fixpoint import settle
 
@@ -81,10 +81,7 @@ def extensions(graphs: DataFrame, most: int = 12) -> DataFrame:
 
 def valid_everywhere(states: DataFrame, key: list[str]) -> DataFrame:
     """key and valid: whether mask z is a valid back-door set of (x, y) in every DAG a state allows; false where it allows none."""
-    each = A.with_order(extensions(states))
-    judged = A.backdoor_valid(each, F.col("x"), F.col("y"), F.col("z"))
-    counts = judged.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.when(F.col("valid"), 1).otherwise(0)).alias("n_valid"))
-    return counts.select(*key, (F.col("n") == F.col("n_valid")).alias("valid"))
+    return why_invalid(states).select(*key, (F.col("reason") == "").alias("valid"))
 
 
 def breakdown_radius(graphs: DataFrame, claims: DataFrame, most: int | None = None) -> DataFrame:
@@ -106,7 +103,7 @@ def breakdown_radius(graphs: DataFrame, claims: DataFrame, most: int | None = No
         states = open_.withColumn("gone", F.explode(ways)).withColumn("state", F.concat_ws("/", "gid", "gone"))
         kept = states.select(F.col("state").alias("gid"), F.explode(F.filter("claims", lambda _, i: ~B.has(F.col("gone").cast("long"), i))).alias("c")).select("gid", "c.a", "c.b")
         base = states.select(F.col("state").alias("gid"), "labels", "pa", "nb", "x", "y", "z")
-        judged = valid_everywhere(apply_knowledge(base, kept).drop("status"), ["gid"])
+        judged = valid_everywhere(settle(apply_knowledge(base, kept).drop("status")), ["gid"])
         fails = settle(judged.groupBy(F.substring_index("gid", "/", 1).cast("long").alias("gid")).agg(F.min(F.col("valid").cast("int")).alias("ok")).filter("ok = 0").select("gid"))
         found.append(fails.withColumn("radius", F.lit(shell)))
         todo, shell = settle(todo.join(fails, "gid", "left_anti")), shell + 1
