@@ -195,7 +195,10 @@ def sha_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalise_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", networks.normal_name(F.concat(F.col("p_name"), F.lit(" #"), F.col("p_brand"))).alias("name"))
+    """The part names of each brand with their sizes, told apart where their safe names are the same."""
+    raw = F.concat(F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, " ").otherwise("#"), F.col("p_size").cast("string"))
+    names = table(spark, sf_dir, "part").groupBy("p_brand").agg(networks.normal_names(F.collect_set(raw)).alias("m"))
+    return names.select("p_brand", F.explode("m").alias("m")).select("p_brand", "m.raw", "m.node")
 
 
 def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +211,9 @@ def _read(parsed: DataFrame) -> DataFrame:
 
 
 def parse_bif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.array_join(F.transform("edges", lambda e: F.concat(F.lit("probability ( v"), e["b"], F.lit(" | v"), e["a"], F.lit(" ) {\n  table 0.5, 0.5;\n}"))), "\n")
+    ends = F.array_distinct(F.flatten(F.transform("edges", lambda e: F.array(e["a"], e["b"]))))
+    declared = F.array_join(F.transform(ends, lambda v: F.concat(F.lit("variable v"), v, F.lit(" {\n  type discrete [ 2 ] { no, yes }; // two states\n}\n"))), "")
+    text = F.concat(declared, F.array_join(F.transform("edges", lambda e: F.concat(F.lit("probability ( v"), e["b"], F.lit(" | v"), e["a"], F.lit(" ) {\n  table 0.5, 0.5;\n}"))), "\n"))
     return _read(networks.parse_bif(_written(spark, sf_dir).select("name", text.alias("text"))))
 
 
@@ -220,7 +225,8 @@ def parse_dagitty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_bnjson(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs = F.transform("edges", lambda e: F.array(F.concat(F.lit("v"), e["a"]), F.concat(F.lit("v"), e["b"])))
-    text = F.to_json(F.struct(F.array().cast("array<string>").alias("nodes"), arcs.alias("arcs")))
+    nodes = F.array_distinct(F.flatten(arcs))
+    text = F.to_json(F.struct(nodes.alias("nodes"), arcs.alias("arcs")))
     return _read(networks.parse_json(_written(spark, sf_dir).select("name", text.alias("text"))))
 
 
@@ -306,8 +312,11 @@ def oracle_sql() -> dict[str, str]:
             select l_returnflag, round(plain, 4) as plain, round(adjusted, 4) as adjusted, round(plain - adjusted, 4) as shift from e""",
         "histogram_by_json_param": "select event_type, (props::json->>'$.k')::int as k, count(*) as n from events group by 1, 2",
         "sha_seed": "select o_orderkey, substr(sha256('flip|' || o_orderkey || '|' || o_custkey), 1, 16) as digest from orders",
-        "normalise_names": """with n as (select p_partkey, regexp_replace(regexp_replace(trim(p_name || ' #' || p_brand), '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') as n from part)
-            select p_partkey, case when regexp_matches(n, '^[0-9]') then 'v' || n else n end as name from n""",
+        "normalise_names": """with r as (
+              select distinct p_brand, p_name || case when p_partkey % 2 = 0 then ' ' else '#' end || p_size as raw from part),
+            s as (select *, regexp_replace(raw, '[^A-Za-z0-9_.-]', '_', 'g') as base from r),
+            n as (select *, row_number() over (partition by p_brand, base order by raw) as k from s)
+            select p_brand, raw, case when k = 1 then base else base || '__' || k end as node from n""",
         "parse_bif": edges,
         "parse_dagitty": edges,
         "parse_bnjson": edges,

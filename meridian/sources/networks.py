@@ -9,37 +9,87 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def normal_name(name: Column) -> Column:
-    """Letters, digits and underscores; other runs become one underscore, none at the ends; never a digit first."""
-    clean = F.regexp_replace(F.regexp_replace(F.trim(name), r"[^A-Za-z0-9_]+", "_"), r"^_+|_+$", "")
-    return F.when(clean.rlike(r"^[0-9]"), F.concat(F.lit("v"), clean)).otherwise(clean)
+def safe_name(name: Column) -> Column:
+    """The name with an underscore for each character that is no ASCII letter, digit, underscore, point or hyphen."""
+    return F.regexp_replace(name, r"[^A-Za-z0-9_.\-]", "_")
+
+
+def normal_names(raw: Column) -> Column:
+    """Array of (raw, node) for an array of names, in order of the raw ones: safe names, of which no two are the same.
+
+    Of names that would be the same, later ones get ``__2``, ``__3`` and so on, the first that is free. An
+    empty name is an error.
+    """
+    kind = "array<struct<raw:string,node:string>>"
+
+    def add(found: Column, name: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(1), F.size(found) + 1), lambda k: F.when(k == 1, safe_name(name)).otherwise(F.concat(safe_name(name), F.lit("__"), k.cast("string"))))
+        free = F.get(F.filter(tries, lambda t: ~F.exists(found, lambda f: f["node"] == t)), F.lit(0))
+        node = F.when(name == "", F.raise_error(F.lit("empty node name"))).otherwise(free)
+        return F.concat(found, F.array(F.struct(name.alias("raw"), node.alias("node"))))
+
+    return F.aggregate(F.array_sort(F.array_distinct(raw)), F.array().cast(kind), add)
+
+
+def _built(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges with the normal names of their nodes (name, raw); an edge to an undeclared node, or to itself, is an error."""
+    mapped = nodes.groupBy("name").agg(normal_names(F.collect_set("raw")).alias("m")).select("name", F.explode("m").alias("m"))
+    side = lambda c: mapped.select("name", F.col("m.raw").alias(c), F.col("m.node").alias(f"node_{c}"))
+    named = edges.join(side("a"), ["name", "a"], "left").join(side("b"), ["name", "b"], "left")
+    wrong = F.raise_error(F.concat(F.lit("undeclared node or self-loop: "), F.col("a"), F.lit(" "), F.col("b")))
+    fine = F.col("node_a").isNotNull() & F.col("node_b").isNotNull() & (F.col("a") != F.col("b"))
+    return named.select("name", F.when(fine, F.col("node_a")).otherwise(wrong).alias("a"), F.col("node_b").alias("b"), "kind").distinct()
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select("name", F.explode(F.array("a", "b")).alias("raw"))
 
 
 def parse_bif(files: DataFrame) -> DataFrame:
-    """Edges of BIF files: a probability block names a child and, after a bar, its parents."""
+    """Edges of BIF files: a probability block names a child and, after a bar, its parents. Comments don't count.
+
+    Nodes are those with a variable block; a parent without one is an error.
+    """
+    bare = files.select("name", F.regexp_replace(F.regexp_replace("text", r"(?s)/\*.*?\*/", " "), r"//[^\n]*", " ").alias("text"))
+    plain = lambda c: F.trim(F.replace(c, F.lit('"'), F.lit("")))
+    nodes = bare.select("name", F.explode(F.regexp_extract_all("text", F.lit(r"variable\s+(\"[^\"]+\"|[^\s{]+)\s*\{"), F.lit(1))).alias("raw")).select("name", plain(F.col("raw")).alias("raw"))
     blocks = F.regexp_extract_all("text", F.lit(r"probability\s*\(([^)]*)\)"), F.lit(1))
-    rows = files.select("name", F.explode(blocks).alias("block"))
-    child, parents = F.trim(F.substring_index("block", "|", 1)), F.split(F.substring_index("block", "|", -1), ",")
-    edges = rows.filter(F.contains("block", F.lit("|"))).select("name", child.alias("b"), F.explode(parents).alias("a"))
-    return edges.select("name", normal_name(F.col("a")).alias("a"), normal_name(F.col("b")).alias("b"), F.lit("->").alias("kind"))
+    rows = bare.select("name", F.explode(blocks).alias("block")).filter(F.contains("block", F.lit("|")))
+    edges = rows.select("name", plain(F.substring_index("block", "|", 1)).alias("b"), F.explode(F.split(F.substring_index("block", "|", -1), ",")).alias("a"))
+    return _built(nodes, edges.select("name", plain(F.col("a")).alias("a"), "b", F.lit("->").alias("kind")))
+
+
+#: A name is quoted, or has no blank.
+_NAME = r"(?:\"[^\"]+\"|[^\s\"\[\]{}=;]+)"
 
 
 def parse_dagitty(files: DataFrame) -> DataFrame:
-    """Edges of dagitty files, a line each: ->, <- (turned), <-> and --."""
-    pattern = r"^\s*\"?([^\s\"\[\]]+)\"?\s*(->|<->|<-|--)\s*\"?([^\s\"\[\]]+)\"?"
-    lines = files.select("name", F.explode(F.split("text", r"[\n;]")).alias("line"))
-    part = lambda i: F.regexp_extract("line", pattern, i)
-    found = lines.select("name", part(1).alias("l"), part(2).alias("kind"), part(3).alias("r")).filter("kind != ''")
-    turned = F.col("kind") == "<-"
-    l, r = normal_name(F.col("l")), normal_name(F.col("r"))
-    return found.select("name", F.when(turned, r).otherwise(l).alias("a"), F.when(turned, l).otherwise(r).alias("b"), F.when(turned, "->").otherwise(F.col("kind")).alias("kind"))
+    """Edges of dagitty files, a line each: ->, <- (turned), <-> and --.
+
+    A file begins with the line that opens the graph and ends with a brace; lines declare a node, an
+    attribute or one edge. Anything else is an error, as a line that is skipped would be a missing edge.
+    """
+    trimmed = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.rtrim(F.regexp_replace(x, r"[\s;]+$", "")))), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
+    listed = files.select("name", trimmed.alias("lines"))
+    framed = F.coalesce(F.get("lines", F.lit(0)).rlike(r"^(dag|graph|digraph|pdag|mag|pag)\b.*\{$"), F.lit(False)) & (F.element_at("lines", -1) == "}")
+    body = F.when(framed, F.slice("lines", F.lit(2), F.size("lines") - 2)).otherwise(F.raise_error(F.concat(F.lit("not a dagitty graph: "), F.col("name"))))
+    lines = listed.select("name", F.explode(body).alias("line"))
+    edge = rf"^({_NAME})\s*(->|<->|<-|--)\s*({_NAME})\s*(?:\[.*\])?$"
+    known = F.col("line").rlike(edge) | F.col("line").rlike(rf"^{_NAME}\s*(\[.*\])?$") | F.col("line").rlike(r"^\w+\s*=.*$")
+    read = lines.withColumn("line", F.when(known, F.col("line")).otherwise(F.raise_error(F.concat(F.lit("unrecognised line: "), F.col("line")))))
+    part = lambda i: F.replace(F.regexp_extract("line", edge, i), F.lit('"'), F.lit(""))
+    found = read.select("name", part(1).alias("l"), part(2).alias("kind"), part(3).alias("r"))
+    l, r, turned = F.col("l"), F.col("r"), F.col("kind") == "<-"
+    edges = found.filter("kind != ''").select("name", F.when(turned, r).otherwise(l).alias("a"), F.when(turned, l).otherwise(r).alias("b"), F.when(turned, "->").otherwise(F.col("kind")).alias("kind"))
+    return _built(_ends(edges), edges)
 
 
 def parse_json(files: DataFrame) -> DataFrame:
-    """Edges of JSON files {"nodes": [...], "arcs": [[parent, child], ...]}."""
-    parsed = F.from_json("text", "nodes array<string>, arcs array<array<string>>")
-    arcs = files.select("name", F.explode(parsed["arcs"]).alias("arc"))
-    return arcs.select("name", normal_name(F.get("arc", F.lit(0))).alias("a"), normal_name(F.get("arc", F.lit(1))).alias("b"), F.lit("->").alias("kind"))
+    """Edges of JSON files {"nodes": [...], "arcs": [[parent, child], ...]}; an arc to an undeclared node is an error."""
+    parsed = files.select("name", F.from_json("text", "nodes array<string>, arcs array<array<string>>").alias("p"))
+    arcs = parsed.select("name", F.explode("p.arcs").alias("arc"))
+    edges = arcs.select("name", F.get("arc", F.lit(0)).alias("a"), F.get("arc", F.lit(1)).alias("b"), F.lit("->").alias("kind"))
+    return _built(parsed.select("name", F.explode("p.nodes").alias("raw")), edges)
 
 
 def digest(column: Column) -> Column:
