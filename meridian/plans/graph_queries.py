@@ -163,7 +163,7 @@ def _criterion(judge: Callable[[DataFrame, Column, Column, Column], DataFrame])
 
 def all_valid_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of subsets of the middle nodes that pass the back-door criterion, and the size of the least."""
-    found = _pairs(spark, sf_dir).filter(F.size("labels") <= 6)
+    found = _pairs(spark, sf_dir)
     each = found.withColumn("z", F.explode(F.sequence(F.lit(0), (F.pow(F.lit(2), F.size("labels") - 2) - 1).cast("int"))))
     judged = A.backdoor_valid(each.withColumn("z", F.call_function("shiftleft", F.col("z").cast("long"), F.lit(1))), F.col("x"), F.col("y"), F.col("z"))
     # Counted under a condition: a filter would be moved below the steps and repeat them all.
@@ -265,9 +265,9 @@ select qz.gid, qz.z, not exists (select 1 from walk w where w.gid = qz.gid and w
 
 
 ALL_SETS = f"""with recursive {NODES}, {ANC},
-q as (select gid, min(v) as x, max(v) as y, count(*) as n from nodes group by gid having count(*) between 3 and 6),
+q as (select gid, min(v) as x, max(v) as y, count(*) as n from nodes group by gid having count(*) >= 3),
 mid as (select n.gid, n.v, row_number() over (partition by n.gid order by n.v) - 1 as k from nodes n join q on q.gid = n.gid where n.v <> q.x and n.v <> q.y),
-sub as (select q.gid, q.x, q.y, g.s from q, generate_series(0, 15) as g(s) where g.s < (1 << (q.n - 2))),
+sub as (select q.gid, q.x, q.y, g.s from q, generate_series(0, 31) as g(s) where g.s < (1 << (q.n - 2))),
 sz as (select sub.gid, sub.s, mid.v from sub join mid on mid.gid = sub.gid where (sub.s >> mid.k) & 1 = 1),
 f as (select e.gid, e.t, e.h from e join q on q.gid = e.gid where e.t <> q.x),
 up(gid, s, v) as (
