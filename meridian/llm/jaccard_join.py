@@ -11,9 +11,14 @@ documents are made by pivots and join recursively:
 * A region with many documents takes one of them as its pivot p, the one that most regions share, and
   measures all others against it. Those that link with p are its cell: one component, so no two of them
   need to be compared. Those within 2 (1 - t) are the window of the triangle inequality: a text beyond it
-  links with none of the cell. Cell and window are dealt into regions again, now by the elements of
-  x ^ p: as x ^ y = (x ^ p) ^ (y ^ p), two that link and do not both link with p share some of these. What
-  does not link with p stays and takes further pivots, four times as many in each turn.
+  links with none of the cell. A wider window is as exact, and fewer documents are left for further pivots,
+  so similarities to p from t - 1/2 on count. What does not link with p stays and takes further pivots, four
+  times as many in each turn.
+* Links connect components, which are carried from turn to turn: documents of one component are not compared
+  any more, and a region that holds one component is done.
+* Where more than one component is left around a pivot, its cell and window are dealt into regions again, now
+  by the elements of x ^ p: as x ^ y = (x ^ p) ^ (y ^ p), two that link and do not both link with p share some,
+  and each lacks at most |x| (1 - t) / t of the other's.
 * With e = |x ^ p|, c the elements of x ^ p from the shared one on, and a = e - s |x|: two documents of a
   region can link only if a of each is at most 2 c - a of the other. So the least a of a region tells
   which of its documents have no partner left, without a comparison; texts that differ from p in ways of
@@ -43,10 +48,12 @@ from .shared import Tables, fresh, materialize, small_batches, text_slices
 FREQUENT = 200_000
 #: Documents of one slice of the corpus that must hold a shingle for it to be proposed as frequent.
 PROPOSE_FROM = 2
-#: A region of at most so many documents compares each with each; a larger one takes pivots.
+#: A region of at most so many documents, twice as many in each turn, compares each with each; a larger one takes pivots.
 SMALL_REGION = 32
 #: Most document pivots of a region in a turn, and turns before what is left is compared in full.
 PIVOTS, TURNS = 64, 10
+#: Turns of which the last deals documents by what tells them from their pivots; the others take pivots.
+DEAL_AFTER = 2
 #: Documents in candidate pairs up to which their ids (24 bytes) are sent to the texts; beyond, both are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Texts, and pairs of texts, of an Arrow batch.
@@ -205,14 +212,14 @@ def _pairs_within(regions: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
 
 
-def _alive(regions: DataFrame, percent: int) -> DataFrame:
-    """regions without the documents that have no partner: none of another key that leaves room for enough common elements."""
+def _alive(regions: DataFrame, percent: int, by: str) -> DataFrame:
+    """regions without the documents that have no partner: none that differs in column by and leaves room for enough common elements."""
     a, room = _room(percent)
-    least = regions.groupBy("region", "key").agg(F.min(a).alias("a"))
-    first = least.groupBy("region").agg(F.min(F.struct("a", "key")).alias("first"))
-    second = least.join(first, "region").filter(F.col("key") != F.col("first.key")).groupBy("region").agg(F.min("a").alias("second"), F.first("first").alias("first"))
-    # A region with one key has no second and so no partners at all.
-    partner = F.when(F.col("key") == F.col("first.key"), F.col("second")).otherwise(F.col("first.a"))
+    least = regions.groupBy("region", by).agg(F.min(a).alias("a"))
+    first = least.groupBy("region").agg(F.min(F.struct("a", by)).alias("first"))
+    second = least.join(first, "region").filter(F.col(by) != F.col(f"first.{by}")).groupBy("region").agg(F.min("a").alias("second"), F.first("first").alias("first"))
+    # A region with one value has no second and so no partners at all.
+    partner = F.when(F.col(by) == F.col(f"first.{by}"), F.col("second")).otherwise(F.col("first.a"))
     return regions.join(second, "region").filter(partner <= room).select(regions.columns)
 
 
@@ -290,6 +297,8 @@ def difference_window(x: np.ndarray, p: np.ndarray, inter: int, percent: int, ra
     # The least a of a partner: it does not link with p, or else it differs from p by one element at least.
     least = own + 1 if 100 * inter >= percent * (len(x) + len(p) - inter) else 2 * percent - own
     width = e - -(-(a + least) // (2 * (100 + percent))) + 1
+    # A partner lacks no more than so many of these elements, whatever its distance from p.
+    width = min(width, (100 - percent) * len(x) // percent + 1)
     added, lacks = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
     added = added[np.lexsort((added, rarity.ranks(added)))]
     return np.concatenate([added.view(np.int64), ~lacks.view(np.int64)])[: max(int(width), 0)]
@@ -302,40 +311,76 @@ def _linked(percent: int) -> Column:
 REGION = ["region", "doc", "n", "e", "pos", "key", "age"]
 
 
+class Components:
+    """Components of the documents by the links found so far."""
+
+    def __init__(self, tables: Tables) -> None:
+        self.tables, self.table = tables, None
+
+    def of(self, df: DataFrame, document: str, name: str) -> DataFrame:
+        """df with column name: the component of a document, itself without links."""
+        if self.table is None:
+            return df.withColumn(name, F.col(document))
+        found = self.table.select(F.col("node").alias(document), F.col("component").alias(name))
+        return df.join(found, document, "left").withColumn(name, F.coalesce(name, document))
+
+    def add(self, links: DataFrame) -> None:
+        """Take in links (a, b): they connect components, of which there are fewer with every turn."""
+        between = self.of(self.of(links, "a", "u"), "b", "v").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        merged = connected_components(between)
+        if self.table is None:
+            self.table = merged
+            return
+        to = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        moved = self.table.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        self.table = self.tables.write(moved.union(merged.join(self.table.select("node"), "node", "left_anti")), "components")
+
+
 def _turn(large: DataFrame, corpus: Corpus) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) with the pivots of large regions, and the regions that are still to be joined.
+    """Documents a measured against the pivots b of large regions, and the regions without those that link with a pivot.
 
     Regions that choose the same first pivot are one from then on. key: documents of one key are in one
-    component, or are all within the window of a pivot and so meet in its regions.
+    component, or are all within the window of a pivot and so meet in its regions. Documents of the pivot's
+    component (comp) are not measured and stay, for those of other components.
     """
     percent, tables = corpus.percent, corpus.tables
-    share = 2 * percent - 100
+    share = max(2 * percent - 100, 0) // 2
     # Of whole sets the one that most regions share lies in the middle; of differences from a pivot, the least one.
     score = large.groupBy("doc").agg(F.count("*").alias("regions"))
     score_of = F.when(F.col("e") == F.col("n"), F.col("regions")).otherwise(-F.col("e")).alias("score")
     slot = F.pmod(F.xxhash64("doc", "age"), F.least(F.lit(PIVOTS), F.pow(F.lit(4), F.col("age"))).cast("long"))
-    best = F.max(F.struct(score_of, F.xxhash64("doc"), "doc")).alias("best")
-    pivots = large.join(score, "doc").groupBy("region", slot.alias("slot")).agg(best).select("region", F.col("best.doc").alias("pivot"))
+    best = F.max(F.struct(score_of, F.xxhash64("doc"), "doc", "comp")).alias("best")
+    chosen = large.join(score, "doc").groupBy("region", slot.alias("slot")).agg(best)
+    pivots = chosen.select("region", F.col("best.doc").alias("pivot"), F.col("best.comp").alias("pivot_comp"))
     met = large.join(pivots, "region").withColumn("region", F.when(F.col("age") == 0, F.col("pivot")).otherwise(F.col("region")))
     keys = F.when(F.min("key") == F.max("key"), F.min("key")).otherwise(F.col("doc")).alias("key")
-    met = tables.write(met.groupBy("region", "doc", "n", "age", "pivot").agg(keys), "met")
-    pairs = met.filter("doc != pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
+    met = tables.write(met.groupBy("region", "doc", "n", "age", "comp", "pivot", "pivot_comp").agg(keys), "met")
+    pairs = met.filter("comp != pivot_comp").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
     known = corpus.measured(pairs, share, elements=True).withColumn("linked", _linked(percent))
     near = known.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "inter", "linked")
     state = met.join(near, ["doc", "pivot"], "left").groupBy("region", "doc", "n", "age", "key").agg(
         F.max(F.coalesce("linked", F.col("doc") == F.col("pivot"))).alias("left"), F.max(F.struct("inter", "pivot"))["pivot"].alias("nearest"), F.max("inter").alias("inter")
     )
     rest = state.filter(~F.col("left")).withColumn("key", F.when(F.col("inter").isNotNull(), F.col("nearest")).otherwise(F.col("key")))
-    rest = rest.select("region", "doc", "n", F.col("n").alias("e"), F.lit(0).alias("pos"), "key", (F.col("age") + 1).alias("age"))
-    dealt = known.select("a", "b", "n", (F.col("n") + F.col("n2") - 2 * F.col("inter")).alias("e"), "linked", F.posexplode("window").alias("pos", "element"))
+    return known, rest.select("region", "doc", "n", F.col("n").alias("e"), F.lit(0).alias("pos"), "key", (F.col("age") + 1).alias("age"))
+
+
+def _dealt(measured: list[DataFrame], components: Components) -> DataFrame:
+    """Regions by what tells documents from their pivots, for pivots around which there is more than one component."""
+    known = measured[0]
+    for more in measured[1:]:
+        known = known.union(more)
+    known = components.of(known, "a", "comp")
+    open_ = known.groupBy("b").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least != most").select("b")
+    apart = (F.col("n") + F.col("n2") - 2 * F.col("inter")).alias("e")
+    dealt = known.join(open_, "b").select("a", "b", "n", apart, "linked", F.posexplode("window").alias("pos", "element"))
     key = F.when(F.col("linked"), F.col("b")).otherwise(F.col("a")).alias("key")
-    again = dealt.select(F.xxhash64("b", "element").alias("region"), F.col("a").alias("doc"), "n", "e", "pos", key, F.lit(0).alias("age"))
-    return known.filter("linked").select("a", "b"), again.select(REGION).union(rest.select(REGION))
+    return dealt.select(F.xxhash64("b", "element").alias("region"), F.col("a").alias("doc"), "n", "e", "pos", key, F.lit(0).alias("age")).select(REGION)
 
 
-def links_between(corpus: Corpus) -> DataFrame:
-    """Links (a, b) among the heads: enough of them to give the same connected components as all links."""
-    percent, tables = corpus.percent, corpus.tables
+def linked_components(corpus: Corpus) -> DataFrame:
+    """node, component (its least node) for the heads that have links."""
+    percent, tables, components = corpus.percent, corpus.tables, Components(corpus.tables)
     # One exchange, of rows as short as may be, serves all that follows; n and pos share a word.
     window = F.transform("window", lambda g, i: F.struct(g.alias("region"), F.shiftleft(F.col("n"), 32).bitwiseOR(i.cast("long")).alias("place")))
     posted = corpus.heads.select(F.col("node").alias("doc"), F.explode(window).alias("post")).select("post.region", "doc", "post.place").repartition("region")
@@ -343,27 +388,37 @@ def links_between(corpus: Corpus) -> DataFrame:
     n = F.shiftright("place", 32).alias("n")
     regions = sized.select("region", "doc", n, n.alias("e"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), F.col("doc").alias("key"), F.lit(0).alias("age"), "size")
     pairs = [tables.write(_pairs_within(regions.filter(F.col("size") <= SMALL_REGION), percent), "first_pairs")]
-    links, large = [], tables.write(regions.filter(F.col("size") > SMALL_REGION).select(REGION), "first_large")
-    for _ in range(TURNS):
-        once = tables.write(_alive(large, percent), "alive")
-        large = tables.write(_sized(_alive(once, percent)), "large")
-        pairs.append(_pairs_within(large.filter(F.col("size") <= SMALL_REGION), percent))
-        large = large.filter(F.col("size") > SMALL_REGION)
-        if large.isEmpty():
+    large, waiting = tables.write(regions.filter(F.col("size") > SMALL_REGION).select(REGION), "first_large"), []
+    for turn in range(TURNS):
+        alive = tables.write(_alive(components.of(large, "doc", "comp"), percent, "comp"), "alive")
+        large = tables.write(_sized(_alive(alive, percent, "key")), "large")
+        # The deeper a region, the less another turn takes from it.
+        small = F.col("size") <= SMALL_REGION << turn
+        pairs.append(_pairs_within(large.filter(small), percent))
+        large = large.filter(~small)
+        done = large.isEmpty()
+        if done and not waiting:
             break
-        found, left = _turn(large, corpus)
-        links.append(found)
-        large = tables.write(left, "left")
+        if done or turn % DEAL_AFTER == DEAL_AFTER - 1:
+            # By now pivots have connected most of what is alike, and few regions hold more than one component.
+            large = large.select(REGION)
+            large = tables.write(large.union(_dealt(waiting, components)) if waiting else large, "dealt")
+            waiting = []
+        else:
+            known, left = _turn(large, corpus)
+            large = tables.write(left, "left")
+            components.add(known.filter("linked").select("a", "b"))
+            waiting.append(known)
     else:
-        pairs.append(_pairs_within(_alive(large, percent), percent))
+        large = large.select(REGION)
+        large = large.union(_dealt(waiting, components)) if waiting else large
+        pairs.append(_pairs_within(_alive(large, percent, "key"), percent))
     together = pairs[0]
     for more in pairs[1:]:
         together = together.union(more)
-    links.append(corpus.measured(together.distinct(), percent).select("a", "b"))
-    out = links[0]
-    for more in links[1:]:
-        out = out.union(more)
-    return out
+    apart = components.of(components.of(together.distinct(), "a", "u"), "b", "v").filter("u != v").select("a", "b")
+    components.add(corpus.measured(apart, percent).select("a", "b"))
+    return components.table
 
 
 #: Stands for a missing doc_id where rows are told apart.
@@ -385,7 +440,7 @@ def jaccard_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # Written once, so the numbers stay.
     heads = tables.write(alike.select("signature", "first.*", "copy_of").withColumn("node", F.monotonically_increasing_id()), "heads")
     names = materialize(heads.select("signature", "copy_of", "node"), "names")
-    found = connected_components(links_between(Corpus(texts, heads, k, percent, rarity, tables)))
+    found = materialize(linked_components(Corpus(texts, heads, k, percent, rarity, tables)), "linked")
     tables.drop()
     named = names.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("copy_of").alias("component_id"))
