@@ -60,10 +60,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pseudo_likelihood import score, train
+    from .pseudo_likelihood import train_and_score
 
     docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs))
+    return train_and_score(docs)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
