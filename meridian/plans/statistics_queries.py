@@ -117,6 +117,15 @@ def kendall_tau_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("tau", F.round("tau", 9))
 
 
+def tau_within_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kendall's tau inside the networks that vary in both columns: their number, mean and median, and the share above 0."""
+    found = ranks.kendall_tau_b(units(spark, sf_dir).filter("radius >= 0"), "network", "radius", "n_orders", [0, 1, 2, 3, 4]).filter("tau is not null")
+    tau = F.round("tau", 9)
+    return found.agg(
+        F.count("*").alias("n_networks"), F.round(F.avg(tau), 6).alias("mean_tau"), F.round(F.percentile(tau, 0.5), 6).alias("median_tau"), F.round(F.avg((tau > 0).cast("int")), 6).alias("share_positive")
+    )
+
+
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = units(spark, sf_dir).filter("radius >= 0").select("network", ranks.average_rank(F.col("radius"), "network").alias("a"), ranks.average_rank(F.col("endpoint"), "network").alias("b"))
     return ranked.groupBy("network").agg(F.round(F.corr("a", "b"), 9).alias("rho"))
@@ -233,7 +242,7 @@ def parse_bnjson(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         survival_curve, auc_abs, auc_frac_nearest, auc_usable, non_monotonic, decomposition_identity, contradiction_dedup, intensity_bins,
-        survival_grouping_sets, matched_instances, paired_arms, kendall_tau_b, spearman, avg_rank_pct, spotlight_topk, pareto_front,
+        survival_grouping_sets, matched_instances, paired_arms, kendall_tau_b, tau_within_networks, spearman, avg_rank_pct, spotlight_topk, pareto_front,
         per_network_iqr, effect_buckets, leave_one_network_out, cluster_bootstrap, icc_one_way, covariance, ols_theta,
         histogram_by_json_param, sha_seed, normalise_names, parse_bif, parse_dagitty, parse_bnjson,
     )}
@@ -283,6 +292,12 @@ def oracle_sql() -> dict[str, str]:
               from u a join u b on a.network = b.network and a.unit < b.unit),
             n as (select network, count(*) as n from u group by 1)
             select n.network, n.n, (select round(sum(c) / nullif(sqrt(count(*) filter (dx) * count(*) filter (dy)::double), 0), 9) from p where p.network = n.network) as tau from n""",
+        "tau_within_networks": f"""with {UNITS}, u as (select * from units where radius >= 0),
+            p as (select a.network, sign(a.radius - b.radius) * sign(a.n_orders - b.n_orders) as c, a.radius <> b.radius as dx, a.n_orders <> b.n_orders as dy
+              from u a join u b on a.network = b.network and a.unit < b.unit),
+            t as (select network, round(sum(c) / nullif(sqrt(count(*) filter (dx) * count(*) filter (dy)::double), 0), 9) as tau from p group by 1)
+            select count(*) as n_networks, round(avg(tau), 6) as mean_tau, round(quantile_cont(tau, 0.5), 6) as median_tau,
+              round(avg((tau > 0)::int), 6) as share_positive from t where tau is not null""",
         "spearman": f"""with {UNITS}, r as (select network, {_rank('radius')} as a, {_rank('endpoint')} as b from units where radius >= 0)
             select network, round(corr(a, b), 9) as rho from r group by 1""",
         "avg_rank_pct": f"with {UNITS} select unit, round(({_rank('n_orders')})::double / count(*) over (partition by network), 9) as pct from units",
