@@ -7,7 +7,7 @@ nodes; they run in Arrow batches, on masks, for all graphs of a batch at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +144,17 @@ def judge(parents: Masks, open_: Masks, x: np.ndarray, y: np.ndarray, z: np.ndar
     return *reasons, may, backdoor, general
 
 
+def fails(parents: Masks, open_: Masks, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Whether z is no back-door set of (x, y) in some DAG of a closed graph that has one; later tests see only what earlier ones leave."""
+    out, row = x == y, np.arange(len(x))
+    below = possible_descendants(parents, open_)
+    out |= z & (below[row, x] | _bit(x) | _bit(y)) != 0
+    for test in (lambda i: open_path(parents[i], open_[i], below[i], x[i], y[i], z[i]), lambda i: ~amenable(parents[i], open_[i], x[i], y[i])):
+        left = np.flatnonzero(~out)
+        out[left] = test(left)
+    return out
+
+
 def _matrix(lists: pa.ListArray) -> Masks:
     """Masks of all graphs of a batch, with zeros for nodes that smaller ones lack."""
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -155,16 +166,45 @@ def _matrix(lists: pa.ListArray) -> Masks:
     return out
 
 
+def lists_of(masks: Masks, like: pa.ListArray) -> pa.ListArray:
+    """Back from _matrix: as many masks a graph as ``like`` has."""
+    sizes = like.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = masks[np.arange(masks.shape[1]) < sizes[:, None]]
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, pa.int64()))
+
+
 #: Graphs worked on at a time, so that what is between stays in cache.
 GRAPHS = 2048
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Graphs of about one size at a time, as a slice costs what its widest graph does."""
     for batch in batches:
+        sizes = batch.column("pa").value_lengths().to_numpy(zero_copy_only=False)
+        if batch.num_rows and sizes.max() > 2 * sizes.min():
+            batch = batch.take(pa.array(np.argsort(sizes, kind="stable")))
         for at in range(0, batch.num_rows, GRAPHS):
             yield batch.slice(at, GRAPHS)
 
 
+def over_graphs(df: DataFrame, kernel: Callable[[pa.RecordBatch], tuple[np.ndarray | None, dict[str, pa.Array]]], made: str) -> DataFrame:
+    """df with the columns of schema ``made``, which a kernel works out for a slice of graphs at a time.
+
+    The kernel gives places of rows (null: all rows, in order) and the new columns for them; new ones replace those of df.
+    """
+    names = [part.split()[0] for part in made.split(", ")]
+    keep = [c for c in df.columns if c not in names]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            rows, new = kernel(part)
+            own = part.select(keep) if rows is None else part.select(keep).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*own.columns, *[new[n] for n in names]], names=[*keep, *names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    return df.mapInArrow(work, f"{schema}, {made}" if schema else made)
+
+
 def why_invalid(states: DataFrame) -> DataFrame:
     """states and why mask z is no valid adjustment set for places x and y in some DAG of the graph.
 
@@ -193,9 +233,7 @@ def with_possible_descendants(graphs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
             found = possible_descendants(_matrix(part.column("pa")), _matrix(part.column("nb")))
-            sizes = part.column("pa").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = found[np.arange(found.shape[1]) < sizes[:, None]]
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat))
+            lists = lists_of(found, part.column("pa"))
             yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*keep, "pd"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in graphs.select(*keep).schema)

@@ -1,15 +1,17 @@
 """Meek's rules, their closure, CPDAGs and background knowledge, over many graphs at once.
 
-A graph is one row of masks; rules and fixpoints are column expressions. A round looks at the edges
-that are still undirected and at nothing else, and a graph that a round leaves as it was is done.
+A graph is one row of masks. One pass of a rule is a column expression; fixpoints run in Arrow batches
+(criterion.close), where a round looks at the graphs' edges that are still undirected and at nothing else.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
+from . import criterion as C
 from .graphs import v_structures, with_adjacency
 
 
@@ -61,35 +63,18 @@ def forced(df: DataFrame, rule: int) -> DataFrame:
     )
 
 
-def close(df: DataFrame, rules: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
-    """df with pa and nb closed under Meek's rules.
+def close(df: DataFrame) -> DataFrame:
+    """df with pa and nb closed under Meek's rules, in Arrow batches.
 
     Both directions of an edge may be forced in one round only where knowledge contradicts itself; the
     edge then ends directed both ways, which contradictory() tells.
     """
 
-    def once(acc: Column) -> Column:
-        state = State(acc["pa"], acc["nb"], F.col("adj"))
-        fires = F.filter(undirected(acc["nb"]), lambda e: _any(state, e, rules))
-        pa = F.transform(acc["pa"], lambda m, j: F.aggregate(F.filter(fires, lambda e: e["j"] == j), m, lambda a, e: a.bitwiseOR(B.bit(e["i"]))))
-        gone = lambda j: F.aggregate(fires, B.zero(), lambda a, e: F.when(e["j"] == j, a.bitwiseOR(B.bit(e["i"]))).when(e["i"] == j, a.bitwiseOR(B.bit(e["j"]))).otherwise(a))
-        nb = F.transform(acc["nb"], lambda m, j: B.minus(m, gone(j)))
-        return F.struct(pa.alias("pa"), nb.alias("nb"), (F.size(fires) > 0).alias("on"))
+    def kernel(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
+        up, loose, _ = C.close(C._matrix(part.column("pa")), C._matrix(part.column("nb")))
+        return None, {"pa": C.lists_of(up, part.column("pa")), "nb": C.lists_of(loose, part.column("pa"))}
 
-    ready = with_adjacency(df)
-    pairs = F.aggregate("nb", F.lit(0), lambda acc, m: acc + B.count(m))
-    start = F.struct("pa", "nb", (pairs > 0).alias("on"))
-    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), (pairs / 2).cast("int")))
-    done = F.aggregate(rounds, start, lambda acc, _: F.when(acc["on"], once(acc)).otherwise(acc))
-    closed = ready.withColumn("closed", done)
-    return closed.select(*[F.col(f"closed.{c}").alias(c) if c in ("pa", "nb") else F.col(c) for c in df.columns])
-
-
-def _any(state: State, e: Column, rules: tuple[int, ...]) -> Column:
-    out = F.lit(False)
-    for r in rules:
-        out = out | RULES[r](state, e["i"], e["j"])
-    return out
+    return C.over_graphs(df, kernel, "pa array<long>, nb array<long>").select(*df.columns)
 
 
 def pattern(dags: DataFrame) -> DataFrame:
@@ -103,7 +88,7 @@ def pattern(dags: DataFrame) -> DataFrame:
 
 def cpdag(dags: DataFrame) -> DataFrame:
     """gid, labels, pa, nb: the completed partially directed graph of each DAG."""
-    return close(pattern(dags), rules=(1, 2, 3))
+    return close(pattern(dags))
 
 
 def apply_knowledge(graphs: DataFrame, claims: DataFrame) -> DataFrame:

@@ -1,110 +1,224 @@
 """Breakdown radius: how many asserted orientations must go before an adjustment set fails.
 
-A state is a CPDAG with a subset of the claims, closed. Taking claims back moves a state down; the
-radius is the least number of claims whose removal makes the set invalid for some DAG that the state
-allows. States are enumerated by the number of removed claims, shell by shell, for all graphs at
-once; a graph leaves as soon as a shell has a failure, so the work follows the radius.
+A state is a CPDAG with some of the claims, closed. Taking a claim back that the others do not imply moves a step
+up; the radius is the least number of steps to a state with a DAG for which the set is invalid. Failure goes
+upwards, so a set that holds in the CPDAG never fails, and no step is taken from a state that fails.
+
+Bounds come first, for each graph in one pass. From below: the cheapest way to turn claims so that a node of the set
+is below x, or that a back-door walk is open. From above: claims are put back into the CPDAG as long as the
+set still fails. Only where the bounds differ, states are searched upwards, step by step for all graphs at once, each
+shell deduplicated; no state below the lower bound is judged, none beyond the upper one is made.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
-from .criterion import why_invalid
-from .meek import apply_knowledge, close
+from . import criterion as C
+from .extensions import extensions as extensions
 from .fixpoint import settle
+from .meek import apply_knowledge
+from .steps import implied, opened, steps
 
-#: A graph without a failing shell.
+#: A graph without a failing state.
 UNREACHED = -1
+#: More than any number of claims.
+NEVER = 1 << 14
 
+METHODS = ("degenerate", "no_extensions", "unreached", "bounds", "search")
 
-def _open_edges() -> Column:
-    idx = B.indices(F.col("nb"))
-    return F.flatten(F.transform("nb", lambda m, j: F.transform(F.filter(idx, lambda i: B.has(m, i) & (i < j)), lambda i: F.struct(i.alias("i"), j.alias("j")))))
 
+def valid_everywhere(states: DataFrame, key: list[str]) -> DataFrame:
+    """key and valid: whether mask z is a valid back-door set of (x, y) in every DAG a state allows; false where it allows none."""
+    return C.why_invalid(states).select(*key, (F.col("reason") == "").alias("valid"))
 
-def _branched(graphs: DataFrame, most: int) -> DataFrame:
-    """graphs with their open edges as _open, those of more than ``most`` as branches of fewer.
 
-    A branch turns one edge and is closed, so that ways which no DAG allows are hardly followed.
-    """
-    # Settled, as a filter would be moved below the steps that made the graphs and repeat them.
-    left, done = settle(graphs.withColumn("_open", _open_edges())), []
+def _costs(fixed: C.Masks, claims: C.Masks, up: C.Masks, open_: C.Masks) -> np.ndarray:
+    """graph, v, w: how many claims stand against v -> w: none where the state has or leaves it; NEVER where the CPDAG does, or where no edge is."""
+    n = up.shape[1]
+    out = np.full((len(up), n, n), NEVER, np.int16)
+    for w in range(n):
+        for v in range(n):
+            out[C._has(up[:, w] | open_[:, w], v), v, w] = 0
+            against = C._has(up[:, v] & ~fixed[:, v], w)
+            out[against, v, w] = C._has(claims[:, v], w)[against]
+    return out
+
+
+def _settled(dist: np.ndarray, costs: np.ndarray) -> np.ndarray:
+    """Least costs of walks that go on from where dist is known."""
     while True:
-        done.append(left.filter(F.size("_open") <= most))
-        left = left.filter(F.size("_open") > most)
-        if left.isEmpty():
-            return reduce(DataFrame.union, done)
-        ways = F.array(F.struct(F.get("_open", F.lit(0))["i"].alias("i"), F.get("_open", F.lit(0))["j"].alias("j")), F.struct(F.get("_open", F.lit(0))["j"].alias("i"), F.get("_open", F.lit(0))["i"].alias("j")))
-        split = left.withColumn("_edge", F.explode(ways))
-        i, j = F.col("_edge.i"), F.col("_edge.j")
-        turned = split.withColumns(
-            {
-                "pa": F.transform("pa", lambda m, v: F.when(v == j, m.bitwiseOR(B.bit(i))).otherwise(m)),
-                "nb": F.transform("nb", lambda m, v: F.when(v == j, B.minus(m, B.bit(i))).when(v == i, B.minus(m, B.bit(j))).otherwise(m)),
-            }
-        )
-        left = settle(close(turned.drop("_open", "_edge")).withColumn("_open", _open_edges()).select(*left.columns))
-
-
-def extensions(graphs: DataFrame, most: int = 12) -> DataFrame:
-    """graphs' keys and pa for every DAG that a graph allows: each way to turn its open edges that makes
-    no cycle and no new v-structure.
-
-    Up to ``most`` open edges all ways are tried at once; graphs with more are branched down to so many
-    first. It decides the cost and nothing else.
-    """
-    idx = B.indices(F.col("nb"))
-    keys = [c for c in graphs.columns if c not in ("pa", "nb")]
-    listed = _branched(graphs.withColumn("_from", F.col("pa")), most)
-    turned = listed.withColumn("_way", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size("_open")) - 1)))
-    edges = F.transform("_open", lambda e, k: F.when(B.has(F.col("_way").cast("long"), k), F.struct(e["j"].alias("i"), e["i"].alias("j"))).otherwise(e))
-    oriented = turned.withColumn("_edges", edges).withColumn(
-        "_all", F.transform("pa", lambda m, j: F.aggregate(F.filter("_edges", lambda e: e["j"] == j), m, lambda a, e: a.bitwiseOR(B.bit(e["i"]))))
-    )
-    children = F.transform(F.arrays_zip("_all", B.transpose(F.col("_all")).alias("_ch")), lambda z: z["_all"].bitwiseOR(z["_ch"]))
-    known = oriented.withColumn("_adj", children).withColumn("_an", B.closure(F.col("_all")))
-    cyclic = F.exists(F.transform("_an", lambda m, i: B.has(m, i)), lambda x: x)
-    shields = lambda a: F.get("_adj", a).bitwiseOR(B.bit(a))
-    fresh = F.exists(
-        F.arrays_zip("_from", "_all"),
-        lambda z: F.exists(idx, lambda a: B.has(z["_all"], a) & B.overlap(B.minus(z["_all"], shields(a)), F.when(B.has(z["_from"], a), B.minus(z["_all"], z["_from"])).otherwise(z["_all"]))),
-    )
-    judged = known.withColumn("_bad", cyclic | fresh)
-    # The steps stay columns up to here: one that only a lambda uses would be worked out again for each element.
-    return settle(judged.select(*keys, F.col("_all").alias("pa"), "_adj", "_an", "_bad")).filter("not _bad").drop("_adj", "_an", "_bad")
+        more = np.minimum(dist, (dist[:, :, None] + costs).min(axis=1))
+        if (more == dist).all():
+            return dist
+        dist = np.minimum(more, NEVER)
 
 
-def valid_everywhere(states: DataFrame, key: list[str]) -> DataFrame:
-    """key and valid: whether mask z is a valid back-door set of (x, y) in every DAG a state allows; false where it allows none."""
-    return why_invalid(states).select(*key, (F.col("reason") == "").alias("valid"))
+def lower_bound(fixed: C.Masks, claims: C.Masks, up: C.Masks, open_: C.Masks, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At least so many claims must go before a node of z is below x, or before a back-door walk from x to y is open; NEVER where neither can be.
+
+    Walks may pass a collider that is not in z if a directed walk could lead from it into z; what that costs is not
+    counted, so the second number is a bound and no more.
+    """
+    n, row = up.shape[1], np.arange(len(up))
+    if not len(up):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    costs = _costs(fixed, claims, up, open_)
+    in_z = np.array([C._has(z, v) for v in range(n)]).T
+    below = np.full((len(up), n), NEVER, np.int16)
+    below[row, x] = 0
+    descent = np.where(in_z, _settled(below, costs), NEVER).min(axis=1)
+    may_reach = _settled(np.where(in_z, 0, NEVER).astype(np.int16), costs.transpose(0, 2, 1)) < NEVER
+    inner = np.ones((len(up), n), bool)
+    inner[row, x] = inner[row, y] = False
+    passes, meets = (inner & ~in_z)[:, :, None], (inner & may_reach)[:, :, None]
+    # Walks so far by their last edge: it points at the node, or away from it. The first one points at x.
+    at, away = np.full((len(up), n), NEVER, np.int16), np.minimum(costs[row, :, x], NEVER)
+    away[row, x] = NEVER
+    back = costs.transpose(0, 2, 1)
+    while True:
+        either = np.where(passes, np.minimum(at, away)[:, :, None], NEVER)
+        onward = np.minimum((either + costs).min(axis=1), NEVER)
+        turned = np.minimum(np.where(passes, away[:, :, None], NEVER), np.where(meets, at[:, :, None], NEVER))
+        backward = np.minimum((turned + back).min(axis=1), NEVER)
+        onward[row, x] = backward[row, x] = NEVER
+        new_at, new_away = np.minimum(at, onward), np.minimum(away, backward)
+        if (new_at == at).all() and (new_away == away).all():
+            return descent.astype(np.int64), np.minimum(at, away)[row, y].astype(np.int64)
+        at, away = new_at, new_away
+
+
+def failing_state(fixed: C.Masks, loose: C.Masks, wanted: C.Masks, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[C.Masks, C.Masks]:
+    """A state in which z fails, and to which no claim of ``wanted`` can be added so that it still does; z must fail in the CPDAG."""
+    up, open_, n = fixed.copy(), loose.copy(), fixed.shape[1]
+    for j in range(n):
+        for i in range(n):
+            at = np.flatnonzero(C._has(wanted[:, j] & ~up[:, j], i))
+            if not len(at):
+                continue
+            p, u = up[at], open_[at]
+            p[:, j] |= C._bit(i)
+            u[:, j] &= ~C._bit(i)
+            u[:, i] &= ~C._bit(j)
+            p, u, _ = C.close(p, u)
+            still = C.fails(p, u, x[at], y[at], z[at])
+            up[at[still]], open_[at[still]] = p[still], u[still]
+    return up, open_
+
+
+def _count(masks: C.Masks) -> np.ndarray:
+    return np.bitwise_count(masks).sum(axis=1, dtype=np.int64)
+
+
+def _columns(part: pa.RecordBatch) -> list[np.ndarray]:
+    return [C._matrix(part.column(c)) for c in ("fixed", "loose", "claims", "pa", "nb")] + [part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in "xyz"]
+
+
+def _bounded(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
+    """Bounds, and the radius where they decide it."""
+    fixed, loose, claims, up, open_, x, y, z = _columns(part)
+    held = _count(claims & up)
+    legal = part.column("legal").to_numpy(zero_copy_only=False)
+    radius, method = np.full(len(x), NEVER), np.full(len(x), METHODS.index("search"))
+    lower, upper = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    far, wide = up.copy(), open_.copy()
+    radius[~legal], method[~legal] = 0, METHODS.index("no_extensions")
+    left = np.flatnonzero(legal)
+    bad = C.fails(up[left], open_[left], x[left], y[left], z[left])
+    radius[left[bad]], method[left[bad]] = 0, METHODS.index("degenerate")
+    left = left[~bad]
+    top = C.fails(fixed[left], loose[left], x[left], y[left], z[left])
+    radius[left[~top]], method[left[~top]] = UNREACHED, METHODS.index("unreached")
+    left = left[top]
+    args = [c[left] for c in (fixed, claims, up, open_, x, y, z)]
+    lower[left] = np.maximum(1, np.minimum(*lower_bound(*args)))
+    far[left], wide[left] = failing_state(fixed[left], loose[left], (claims & up)[left], x[left], y[left], z[left])
+    upper[left] = held[left] - _count(claims & far)[left]
+    sure = left[lower[left] >= upper[left]]
+    radius[sure], method[sure] = upper[sure], METHODS.index("bounds")
+    names = np.array(METHODS, dtype=object)
+    open_case = radius == NEVER
+    return None, {
+        "lower": pa.array(lower, pa.int32()), "upper": pa.array(upper, pa.int32()), "radius": pa.array(radius, pa.int32(), mask=open_case), "method": pa.array(names[method], pa.string()),
+        "far_pa": C.lists_of(far, part.column("pa")), "far_nb": C.lists_of(wide, part.column("pa")),
+    }
+
+
+def _one_less(part: pa.RecordBatch) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Every state with one claim less, which the others do not imply."""
+    fixed, loose, claims, up, open_, *_ = _columns(part)
+    mine = claims & up & ~fixed
+    # Where all that knowledge directs is claimed, a state stays closed without the claim; else it is closed anew.
+    whole = (up & ~fixed & ~claims == 0).all(axis=1)
+    again = np.zeros_like(up)
+    again[whole] = implied(up[whole], open_[whole])
+    g, i, j = steps(mine & ~again)
+    p, u = opened(up[g], open_[g], i, j)
+    anew = np.flatnonzero(~whole[g])
+    rest = mine[g[anew]]
+    rest[np.arange(len(anew)), j[anew]] &= ~C._bit(i[anew])
+    p[anew], u[anew], _ = C.close(fixed[g[anew]] | rest, loose[g[anew]] & ~(rest | C.transpose(rest)))
+    kept = ~C._has(p[np.arange(len(g)), j], i)
+    like = part.column("pa").take(pa.array(g[kept]))
+    return g[kept], {"pa": C.lists_of(p[kept], like), "nb": C.lists_of(u[kept], like)}
+
+
+def _judged(shell: int):
+    def kernel(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
+        _, _, _, up, open_, x, y, z = _columns(part)
+        bad = np.zeros(len(x), bool)
+        at = np.flatnonzero(part.column("lower").to_numpy(zero_copy_only=False) <= shell)
+        bad[at] = C.fails(up[at], open_[at], x[at], y[at], z[at])
+        return None, {"bad": pa.array(bad)}
+
+    return kernel
+
+
+def up_radius(cases: DataFrame) -> DataFrame:
+    """gid, radius (UNREACHED if no state fails), lower, upper, method, and labels, pa, nb of a nearest failing state (the state itself
+    where it is degenerate, the CPDAG's where nothing fails).
+
+    cases: gid, labels; fixed, loose: parents and open neighbours of the CPDAG; pa, nb: the closed state; claims: masks of the parents
+    that are claimed for each node, which make the state of the CPDAG; x, y, z; legal: false where the claims contradict each other.
+    """
+    told = settle(C.over_graphs(cases, _bounded, "lower int, upper int, radius int, method string, far_pa array<long>, far_nb array<long>"))
+    columns = ("gid", "radius", "lower", "upper", "method", "labels")
+    far = told.withColumns({"far_pa": F.when(F.col("method") == "unreached", F.col("fixed")).otherwise(F.col("far_pa")), "far_nb": F.when(F.col("method") == "unreached", F.col("loose")).otherwise(F.col("far_nb"))})
+    done = [far.filter("radius is not null").select(*columns, F.col("far_pa").alias("pa"), F.col("far_nb").alias("nb"))]
+    level, shell = told.filter("radius is null").drop("radius"), 0
+    while True:
+        # One step short of the upper bound, that bound is the radius.
+        last = level.filter(F.col("upper") == shell + 1).dropDuplicates(["gid"])
+        done.append(last.select("gid", F.col("upper").alias("radius"), "lower", "upper", "method", "labels", F.col("far_pa").alias("pa"), F.col("far_nb").alias("nb")))
+        level, shell = level.filter(F.col("upper") > shell + 1), shell + 1
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        above = C.over_graphs(level, _one_less, "pa array<long>, nb array<long>").dropDuplicates(["gid", "pa"])
+        judged = settle(C.over_graphs(above, _judged(shell), "bad boolean"))
+        hit = settle(judged.filter("bad").groupBy("gid").agg(F.min(F.struct("pa", "nb", "lower", "upper", "method", "labels")).alias("s")).withColumn("radius", F.lit(shell)))
+        done.append(hit.select("gid", "radius", *[F.col(f"s.{c}").alias(c) for c in (*columns[2:], "pa", "nb")]))
+        level = settle(judged.join(hit.select("gid"), "gid", "left_anti").drop("bad"))
 
 
 def breakdown_radius(graphs: DataFrame, claims: DataFrame, most: int | None = None) -> DataFrame:
     """gid, radius: least number of claims (gid, a, b) whose removal makes z fail; UNREACHED if none does, or none up
-    to ``most`` where that is given.
+    to ``most`` where that is given. Further columns as up_radius gives them.
 
-    graphs: gid, labels, pa, nb (CPDAGs), x, y, z. Without any claim a graph allows every DAG that one of
-    its states allows, so those where z holds even then are unreached and enter no shell; of the others
-    the last shell fails at the latest.
+    graphs: gid, labels, pa, nb (CPDAGs), x, y, z. Claims that contradict the graph or each other leave no state, which
+    counts as failing from the start.
     """
-    listed = claims.groupBy("gid").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("claims"))
-    todo = settle(graphs.join(listed, "gid", "left").withColumn("claims", F.coalesce("claims", F.array().cast("array<struct<a:int,b:int>>"))))
-    found, shell = [], 0
-    holds = valid_everywhere(todo.drop("claims"), ["gid"]).filter("valid").select("gid")
-    never = settle(todo.join(holds, "gid", "left_semi").select("gid"))
-    todo = settle(todo.join(never, "gid", "left_anti"))
-    while (most is None or shell <= most) and not (open_ := todo.filter(F.size("claims") >= shell)).isEmpty():
-        ways = F.filter(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size("claims")) - 1), lambda w: F.bit_count(w) == shell)
-        states = open_.withColumn("gone", F.explode(ways)).withColumn("state", F.concat_ws("/", "gid", "gone"))
-        kept = states.select(F.col("state").alias("gid"), F.explode(F.filter("claims", lambda _, i: ~B.has(F.col("gone").cast("long"), i))).alias("c")).select("gid", "c.a", "c.b")
-        base = states.select(F.col("state").alias("gid"), "labels", "pa", "nb", "x", "y", "z")
-        judged = valid_everywhere(settle(apply_knowledge(base, kept).drop("status")), ["gid"])
-        fails = settle(judged.groupBy(F.substring_index("gid", "/", 1).cast("long").alias("gid")).agg(F.min(F.col("valid").cast("int")).alias("ok")).filter("ok = 0").select("gid"))
-        found.append(fails.withColumn("radius", F.lit(shell)))
-        todo, shell = settle(todo.join(fails, "gid", "left_anti")), shell + 1
-    return reduce(DataFrame.union, found, never.union(todo.select("gid")).withColumn("radius", F.lit(UNREACHED)))
+    base = graphs.withColumns({"fixed": F.col("pa"), "loose": F.col("nb")})
+    lists = claims.groupBy("gid").agg(F.collect_set(F.struct("a", "b")).alias("_listed"))
+    at = lambda c: F.array_position("labels", c) - 1
+    held = F.transform("labels", lambda v: F.aggregate(F.filter("_listed", lambda c: (c["b"] == v) & (at(c["a"]) >= 0)), B.zero(), lambda acc, c: acc.bitwiseOR(B.bit(at(c["a"])))))
+    known = settle(apply_knowledge(base, claims))
+    cases = known.join(lists, "gid", "left").withColumn("_listed", F.coalesce("_listed", F.array().cast("array<struct<a:int,b:int>>")))
+    ready = cases.withColumn("claims", held).withColumn("legal", F.col("status") == "ok").drop("_listed", "status")
+    found = up_radius(ready)
+    return found if most is None else found.withColumn("radius", F.when(F.col("radius") <= most, F.col("radius")).otherwise(UNREACHED))

@@ -12,7 +12,7 @@ from ..operators import adjustment as A
 from ..operators import graphs as G
 from ..operators import meek as M
 from ..operators.fixpoint import settle
-from ..operators.radius import breakdown_radius, extensions
+from ..operators.radius import extensions, up_radius
 from ..sources.population import dags, edge_rows, hash_percent
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,11 +181,13 @@ def radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     All graphs of three nodes or more whose pair has a causal path.
     """
-    true = _pairs(spark, sf_dir)
-    asked = settle(true.withColumn("z", A.optimal(F.col("x"), F.col("y"))).withColumn("causal", B.has(F.get("de", F.col("x")), F.col("y"))).select("gid", "x", "y", "z", "causal"))
-    graphs = settle(M.cpdag(true))
-    claims = edge_rows(graphs).filter("kind = 'u'").select("gid", "a", "b")  # in a DAG of the population a < b is a -> b
-    return breakdown_radius(graphs.join(asked.filter("causal").drop("causal"), "gid"), claims)
+    true = _pairs(spark, sf_dir).withColumn("z", A.optimal(F.col("x"), F.col("y"))).withColumn("causal", B.has(F.get("de", F.col("x")), F.col("y")))
+    asked = settle(true.select("gid", "labels", "pa", "x", "y", "z", "causal")).filter("causal").drop("causal")
+    # The claims make the DAG again, so this is the state to start from.
+    graphs = M.cpdag(asked.select("gid", "labels", "pa")).select("gid", F.col("pa").alias("fixed"), F.col("nb").alias("loose"))
+    claimed = F.transform(F.arrays_zip("pa", "fixed"), lambda z: B.minus(z["pa"], z["fixed"]))
+    none = F.transform("pa", lambda _: B.zero())
+    return up_radius(asked.join(graphs, "gid").withColumns({"nb": none, "claims": claimed, "legal": F.lit(True)})).select("gid", "radius")
 
 
 def queries() -> dict[str, Query]:
