@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
+from .extensions import extensions
+from .fixpoint import settle
 
 
 def upward(mask: Column, pa: Column) -> Column:
@@ -71,3 +73,14 @@ def gac_valid(df: DataFrame, x: Column, y: Column, z: Column) -> DataFrame:
     cut = causal.withColumn("_cut", F.transform("pa", lambda m, i: F.when(B.has(F.col("_cn"), i), B.minus(m, B.bit(x))).otherwise(m)))
     clean = ~B.overlap(z, forbidden(x, y))
     return separation(cut, "_cut", B.bit(x), B.bit(y), z, "valid").withColumn("valid", F.col("valid") & clean).drop("_cn", "_cut")
+
+
+def optimal_of_state(states: DataFrame) -> DataFrame:
+    """gid, z: the optimal set of places x and y where all DAGs that a closed graph allows have the same one; null where they differ.
+
+    states: gid, labels, pa, nb, x, y. A graph that allows no DAG has no row.
+    """
+    each = with_order(extensions(states.select("gid", "labels", "pa", "nb", "x", "y"))).withColumn("z", optimal(F.col("x"), F.col("y")))
+    # As a column first: in the aggregate it would be worked out twice.
+    found = settle(each.select("gid", "z")).groupBy("gid").agg(F.min("z").alias("least"), F.max("z").alias("most"))
+    return found.select("gid", F.when(F.col("least") == F.col("most"), F.col("least")).alias("z"))

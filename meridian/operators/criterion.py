@@ -28,10 +28,16 @@ def _has(mask: np.ndarray, i: int) -> np.ndarray:
     return (mask >> np.int64(i)) & 1 == 1
 
 
+def _members(masks: np.ndarray) -> list[int]:
+    """Nodes that are in one of the masks or more."""
+    whole = int(np.bitwise_or.reduce(masks)) if len(masks) else 0
+    return [k for k in range(whole.bit_length()) if whole >> k & 1]
+
+
 def transpose(masks: Masks) -> Masks:
     out = np.zeros_like(masks)
     for j in range(masks.shape[1]):
-        for i in range(masks.shape[1]):
+        for i in _members(masks[:, j]):
             out[:, i] |= np.where(_has(masks[:, j], i), _bit(j), 0)
     return out
 
@@ -49,15 +55,13 @@ def close(parents: Masks, open_: Masks) -> tuple[Masks, Masks, np.ndarray]:
     adj = parents | transpose(parents) | open_
     while True:
         children, new = transpose(parents), np.zeros_like(parents)
-        for i in range(n):
-            for j in range(n):
+        for j in range(n):
+            for i in _members(open_[:, j]):
                 at = np.flatnonzero(_has(open_[:, j], i))
-                if not len(at):
-                    continue
                 up, far = parents[at], ~(adj[at, j] | _bit(j))
                 fires = (up[:, i] & far != 0) | (children[at, i] & up[:, j] != 0)
                 middle, apart = open_[at, i] & up[:, j], open_[at, i] & far
-                for k in range(n):
+                for k in _members(up[:, j]):
                     fires |= _has(middle, k) & (middle & ~(adj[at, k] | _bit(k)) != 0)
                     fires |= _has(up[:, j], k) & (up[:, k] & apart != 0)
                 new[at[fires], j] |= _bit(i)
@@ -67,6 +71,17 @@ def close(parents: Masks, open_: Masks) -> tuple[Masks, Masks, np.ndarray]:
         open_ &= ~(new | transpose(new))
 
 
+def new_colliders(before: Masks, parents: Masks, open_: Masks) -> np.ndarray:
+    """Whether two nodes that are not adjacent have a common child now and not both had it before."""
+    adj, out = parents | transpose(parents) | open_, np.zeros(len(parents), bool)
+    for m in range(parents.shape[1]):
+        for a in range(parents.shape[1]):
+            others = parents[:, m] & ~(adj[:, a] | _bit(a))
+            others &= np.where(_has(before[:, m], a), ~before[:, m], np.int64(-1))
+            out |= _has(parents[:, m], a) & (others != 0)
+    return out
+
+
 def possible_descendants(parents: Masks, open_: Masks) -> Masks:
     """For each node the nodes below it in some DAG of a closed graph, itself included: those that unshielded paths without a backward step reach."""
     children, n = transpose(parents), parents.shape[1]
@@ -78,7 +93,7 @@ def possible_descendants(parents: Masks, open_: Masks) -> Masks:
     while True:
         before = last.copy()
         for u in range(n):
-            for v in range(n):
+            for v in _members(forth[:, u]):
                 further = forth[:, v] & ~(adj[:, u] | _bit(u))
                 last[:, :, v] |= np.where(_has(last[:, :, u], v), further[:, None], 0)
         if (last == before).all():
@@ -97,7 +112,7 @@ def open_path(parents: Masks, open_: Masks, below: Masks, x: np.ndarray, y: np.n
     while True:
         before = [c.copy() for c in came]
         for u in range(n):
-            for v in range(n):
+            for v in _members(adj[:, u]):
                 free = np.where(_has(z, v), np.int64(0), np.int64(-1))  # a node in z lets only colliders pass
                 collider = np.where(below[:, v] & z != 0, parents[:, v], 0)
                 forward, back, loose = _has(children[:, u], v), _has(parents[:, u], v), _has(open_[:, u], v)
@@ -113,19 +128,37 @@ def open_path(parents: Masks, open_: Masks, below: Masks, x: np.ndarray, y: np.n
             return (np.bitwise_or.reduce(came[1], axis=1) >> y) & 1 == 1
 
 
+def possibly_below(parents: Masks, open_: Masks, start: np.ndarray) -> np.ndarray:
+    """possible_descendants() of one node a graph."""
+    adj, n, row = parents | transpose(parents) | open_, parents.shape[1], np.arange(len(start))
+    forth = adj & ~parents
+    last = np.zeros_like(parents)
+    last[row, start] = forth[row, start]
+    while True:
+        before = last.copy()
+        for u in range(n):
+            for v in _members(last[:, u]):
+                at = np.flatnonzero(_has(last[:, u], v))
+                if len(at):
+                    last[at, v] |= forth[at, v] & ~(adj[at, u] | _bit(u))
+        if (last == before).all():
+            return np.bitwise_or.reduce(last, axis=1) | _bit(start)
+
+
 def amenable(parents: Masks, open_: Masks, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether no DAG of a closed graph has a causal path from x to y whose first edge the graph leaves open."""
-    out = np.ones(len(parents), bool)
-    for v in range(parents.shape[1]):
-        at = np.flatnonzero(_has(open_[np.arange(len(x)), x], v))
-        if not len(at):
-            continue
-        up, loose = parents[at], open_[at]
-        up[:, v] |= _bit(x[at])
-        loose[:, v] &= ~_bit(x[at])
-        loose[np.arange(len(at)), x[at]] &= ~_bit(v)
-        up, loose, fine = close(up, loose)
-        out[at] &= ~(fine & ((possible_descendants(up, loose)[:, v] >> y[at]) & 1 == 1))
+    out, row = np.ones(len(parents), bool), np.arange(len(x))
+    found = [(at, np.full(len(at), v)) for v in range(parents.shape[1]) if len(at := np.flatnonzero(_has(open_[row, x], v)))]
+    if not found:
+        return out
+    # Every open edge at x is tried forwards, each in a graph of its own.
+    g, v = (np.concatenate(c) for c in zip(*found, strict=True))
+    up, loose, own = parents[g], open_[g], np.arange(len(g))
+    up[own, v] |= _bit(x[g])
+    loose[own, v] &= ~_bit(x[g])
+    loose[own, x[g]] &= ~_bit(v)
+    up, loose, fine = close(up, loose)
+    out[g[fine & ((possibly_below(up, loose, v) >> y[g]) & 1 == 1)]] = False
     return out
 
 
@@ -144,14 +177,23 @@ def judge(parents: Masks, open_: Masks, x: np.ndarray, y: np.ndarray, z: np.ndar
     return *reasons, may, backdoor, general
 
 
+#: Numbers that the search for possible descendants keeps at a time.
+WORK = 1 << 22
+
+
 def fails(parents: Masks, open_: Masks, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Whether z is no back-door set of (x, y) in some DAG of a closed graph that has one; later tests see only what earlier ones leave."""
-    out, row = x == y, np.arange(len(x))
-    below = possible_descendants(parents, open_)
-    out |= z & (below[row, x] | _bit(x) | _bit(y)) != 0
-    for test in (lambda i: open_path(parents[i], open_[i], below[i], x[i], y[i], z[i]), lambda i: ~amenable(parents[i], open_[i], x[i], y[i])):
-        left = np.flatnonzero(~out)
-        out[left] = test(left)
+    out = x == y
+    step = max(1, WORK // max(1, parents.shape[1] ** 2))
+    for begin in range(0, len(x), step):
+        at = np.arange(begin, min(begin + step, len(x)))
+        below = possible_descendants(parents[at], open_[at])
+        out[at] |= z[at] & (below[np.arange(len(at)), x[at]] | _bit(x[at]) | _bit(y[at])) != 0
+        left = np.flatnonzero(~out[at])
+        i = at[left]
+        out[i] = open_path(parents[i], open_[i], below[left], x[i], y[i], z[i])
+        i = i[~out[i]]
+        out[i] = ~amenable(parents[i], open_[i], x[i], y[i])
     return out
 
 

@@ -6,6 +6,7 @@ A graph is one row of masks. One pass of a rule is a column expression; fixpoint
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,7 +96,7 @@ def apply_knowledge(graphs: DataFrame, claims: DataFrame) -> DataFrame:
     """graphs with the claimed orientations imposed and closed, and status.
 
     claims: gid, a, b for a -> b. status is 'ok', or 'contradiction' where a claim is no edge, is
-    reversed by the graph, or the closure directs an edge both ways or in a cycle.
+    reversed by the graph, or the closure directs an edge both ways, in a cycle or into a new v-structure.
     """
     lists = claims.groupBy("gid").agg(F.collect_set(F.struct("a", "b")).alias("claims"))
     joined = graphs.join(lists, "gid", "left").withColumn("claims", F.coalesce("claims", F.array().cast("array<struct<a:int,b:int>>")))
@@ -105,16 +106,20 @@ def apply_knowledge(graphs: DataFrame, claims: DataFrame) -> DataFrame:
     legal = F.forall("claims", lambda c: (c["i"] >= 0) & (c["j"] >= 0) & (B.has(F.get("nb", c["j"].cast("int")), c["i"]) | B.has(F.get("pa", c["j"].cast("int")), c["i"])))
     to = lambda j: F.aggregate("claims", B.zero(), lambda acc, c: F.when(c["j"] == j, acc.bitwiseOR(B.bit(c["i"]))).otherwise(acc))
     out = lambda j: F.aggregate("claims", B.zero(), lambda acc, c: F.when(c["i"] == j, acc.bitwiseOR(B.bit(c["j"]))).otherwise(acc))
-    imposed = placed.withColumn("legal", legal).withColumns(
+    imposed = placed.withColumns({"_from": F.col("pa"), "legal": legal}).withColumns(
         {
             "pa": F.when(F.col("legal"), F.transform("pa", lambda m, j: m.bitwiseOR(to(j)))).otherwise(F.col("pa")),
             "nb": F.when(F.col("legal"), F.transform("nb", lambda m, j: B.minus(m, to(j).bitwiseOR(out(j))))).otherwise(F.col("nb")),
         }
     )
-    closed = close(imposed)
-    ancestors = B.closure(F.col("pa"))
-    fails = ~F.col("legal") | F.exists(F.transform(ancestors, lambda m, i: B.has(m, i)), lambda x: x)
-    return closed.withColumn("status", F.when(fails, "contradiction").otherwise("ok")).select(*graphs.columns, "status")
+
+    def kernel(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
+        like, before = part.column("pa"), C._matrix(part.column("_from"))
+        up, loose, fine = C.close(C._matrix(like), C._matrix(part.column("nb")))
+        fine &= part.column("legal").to_numpy(zero_copy_only=False) & ~C.new_colliders(before, up, loose)
+        return None, {"pa": C.lists_of(up, like), "nb": C.lists_of(loose, like), "status": pa.array(np.where(fine, "ok", "contradiction"), pa.string())}
+
+    return C.over_graphs(imposed, kernel, "pa array<long>, nb array<long>, status string").select(*graphs.columns, "status")
 
 
 def same_pattern(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ up; the radius is the least number of steps to a state with a DAG for which the
 upwards, so a set that holds in the CPDAG never fails, and no step is taken from a state that fails.
 
 Bounds come first, for each graph in one pass. From below: the cheapest way to turn claims so that a node of the set
-is below x, or that a back-door walk is open. From above: claims are put back into the CPDAG as long as the
-set still fails. Only where the bounds differ, states are searched upwards, step by step for all graphs at once, each
+is below x, or that a back-door walk is open; where this says 1, the states one step up are judged. From above: claims
+are put back into the CPDAG as long as the set still fails. Only where the bounds differ, states are searched upwards, step by step for all graphs at once, each
 shell deduplicated; no state below the lower bound is judged, none beyond the upper one is made.
 """
 
@@ -31,7 +31,7 @@ UNREACHED = -1
 #: More than any number of claims.
 NEVER = 1 << 14
 
-METHODS = ("degenerate", "no_extensions", "unreached", "bounds", "search")
+METHODS = ("degenerate", "no_extensions", "unreached", "one_step", "bounds", "search")
 
 
 def valid_everywhere(states: DataFrame, key: list[str]) -> DataFrame:
@@ -98,7 +98,7 @@ def failing_state(fixed: C.Masks, loose: C.Masks, wanted: C.Masks, x: np.ndarray
     """A state in which z fails, and to which no claim of ``wanted`` can be added so that it still does; z must fail in the CPDAG."""
     up, open_, n = fixed.copy(), loose.copy(), fixed.shape[1]
     for j in range(n):
-        for i in range(n):
+        for i in C._members(wanted[:, j]):
             at = np.flatnonzero(C._has(wanted[:, j] & ~up[:, j], i))
             if not len(at):
                 continue
@@ -120,6 +120,23 @@ def _columns(part: pa.RecordBatch) -> list[np.ndarray]:
     return [C._matrix(part.column(c)) for c in ("fixed", "loose", "claims", "pa", "nb")] + [part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in "xyz"]
 
 
+def one_less(fixed: C.Masks, loose: C.Masks, claims: C.Masks, up: C.Masks, open_: C.Masks) -> tuple[np.ndarray, C.Masks, C.Masks]:
+    """Every state with one claim less, which the others do not imply: graph, parents, open neighbours."""
+    mine = claims & up & ~fixed
+    # Where all that knowledge directs is claimed, a state stays closed without the claim; else it is closed anew.
+    whole = (up & ~fixed & ~claims == 0).all(axis=1)
+    again = np.zeros_like(up)
+    again[whole] = implied(up[whole], open_[whole])
+    g, i, j = steps(mine & ~again)
+    p, u = opened(up[g], open_[g], i, j)
+    anew = np.flatnonzero(~whole[g])
+    rest = mine[g[anew]]
+    rest[np.arange(len(anew)), j[anew]] &= ~C._bit(i[anew])
+    p[anew], u[anew], _ = C.close(fixed[g[anew]] | rest, loose[g[anew]] & ~(rest | C.transpose(rest)))
+    kept = ~C._has(p[np.arange(len(g)), j], i)
+    return g[kept], p[kept], u[kept]
+
+
 def _bounded(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
     """Bounds, and the radius where they decide it."""
     fixed, loose, claims, up, open_, x, y, z = _columns(part)
@@ -138,6 +155,16 @@ def _bounded(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
     left = left[top]
     args = [c[left] for c in (fixed, claims, up, open_, x, y, z)]
     lower[left] = np.maximum(1, np.minimum(*lower_bound(*args)))
+    # Most radii are 1: all states one step up are judged at once.
+    near = left[lower[left] == 1]
+    g, p, u = one_less(*[c[near] for c in (fixed, loose, claims, up, open_)])
+    bad = C.fails(p, u, x[near[g]], y[near[g]], z[near[g]])
+    first = np.flatnonzero(bad)[np.unique(g[bad], return_index=True)[1]]
+    hit = near[g[first]]
+    far[hit], wide[hit] = p[first], u[first]
+    radius[hit], upper[hit], method[hit] = 1, 1, METHODS.index("one_step")
+    lower[np.setdiff1d(near, hit)] = 2
+    left = left[radius[left] == NEVER]
     far[left], wide[left] = failing_state(fixed[left], loose[left], (claims & up)[left], x[left], y[left], z[left])
     upper[left] = held[left] - _count(claims & far)[left]
     sure = left[lower[left] >= upper[left]]
@@ -150,23 +177,10 @@ def _bounded(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
     }
 
 
-def _one_less(part: pa.RecordBatch) -> tuple[np.ndarray, dict[str, pa.Array]]:
-    """Every state with one claim less, which the others do not imply."""
-    fixed, loose, claims, up, open_, *_ = _columns(part)
-    mine = claims & up & ~fixed
-    # Where all that knowledge directs is claimed, a state stays closed without the claim; else it is closed anew.
-    whole = (up & ~fixed & ~claims == 0).all(axis=1)
-    again = np.zeros_like(up)
-    again[whole] = implied(up[whole], open_[whole])
-    g, i, j = steps(mine & ~again)
-    p, u = opened(up[g], open_[g], i, j)
-    anew = np.flatnonzero(~whole[g])
-    rest = mine[g[anew]]
-    rest[np.arange(len(anew)), j[anew]] &= ~C._bit(i[anew])
-    p[anew], u[anew], _ = C.close(fixed[g[anew]] | rest, loose[g[anew]] & ~(rest | C.transpose(rest)))
-    kept = ~C._has(p[np.arange(len(g)), j], i)
-    like = part.column("pa").take(pa.array(g[kept]))
-    return g[kept], {"pa": C.lists_of(p[kept], like), "nb": C.lists_of(u[kept], like)}
+def _above(part: pa.RecordBatch) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    g, up, open_ = one_less(*_columns(part)[:5])
+    like = part.column("pa").take(pa.array(g))
+    return g, {"pa": C.lists_of(up, like), "nb": C.lists_of(open_, like)}
 
 
 def _judged(shell: int):
@@ -199,7 +213,7 @@ def up_radius(cases: DataFrame) -> DataFrame:
         level, shell = level.filter(F.col("upper") > shell + 1), shell + 1
         if level.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        above = C.over_graphs(level, _one_less, "pa array<long>, nb array<long>").dropDuplicates(["gid", "pa"])
+        above = C.over_graphs(level, _above, "pa array<long>, nb array<long>").dropDuplicates(["gid", "pa"])
         judged = settle(C.over_graphs(above, _judged(shell), "bad boolean"))
         hit = settle(judged.filter("bad").groupBy("gid").agg(F.min(F.struct("pa", "nb", "lower", "upper", "method", "labels")).alias("s")).withColumn("radius", F.lit(shell)))
         done.append(hit.select("gid", "radius", *[F.col(f"s.{c}").alias(c) for c in (*columns[2:], "pa", "nb")]))

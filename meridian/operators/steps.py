@@ -13,13 +13,11 @@ def implied(parents: C.Masks, open_: C.Masks) -> C.Masks:
     adj, out = parents | children | open_, np.zeros_like(parents)
     for j in range(n):
         far = ~(adj[:, j] | C._bit(j))
-        for i in range(n):
+        for i in C._members(parents[:, j]):
             at = np.flatnonzero(C._has(parents[:, j], i))
-            if not len(at):
-                continue
             up, middle, apart = parents[at], open_[at, i] & parents[at, j], open_[at, i] & far[at]
             again = (up[:, i] & far[at] != 0) | (children[at, i] & up[:, j] != 0)
-            for k in range(n):
+            for k in C._members(up[:, j]):
                 again |= C._has(middle, k) & (middle & ~(adj[at, k] | C._bit(k)) != 0)
                 again |= C._has(up[:, j], k) & (up[:, k] & apart != 0)
             out[at[again], j] |= C._bit(i)
@@ -28,7 +26,7 @@ def implied(parents: C.Masks, open_: C.Masks) -> C.Masks:
 
 def steps(free: C.Masks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Graph, tail and head of every edge in masks of parents, graph by graph."""
-    found = [(at, np.full(len(at), i), np.full(len(at), j)) for j in range(free.shape[1]) for i in range(free.shape[1]) if len(at := np.flatnonzero(C._has(free[:, j], i)))]
+    found = [(at, np.full(len(at), i), np.full(len(at), j)) for j in range(free.shape[1]) for i in C._members(free[:, j]) if len(at := np.flatnonzero(C._has(free[:, j], i)))]
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none
