@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Most nodes of a graph whose sets of nodes are 64-bit masks.
+MOST_NODES = 62
 
 
 def zero() -> Column:

@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Most nodes of a graph whose sets of nodes are 64-bit masks.
-MOST_NODES = 62
+from ..functions.bits import MOST_NODES
+
 REASONS = ("", "no_extensions", "degenerate_query", "not_amenable", "z_hits_forbidden", "open_noncausal_path")  # fixed values
 
 Masks = np.ndarray  # graphs by nodes

@@ -48,11 +48,15 @@ def _ends(edges: DataFrame) -> DataFrame:
 def parse_bif(files: DataFrame) -> DataFrame:
     """Edges of BIF files: a probability block names a child and, after a bar, its parents. Comments don't count.
 
-    Nodes are those with a variable block; a parent without one is an error.
+    Nodes are those with a variable block; a parent without one is an error, and so is a file without any, or with
+    two of a name.
     """
     bare = files.select("name", F.regexp_replace(F.regexp_replace("text", r"(?s)/\*.*?\*/", " "), r"//[^\n]*", " ").alias("text"))
     plain = lambda c: F.trim(F.replace(c, F.lit('"'), F.lit("")))
-    nodes = bare.select("name", F.explode(F.regexp_extract_all("text", F.lit(r"variable\s+(\"[^\"]+\"|[^\s{]+)\s*\{"), F.lit(1))).alias("raw")).select("name", plain(F.col("raw")).alias("raw"))
+    blocks = F.transform(F.regexp_extract_all("text", F.lit(r"variable\s+(\"[^\"]+\"|[^\s{]+)\s*\{"), F.lit(1)), plain)
+    sound = (F.size("vars") > 0) & (F.size(F.array_distinct("vars")) == F.size("vars"))
+    told = F.raise_error(F.concat(F.lit("no variable block, or two of one name: "), F.col("name")))
+    nodes = bare.select("name", blocks.alias("vars")).select("name", F.explode(F.when(sound, F.col("vars")).otherwise(told)).alias("raw"))
     blocks = F.regexp_extract_all("text", F.lit(r"probability\s*\(([^)]*)\)"), F.lit(1))
     rows = bare.select("name", F.explode(blocks).alias("block")).filter(F.contains("block", F.lit("|")))
     edges = rows.select("name", plain(F.substring_index("block", "|", 1)).alias("b"), F.explode(F.split(F.substring_index("block", "|", -1), ",")).alias("a"))
@@ -85,8 +89,11 @@ def parse_dagitty(files: DataFrame) -> DataFrame:
 
 
 def parse_json(files: DataFrame) -> DataFrame:
-    """Edges of JSON files {"nodes": [...], "arcs": [[parent, child], ...]}; an arc to an undeclared node is an error."""
-    parsed = files.select("name", F.from_json("text", "nodes array<string>, arcs array<array<string>>").alias("p"))
+    """Edges of JSON files {"nodes": [...], "arcs": [[parent, child], ...]}; an arc to an undeclared node is an error, and so is a text
+    that is no such object, or an arc of other than two nodes."""
+    read = files.select("name", F.from_json("text", "nodes array<string>, arcs array<array<string>>").alias("p"))
+    sound = F.col("p.nodes").isNotNull() & F.col("p.arcs").isNotNull() & F.coalesce(F.forall("p.arcs", lambda a: F.size(a) == 2), F.lit(False))
+    parsed = read.select("name", F.when(sound, F.col("p")).otherwise(F.raise_error(F.concat(F.lit("not a JSON network: "), F.col("name")))).alias("p"))
     arcs = parsed.select("name", F.explode("p.arcs").alias("arc"))
     edges = arcs.select("name", F.get("arc", F.lit(0)).alias("a"), F.get("arc", F.lit(1)).alias("b"), F.lit("->").alias("kind"))
     return _built(parsed.select("name", F.explode("p.nodes").alias("raw")), edges)

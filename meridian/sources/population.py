@@ -27,7 +27,7 @@ def hash_percent(*parts: Column) -> Column:
 def node_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """gid, labels: the sorted nodes of each graph. The only shuffle that a population needs."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("gid"), F.col("l_linenumber").cast("int").alias("v"))
-    return lines.groupBy("gid").agg(F.array_sort(F.collect_set("v")).alias("labels"))
+    return lines.groupBy("gid").agg(F.array_sort(F.collect_set("v")).alias("labels")).withColumn("labels", _fitting("labels"))
 
 
 def dags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +44,15 @@ def dags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return node_lists(spark, sf_dir).withColumn("pa", parents)
 
 
+def _fitting(labels: str) -> Column:
+    """labels; more than masks hold are an error, as they would be lost without one."""
+    told = F.concat(F.lit("a graph has "), F.size(labels).cast("string"), F.lit(f" nodes; sets of nodes are masks of {B.MOST_NODES} at most"))
+    return F.when(F.size(labels) > B.MOST_NODES, F.raise_error(told)).otherwise(F.col(labels))
+
+
 def pack(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Graphs (gid, labels, pa, nb) from rows gid, a, b, kind ('d': a -> b, 'u': a - b) and gid, v."""
-    labels = nodes.groupBy("gid").agg(F.array_sort(F.collect_set("v")).alias("labels"))
+    labels = nodes.groupBy("gid").agg(F.array_sort(F.collect_set("v")).alias("labels")).withColumn("labels", _fitting("labels"))
     lists = edges.groupBy("gid").agg(F.collect_set(F.struct("a", "b", "kind")).alias("edges"))
     joined = labels.join(lists, "gid", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<a:int,b:int,kind:string>>")))
 
@@ -77,3 +83,19 @@ def edge_rows(graphs: DataFrame) -> DataFrame:
 
     found = F.concat(listed("pa", "d"), listed("nb", "u")) if "nb" in graphs.columns else listed("pa", "d")
     return graphs.select("gid", F.explode(found).alias("e")).select("gid", "e.a", "e.b", "e.kind")
+
+
+def models(graphs: DataFrame) -> DataFrame:
+    """graphs (gid, labels, pa) with a linear model each: weights, a row of parents' coefficients for every node (0 where no edge is), and
+    noise, a variance for every node. Hashes decide sign and size: coefficients from 0.3 to 1.5, variances from 0.5 to 1.5."""
+    digest = lambda *parts: F.md5(F.concat_ws("|", *parts))
+    unit = lambda d: F.conv(F.substring(d, 1, 4), 16, 10).cast("double") / F.lit(65537.0)  # a prime, so no number ends on a digit
+    sign = lambda d: F.when(F.substring(d, 5, 1) < "8", F.lit(-1.0)).otherwise(F.lit(1.0))
+
+    def weight(u: Column, v: Column) -> Column:
+        d = digest(F.col("gid"), u, v, F.lit("w"))
+        return sign(d) * (F.lit(0.3) + unit(d) * F.lit(1.2))
+
+    rows = F.transform("labels", lambda v, j: F.transform("labels", lambda u, i: F.when(B.has(F.get("pa", j), i), weight(u, v)).otherwise(F.lit(0.0))))
+    noise = F.transform("labels", lambda v: F.lit(0.5) + unit(digest(F.col("gid"), v, F.lit("n"))))
+    return graphs.withColumn("weights", F.flatten(rows)).withColumn("noise", noise)

@@ -45,3 +45,25 @@ def test_json(spark):
     assert edges(N.parse_json, spark, '{"nodes": ["a", "b c"], "arcs": [["a", "b c"]]}') == [("a", "->", "b_c")]
     with pytest.raises(Exception, match="undeclared node"):
         edges(N.parse_json, spark, '{"nodes": ["a"], "arcs": [["a", "b"]]}')
+
+
+@pytest.mark.parametrize("text", ['{"nodes": ["a"', "plain text", "{}", '{"nodes": ["a"]}', '{"nodes": ["a", "b"], "arcs": [["a"]]}'])
+def test_broken_json_is_an_error(spark, text):
+    with pytest.raises(Exception, match="not a JSON network"):
+        edges(N.parse_json, spark, text)
+
+
+@pytest.mark.parametrize("text", ["network unknown { }", "", "variable a { }\nvariable a { }\nprobability ( a ) { }"])
+def test_broken_bif_is_an_error(spark, text):
+    with pytest.raises(Exception, match="no variable block"):
+        edges(N.parse_bif, spark, text)
+
+
+def test_graphs_too_large_for_masks_are_an_error(spark):
+    from meridian.sources.population import pack
+
+    edges_ = spark.range(69).selectExpr("1L as gid", "cast(id as int) as a", "cast(id + 1 as int) as b", "'d' as kind")
+    nodes = spark.range(70).selectExpr("1L as gid", "cast(id as int) as v")
+    with pytest.raises(Exception, match="70 nodes"):
+        pack(edges_, nodes).collect()
+    assert len(pack(edges_.filter("b < 62"), nodes.filter("v < 62")).first().labels) == 62
