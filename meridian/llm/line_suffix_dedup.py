@@ -5,12 +5,16 @@ by its first 2 ** (k + 1) lines is the rank of the pair of its own rank and that
 lines on, both by 2 ** k lines. Pairs are ranked by sorting them over the cluster by range, so a rank
 is a place in the suffix array; a suffix whose pair occurs once is in no repeated run and leaves.
 
-Suffixes that share their first m lines are an interval of the suffix array whose longest common
-prefixes are m or more. With 2 ** k <= m < 2 ** (k + 1), the interval of a suffix is told by two ranks
-at level k: its own and that of the suffix m - 2 ** k lines on, as the two blocks cover all m lines.
-m is the least number of lines with ``min_chars`` characters, so it hangs on the run alone. In every
-interval the first occurrence in the corpus stays; the others are later copies. Overlapping copies
-join to maximal repeated runs, which are deleted.
+Suffixes that share their first n lines are an interval of the suffix array whose longest common
+prefixes are n or more. With 2 ** k <= n < 2 ** (k + 1), the interval of a suffix is told by two ranks
+at level k: its own and that of the suffix n - 2 ** k lines on, as the two blocks cover all n lines.
+In every interval the first occurrence in the corpus stays; the others are later copies.
+
+Which n a suffix is asked for hangs on its lines alone: from the least number of lines with ``min_chars``
+characters to the greatest for which the lines after the first have fewer. Every line of a repeated run of
+``min_chars`` characters lies in one of these: the shortest that begins with it, the shortest that ends with it, or,
+where the run has too few characters on either side, the shortest that begins where the run does. So the
+copies, joined where they overlap, are the maximal repeated runs to their last line. They are deleted.
 """
 
 from __future__ import annotations
@@ -46,15 +50,19 @@ def _least_run(sizes: str, i: Column, size: Column, min_chars: int) -> Column:
 
 
 def line_ids(docs: DataFrame, min_chars: int) -> DataFrame:
-    """_doc, _hash, pos, h, g (two independent hashes of the line: its id) and m, a row for each line."""
+    """_doc, _hash, pos, h, g (two independent hashes of the line: its id), m and upto (lengths, in lines, of the runs that begin
+    here and are asked for), a row for each line."""
     names = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64("text").alias("_hash")]
     keyed = docs.select(*names, _lines(F.col("text")).alias("lines"))
     sized = keyed.select(*DOC, "lines", F.transform("lines", lambda x: F.length(x) + 1).alias("sizes"))
+    least = sized.withColumn("least", F.transform("sizes", lambda x, i: _least_run("sizes", i, x, min_chars)))
+    # Where no run begins at the next line, those from this one go on to the end.
+    most = lambda i, m: F.when(m.isNotNull(), F.greatest(m, F.coalesce(F.get("least", i + 1), F.size("lines") - i)))
     ids = F.transform(
         "lines",
-        lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(7), x).alias("g"), _least_run("sizes", i, F.get("sizes", i), min_chars).alias("m")),
+        lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(7), x).alias("g"), F.get("least", i).alias("m"), most(i, F.get("least", i)).alias("upto")),
     )
-    return sized.select(*DOC, F.posexplode(ids).alias("pos", "id")).select(*DOC, "pos", "id.h", "id.g", "id.m")
+    return least.select(*DOC, F.posexplode(ids).alias("pos", "id")).select(*DOC, "pos", "id.h", "id.g", "id.m", "id.upto")
 
 
 def _ranks(keys: DataFrame, by: list[str]) -> DataFrame:
@@ -73,11 +81,13 @@ def _with_next(suffixes: DataFrame, ranked: DataFrame, offset: Column, name: str
 def repeated_runs(docs: DataFrame, min_chars: int = 160) -> DataFrame:
     """_doc, _hash, start, end: the maximal runs of lines that are later copies, as half-open ranges of line numbers."""
     ids = line_ids(docs, min_chars)
-    ranked = materialize(ids.join(_ranks(ids, ["h", "g"]), ["h", "g"]).select(*DOC, "pos", "m", "rank").dropDuplicates([*DOC, "pos"]), "suffixes")
-    longest = ranked.agg(F.max("m")).first()[0] or 1
+    ranked = materialize(ids.join(_ranks(ids, ["h", "g"]), ["h", "g"]).select(*DOC, "pos", "m", "upto", "rank").dropDuplicates([*DOC, "pos"]), "suffixes")
+    longest = ranked.agg(F.max("upto")).first()[0] or 1
     intervals, k = [], 0
     while True:
-        here = ranked.filter((F.col("m") >= 2**k) & (F.col("m") < 2 ** (k + 1)))
+        most = F.least(F.col("upto"), F.lit(2 ** (k + 1) - 1))
+        asked = ranked.filter((F.col("upto") >= 2**k) & (F.col("m") < 2 ** (k + 1))).withColumn("m", F.explode(F.sequence(F.greatest("m", F.lit(2**k)), most)))
+        here = asked.select(*DOC, "pos", "m", "rank")
         exact = here.filter(F.col("m") == 2**k).withColumn("other", F.col("rank"))
         if k:
             longer = here.filter(F.col("m") > 2**k)
@@ -87,7 +97,7 @@ def repeated_runs(docs: DataFrame, min_chars: int = 160) -> DataFrame:
             break
         paired = _with_next(ranked, ranked, F.lit(2**k), "next").withColumnRenamed("rank", "first")
         ranks = _ranks(paired, ["first", "next"])
-        ranked = materialize(paired.join(ranks, ["first", "next"]).select(*DOC, "pos", "m", "rank"), "suffixes")
+        ranked = materialize(paired.join(ranks, ["first", "next"]).select(*DOC, "pos", "m", "upto", "rank"), "suffixes")
         k += 1
     return _merged(reduce(DataFrame.union, intervals))
 

@@ -6,21 +6,30 @@ from meridian.llm.line_suffix_dedup import dedup_lines, drop_emptied
 
 
 def brute(docs, least):
-    """The first place of every run that just reaches the least size stays; what later ones cover goes."""
-    seen, out = set(), {}
-    for doc_id, text in sorted(docs.items()):
-        lines, gone = (text or "").split("\n"), set()
-        for start in range(len(lines)):
-            size = 0
-            for end in range(start, len(lines)):
-                size += len(lines[end]) + 1
-                if size >= least:
-                    run = tuple(lines[start : end + 1])
-                    gone |= set(range(start, end + 1)) if run in seen else set()
-                    seen.add(run)
-                    break
-        out[doc_id] = "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
-    return out
+    """By definition: any two places are compared as far as they agree, and where that has the least size, the later one goes."""
+    order = [(d, (docs[d] or "").split("\n")) for d in sorted(docs)]
+    where, gone = {}, {d: set() for d in docs}
+    for d, (_, lines) in enumerate(order):
+        for at, line in enumerate(lines):
+            for e, first in where.get(line, []):
+                other = order[e][1]
+                if at and first and lines[at - 1] == other[first - 1]:
+                    continue  # the run begins earlier
+                n = next((n for n, (x, y) in enumerate(zip(lines[at:], other[first:])) if x != y), min(len(lines) - at, len(other) - first))  # noqa: B905
+                if sum(len(x) + 1 for x in lines[at : at + n]) >= least:
+                    gone[order[d][0]] |= set(range(at, at + n))
+            where.setdefault(line, []).append((d, at))
+    return {d: ("\n".join(x for i, x in enumerate(lines) if i not in gone[d]), len(gone[d])) for d, lines in order}
+
+
+def test_runs_are_deleted_to_their_last_line(spark):
+    """Short lines go with the run they end, or begin, and stay elsewhere."""
+    long, docs = "A" * 170, {}
+    docs[1], docs[2], docs[3] = f"{long}\nshort line\nend one", f"start\n{long}\nshort line\nend two", "x\nshort line\nshort line\ny"
+    docs[4], docs[5] = f"a\nb\n{long}\nc\nd\ne", f"b\n{long}\nc\nd\nother"
+    found = {r.doc_id: (r.text, r.lines_deleted) for r in dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert found == brute(docs, 160)
+    assert found[2] == ("start\nend two", 2) and found[3][1] == 0 and found[5] == ("other", 4)
 
 
 @pytest.mark.parametrize("least", [5, 12, 40])
