@@ -31,6 +31,8 @@ LEAST_CENTROIDS, MOST_CENTROIDS = 64, 1024
 ROUNDS = 12
 #: Entries, and queries, that one task compares at a time, about.
 ENTRY_BLOCK, QUERY_BLOCK = 32_768, 8192
+#: Queries that one task walks the cells for, about.
+WALKS = 256
 #: Rows of an Arrow batch: vectors are wide.
 BATCH_ROWS = 2048
 #: What a product of matrices may be off by; candidates so close to the last one kept are scored again.
@@ -239,7 +241,9 @@ def search(vectors: DataFrame, id_column: str, vector_column: str, asked: Column
             held[r.row, r["col"]] = r["count"]
         wanted = math.ceil(books.value.share * n) + 1
         occupied = spark.sparkContext.broadcast(held)
-        texts = named.groupBy("key").agg(F.first("vec").alias("vec"))
+        # A walk is long for a row of its size, so rows are dealt by their number.
+        n_asked = named.count()
+        texts = named.groupBy("key").agg(F.first("vec").alias("vec")).repartition(max(1, math.ceil(n_asked / WALKS)), "key")
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """A row for each query and row of cells that it visits, with the columns."""
@@ -261,7 +265,7 @@ def search(vectors: DataFrame, id_column: str, vector_column: str, asked: Column
 
         # Rows of cells that hold many entries, and many queries, are cut into blocks: every block of entries meets every block of queries.
         blocks = F.array(*[F.lit(int(math.ceil(x / ENTRY_BLOCK)) or 1) for x in held.sum(axis=1)])
-        query_blocks = max(1, math.ceil(named.count() / QUERY_BLOCK))
+        query_blocks = max(1, math.ceil(n_asked / QUERY_BLOCK))
         part = lambda n_blocks: F.pmod(F.xxhash64("key"), n_blocks).cast("int")
         every = lambda n_blocks: F.explode(F.sequence(F.lit(0), n_blocks - 1))
         e = placed.withColumn("slice", part(F.get(blocks, F.col("row")))).withColumn("turn", every(F.lit(query_blocks)))
