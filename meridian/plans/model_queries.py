@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
+from ..operators import equivalence as Q
+from ..operators import meek as M
 from ..operators import models as L
 from ..operators import radius as R
+from ..operators import shells as H
+from ..operators.extensions import extensions
 from ..operators.fixpoint import settle
 from ..sources.population import dags, models
 from .graph_queries import ANC, CAUSAL, NODES, PAIRS, VD, VS, _closed
@@ -102,8 +106,26 @@ def certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("gid", "r_val", *[F.round(c, DIGITS).alias(c) for c in ("theta", "realised_error", "beta_top")], "r_eps_10")
 
 
+def mean_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bias over all ways to drop d of the known edges: its mean with the bounds that the shell's extremes give."""
+    found = H.mean_bounds(H.mean_profile(_states(spark, sf_dir)))
+    rounded = [F.round(c, DIGITS).alias(c) for c in ("mean", "beta_up", "lower", "upper")]
+    return found.select("gid", "d", F.col("n_evaluated").alias("n_subsets"), "n_states", *rounded)
+
+
+def covered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.covered_edges(dags(spark, sf_dir))
+
+
+def class_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many DAGs of its class are how many turns of covered edges away from each graph's DAG."""
+    own = settle(dags(spark, sf_dir))
+    reached = Q.class_walk(settle(extensions(M.cpdag(own))), own.select("gid", F.col("pa").alias("state")))
+    return reached.groupBy("gid", "distance").agg(F.count("*").alias("n_dags"))
+
+
 def queries() -> dict[str, Query]:
-    found = (total_effect_paths, model_covariance, asymptotic_variance, ida_effects, worst_case_bias, bias_profile, r_epsilon_grid, certified_band, certificate)
+    found = (total_effect_paths, model_covariance, asymptotic_variance, ida_effects, worst_case_bias, bias_profile, r_epsilon_grid, certified_band, certificate, mean_profile, covered_edges, class_walk)
     return {f.__name__: f for f in found}
 
 
@@ -192,6 +214,20 @@ def oracle_sql() -> dict[str, str]:
         "certified_band": f"""{radii}
             select sh.gid, sh.d as k, max(case when r_eps <> -1 and r_eps <= sh.d then epsilon end) as lower, min(case when r_eps = -1 or r_eps > sh.d then epsilon end) as upper
             from sh join re on re.gid = sh.gid and re.r_eps is not null group by sh.gid, sh.d""",
+        "mean_profile": f"""{staircase},
+            ke as (select g0.gid, oe.k, row_number() over (partition by g0.gid order by oe.k) - 1 as i, g0.m & (3::bigint << (2 * oe.k)::int) as bit
+              from g0 join oe on oe.gid = g0.gid where g0.m >> (2 * oe.k)::int & 3 <> 0),
+            su as (select gid, n, unnest(range(0, 1 << n)) as s from kn),
+            ks as (select su.gid, su.s, su.n - bit_count(su.s)::int as d, coalesce((select sum(ke.bit) from ke where ke.gid = su.gid and (su.s >> ke.i) & 1 = 1), 0)::bigint as m from su),
+            bs as (select ks.gid, ks.s, ks.d, max(off.off) as b, bit_and(off.m) as state from ks join off on off.gid = ks.gid and off.m & ks.m = ks.m group by ks.gid, ks.s, ks.d)
+            select gid, d, count(*) as n_subsets, count(distinct state) as n_states, round(avg(b), {DIGITS}) as mean, round(max(b), {DIGITS}) as beta_up,
+              round(count(*) filter (b > 0) / count(*) * coalesce(min(b) filter (b > 0), 0), {DIGITS}) as lower, round(count(*) filter (b > 0) / count(*) * max(b), {DIGITS}) as upper
+            from bs group by gid, d""",
+        "covered_edges": f"""with {NODES} select gid, t as a, h as b from e
+            where not exists (select 1 from e o where o.gid = e.gid and o.h = e.h and o.t <> e.t and not exists (select 1 from e p where p.gid = e.gid and p.t = o.t and p.h = e.t))
+              and not exists (select 1 from e o where o.gid = e.gid and o.h = e.t and not exists (select 1 from e p where p.gid = e.gid and p.t = o.t and p.h = e.h))""",
+        "class_walk": f"""with recursive {NODES}, {VS}, {VD}, {_closed('vd', 's', 'cd', 'cu')}, {EXTENDED}
+            select dm.gid, bit_count(dg.w)::int as distance, count(*) as n_dags from dm join dg on dg.gid = dm.gid and dg.w = dm.w group by all""",
         "certificate": f"""{radii},
             rv as (select aq.gid, coalesce(min(bit_count(g0.m & ~bad.m)), -1)::int as r_val from aq join g0 on g0.gid = aq.gid left join bad on bad.gid = aq.gid group by aq.gid)
             select th.gid, rv.r_val, round(th.theta, {DIGITS}) as theta, round(abs(th.theta - te.effect), {DIGITS}) as realised_error,

@@ -1,6 +1,7 @@
 """Linear models, possible parents and bias staircases against their definitions."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from meridian.functions import bits as B
 from meridian.operators import criterion as C
+from meridian.operators import equivalence as Q
 from meridian.operators import meek
 from meridian.operators import models as L
+from meridian.operators import shells as H
 from meridian.operators import space as S
 from meridian.operators.extensions import extensions
 from meridian.sources.population import models, pack
@@ -186,3 +189,89 @@ def test_empty(states):
     none = states.filter("false")
     assert L.bias_profile(none).collect() == [] and L.worst_case_bias(none).collect() == [] and L.moments(none).collect() == []
     assert S.retract(none).collect() == []
+
+
+def test_subsets_and_draws():
+    for n in range(7):
+        for d in range(n + 1):
+            ways = [H.subset(r, n, d) for r in range(math.comb(n, d))]
+            assert len(set(ways)) == len(ways) and all(m.bit_count() == d and m < 1 << n for m in ways)
+    assert H.subset(math.comb(60, 30) - 1, 60, 30) == sum(1 << i for i in range(30, 60))
+    assert H.drawn(5, 5, "s") == [0, 1, 2, 3, 4]
+    counts = np.zeros(10)
+    for s in range(4000):
+        found = H.drawn(10, 3, str(s))
+        assert len(set(found)) == 3 and max(found) < 10
+        counts[found] += 1
+    assert abs(counts / 4000 - 0.3).max() < 0.04
+    assert len(set(H.drawn(10**30, 50, "t"))) == 50
+
+
+def shells(states, every):
+    """By definition: the worst bias after dropping each subset of the known edges."""
+    out = {}
+    for r in states.collect():
+        n, _, _, _, sigma = arrays(r)
+        known = [(i, j) for j in range(n) for i in range(n) if (r.pa[j] & ~r.fixed[j]) >> i & 1]
+        off = [(d, abs(r.theta - (0.0 if d[r.x] >> r.y & 1 else plain_regression(sigma, r.x, r.y, [v for v in range(n) if d[r.x] >> v & 1])[0]))) for d in every[r.gid]]
+        for d in range(len(known) + 1):
+            worst = [max(b for dag, b in off if all(dag[j] >> i & 1 for i, j in kept)) for kept in itertools.combinations(known, len(known) - d)]
+            out[r.gid, d] = np.where(np.array(worst) < L.ZERO, 0.0, worst)
+    return out
+
+
+def test_mean_profile(states):
+    expected = shells(states, _cache(states))
+    found = {(r.gid, r.d): r for r in H.mean_bounds(H.mean_profile(states)).collect()}
+    assert set(found) == set(expected)
+    for key, b in expected.items():
+        r = found[key]
+        assert (r.n_subsets, r.n_evaluated, r.se) == (len(b), len(b), 0.0)
+        least = b[b > 0].min() if (b > 0).any() else 0.0
+        assert np.allclose([r.mean, r.beta_up, r.min_nonzero, r.frac_nonzero], [b.mean(), b.max(), least, (b > 0).mean()])
+        assert r.lower - 1e-9 <= r.mean <= r.upper + 1e-9
+    radii = {r.gid: r.r_mean for r in H.mean_radius(H.mean_profile(states), 0.2).collect()}
+    for gid in {g for g, _ in expected}:
+        means = {d: b.mean() for (g, d), b in expected.items() if g == gid}
+        assert radii[gid] == next((d for d in sorted(means) if means[d] > 0.2), -1)
+
+
+def test_sampled_shells(states):
+    """A sample never says more than the shell; its intervals hold the mean nearly always, over many seeds."""
+    expected = shells(states, _cache(states))
+    large = {k: b for k, b in expected.items() if len(b) > 8 and b.std() > 0}
+    assert large
+    held = []
+    for seed in range(6):
+        for r in H.mean_profile(states, most=8, seed=seed).collect():
+            b = expected[r.gid, r.d]
+            assert r.n_evaluated == min(8, len(b)) and r.beta_up <= b.max() + 1e-9 and (r.se == 0 or len(b) > 8)
+            if (r.gid, r.d) in large:
+                held.append(abs(r["mean"] - b.mean()) <= 3 * r.se + 1e-9)
+    assert np.mean(held) > 0.85
+
+
+def test_covered_edges_join_each_class(spark):
+    """Every DAG of a class is as many turns away as it differs in edges; all classes of four nodes."""
+    graphs = {}
+    pairs = list(itertools.combinations(range(4), 2))
+    for way in itertools.product((0, 1, 2), repeat=6):
+        es = [p if w == 1 else p[::-1] for p, w in zip(pairs, way, strict=True) if w]
+        if any(all(p.index(a) < p.index(b) for a, b in es) for p in itertools.permutations(range(4))):
+            graphs[len(graphs)] = (4, [(a, b, "d") for a, b in es])
+    assert len(graphs) == 543
+    dags = packed(spark, graphs).select("gid", "labels", "pa").cache()
+    members = {}
+    for r in extensions(meek.cpdag(dags)).collect():
+        members.setdefault(r.gid, set()).add(tuple(r.pa))
+    own = {r.gid: tuple(r.pa) for r in dags.collect()}
+    turned = {}
+    for r in Q.turns(dags).collect():
+        turned.setdefault(r.gid, set()).add(tuple(r.turned))
+    assert all(t <= members[g] for g, t in turned.items())
+    few = dags.filter("gid % 9 = 0")
+    walked = {}
+    for r in Q.class_walk(extensions(meek.cpdag(few)), few.select("gid", F.col("pa").alias("state"))).collect():
+        walked.setdefault(r.gid, {})[tuple(r.state)] = r.distance
+    for g, found in walked.items():
+        assert found == {m: sum((a ^ b).bit_count() for a, b in zip(m, own[g], strict=True)) // 2 for m in members[g]}
