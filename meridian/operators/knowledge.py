@@ -6,9 +6,15 @@ them, rounded half to even; which ones, a hash decides. Every operator takes one
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import bits as B
+from . import criterion as C
+from .fixpoint import settle
+
 
 def _order(tag: str, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols], F.lit(tag)))
@@ -67,3 +73,51 @@ def tiered(open_edges: DataFrame, tiered_nodes: DataFrame) -> DataFrame:
     placed = open_edges.join(side("a"), ["gid", "a"]).join(side("b"), ["gid", "b"]).filter("ta != tb")
     early = F.col("ta") < F.col("tb")
     return placed.select("gid", F.when(early, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(early, F.col("b")).otherwise(F.col("a")).alias("b"))
+
+
+def flip_draws(cases: DataFrame, replicates: int, tag: str = "f") -> DataFrame:
+    """cases (gid, labels, claims as masks of claimed parents), a row for each depth d from 1 to the number of claims and each replicate
+    rep: the claims with just d of them the other way round, those which the hash of gid, d, rep and the claim puts first."""
+    idx = B.indices(F.col("labels"))
+    pairs = F.flatten(F.transform("claims", lambda m, j: F.transform(F.filter(idx, lambda i: B.has(m, i)), lambda i: F.struct(i.alias("i"), j.alias("j")))))
+    # Settled, as a lambda would list the claims again for every node.
+    listed = cases.withColumn("_pairs", pairs).filter(F.size("_pairs") > 0)
+    drawn = listed.withColumn("d", F.explode(F.sequence(F.lit(1), F.size("_pairs")))).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    name = lambda e: F.md5(F.concat_ws("|", *[c.cast("string") for c in (F.col("gid"), F.col("d"), F.col("rep"), F.get("labels", e["i"]), F.get("labels", e["j"]))], F.lit(tag)))
+    placed = drawn.withColumn("_pairs", F.array_sort(F.transform("_pairs", lambda e: F.struct(name(e).alias("h"), e["i"].alias("i"), e["j"].alias("j")))))
+    turned = placed.withColumn("_pairs", F.transform("_pairs", lambda e, k: F.when(k < F.col("d"), F.struct(e["j"].alias("i"), e["i"].alias("j"))).otherwise(F.struct(e["i"].alias("i"), e["j"].alias("j")))))
+    into = F.transform("labels", lambda _, v: F.aggregate("_pairs", B.zero(), lambda acc, e: F.when(e["j"] == v, acc.bitwiseOR(B.bit(e["i"]))).otherwise(acc)))
+    return turned.withColumn("claims", into).drop("_pairs")
+
+
+def imposed(cases: DataFrame) -> DataFrame:
+    """cases (fixed, loose: a CPDAG; claims: masks of claimed parents) with pa, nb, the closed state, and contradictory: a claim is no edge
+    or is reversed by the graph, or no DAG of the graph has all claims."""
+
+    def kernel(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
+        fixed, loose, claims = (C._matrix(part.column(c)) for c in ("fixed", "loose", "claims"))
+        wrong = (claims & ~(fixed | loose)).any(axis=1) | (claims & C.transpose(claims)).any(axis=1)
+        up, open_, fine = C.close(fixed | claims, loose & ~(claims | C.transpose(claims)))
+        wrong |= ~fine | C.new_colliders(fixed, up, open_)
+        like = part.column("fixed")
+        return None, {"pa": C.lists_of(up, like), "nb": C.lists_of(open_, like), "contradictory": pa.array(wrong)}
+
+    # A batch is cut by the size of its graphs, which the column pa tells.
+    return C.over_graphs(cases.withColumn("pa", F.col("fixed")), kernel, "pa array<long>, nb array<long>, contradictory boolean")
+
+
+def judged_draws(draws: DataFrame) -> DataFrame:
+    """gid, d, rep, contradictory, survived: whether mask z is a back-door set of (x, y) in the state that a draw's claims make.
+
+    draws: gid, d, rep, fixed, loose, claims, x, y, z. Draws of a graph that make the same state are judged once.
+    """
+    made = settle(imposed(draws).select("gid", "d", "rep", "pa", "nb", "x", "y", "z", "contradictory"))
+    states = made.filter("not contradictory").select("gid", "pa", "nb", "x", "y", "z").dropDuplicates(["gid", "pa", "x", "y", "z"])
+
+    def kernel(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
+        x, y, z = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in "xyz")
+        return None, {"survived": pa.array(~C.fails(C._matrix(part.column("pa")), C._matrix(part.column("nb")), x, y, z))}
+
+    told = C.over_graphs(states, kernel, "survived boolean").drop("nb")
+    joined = made.join(told, ["gid", "pa", "x", "y", "z"], "left")
+    return joined.select("gid", "d", "rep", "contradictory", F.coalesce("survived", F.lit(False)).alias("survived"))

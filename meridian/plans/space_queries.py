@@ -17,6 +17,7 @@ from ..operators import meek as M
 from ..operators import radius as R
 from ..operators import space as S
 from ..operators.fixpoint import settle
+from ..operators.survival import curve
 from ..sources.population import dags, edge_rows
 from .graph_queries import ANC, CAUSAL, NODES, PAIRS, VD, VS, _closed
 
@@ -116,8 +117,21 @@ def separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.separation(graphs).select("gid", "separation", "status")
 
 
+#: Draws at each depth of each instance.
+REPLICATES = 20
+
+
+def flip_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the optimal set of the DAG is still valid when d of its claims (all open edges) are turned: curves by instance."""
+    graphs = M.cpdag(dags(spark, sf_dir)).select("gid", "labels", F.col("pa").alias("fixed"), F.col("nb").alias("loose"))
+    true = dags(spark, sf_dir).select("gid", F.col("pa").alias("true"))
+    cases = settle(graphs.join(true, "gid").join(asked(spark, sf_dir), "gid").withColumn("claims", F.transform(F.arrays_zip("true", "fixed"), lambda z: B.minus(z["true"], z["fixed"]))))
+    draws = K.judged_draws(K.flip_draws(cases.drop("true"), REPLICATES))
+    return curve(draws.withColumnRenamed("gid", "instance")).withColumnRenamed("instance", "gid")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (space_states, covering_pairs, up_covers, space_distances, shell_sizes, r_val, radius_bounds, separation)}
+    return {f.__name__: f for f in (space_states, covering_pairs, up_covers, space_distances, shell_sizes, r_val, radius_bounds, separation, flip_survival)}
 
 
 #: Every DAG of every CPDAG: a number a way to turn its open edges. A DAG, like a state, is the mask of what it directs beyond the
@@ -217,6 +231,17 @@ def oracle_sql() -> dict[str, str]:
               case when not exists (select 1 from un where un.gid = aq.gid and un.a = aq.x) then 'x_not_in_component'
                 when min(h.n) is null then 'no_z_member_in_component' else 'measured' end as status
             from aq left join oz on oz.gid = aq.gid left join hop h on h.gid = aq.gid and h.v = oz.v group by aq.gid, aq.x""",
+        "flip_survival": f"""{judged},
+            cl as (select oe.gid, oe.a, oe.b, oe.k, count(*) over (partition by oe.gid) as n from oe join aq on aq.gid = oe.gid),
+            dw as (select cl.*, d.d::int as d, r.rep from cl, generate_series(1, 62) as d(d), range(0, {REPLICATES}) as r(rep) where d.d <= cl.n),
+            tn as (select *, row_number() over (partition by gid, d, rep order by md5(gid || '|' || d || '|' || rep || '|' || a || '|' || b || '|f'), a, b) <= d as turned from dw),
+            kd as (select gid, d, rep, sum(1::bigint << (2 * k + turned::int)::int)::bigint as m from tn group by gid, d, rep),
+            jd as (select kd.*, not exists (select 1 from dm where dm.gid = kd.gid and dm.m & kd.m = kd.m) as contradictory,
+              not exists (select 1 from bad where bad.gid = kd.gid and bad.m & kd.m = kd.m) as survived from kd)
+            select gid, d, count(*) filter (not contradictory) as n_eval, count(*) filter (contradictory) as n_contradictory,
+              count(*) filter (not contradictory and survived) as n_survived,
+              count(*) filter (not contradictory and survived) / nullif(count(*) filter (not contradictory), 0)::double as s,
+              count(*) filter (not contradictory and survived) / count(*)::double as s_fail from jd group by gid, d""",
         # Registered by other modules; their SQL rests on the DAGs listed here.
         "dag_extensions": f"{spaces} select gid, count(*) as n_extensions from dm group by gid",
         "radius": f"""{judged}

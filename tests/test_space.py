@@ -11,6 +11,7 @@ from meridian.functions import bits as B
 from meridian.operators import adjustment as A
 from meridian.operators import criterion as C
 from meridian.operators import graphs as G
+from meridian.operators import knowledge as K
 from meridian.operators import meek
 from meridian.operators import radius as R
 from meridian.operators import space as S
@@ -267,3 +268,37 @@ def test_optimal_of_state(spark):
     found = A.optimal_of_state(graphs.withColumns({"x": F.lit(0), "y": F.lit(1)}))
     assert {r.gid: r.z for r in found.collect()} == {1: 4, 2: None, 3: 0}
     assert G.edge_string(graphs) is not None
+
+
+def test_flip_draws(spark):
+    """Just d claims are turned at depth d; states, contradictions and verdicts are those of the DAGs with the drawn claims."""
+    rnd = random.Random(6)
+    graphs = {}
+    for g in range(40):
+        n = rnd.randint(3, 5)
+        order = rnd.sample(range(n), n)
+        graphs[g] = (n, [(order[i], order[j], "d") for i in range(n) for j in range(i + 1, n) if rnd.random() < 0.6])
+    dags = packed(spark, graphs)
+    true = {r.gid: r.pa for r in dags.collect()}
+    cpdags = meek.cpdag(dags).select("gid", "labels", F.col("pa").alias("fixed"), F.col("nb").alias("loose"))
+    cases = cpdags.join(dags.select("gid", "pa"), "gid").withColumn("claims", F.transform(F.arrays_zip("pa", "fixed"), lambda z: B.minus(z["pa"], z["fixed"]))).drop("pa")
+    cases = cases.withColumns({"x": F.lit(0), "y": F.lit(1), "z": F.when(F.col("gid") % 2 == 0, 0).otherwise(4).cast("long")}).cache()
+    held = {r.gid: r.claims for r in cases.collect()}
+    every = {}
+    for r in R.extensions(cpdags.select("gid", "labels", F.col("fixed").alias("pa"), F.col("loose").alias("nb"))).collect():
+        every.setdefault(r.gid, []).append(r.pa)
+    draws = K.flip_draws(cases, 6).cache()
+    told = {(r.gid, r.d, r.rep): r for r in K.judged_draws(draws).collect()}
+    seen = set()
+    for r in draws.collect():
+        n_claims = sum(m.bit_count() for m in held[r.gid])
+        assert 1 <= r.d <= n_claims and sum((m & ~t).bit_count() for m, t in zip(r.claims, true[r.gid], strict=True)) == r.d
+        assert sum(m.bit_count() for m in r.claims) == n_claims
+        allowed = [d for d in every[r.gid] if all(c & p == c for c, p in zip(r.claims, d, strict=True))]
+        one = lambda v: np.array([v], np.int64)
+        bad = any(C.fails(np.array([d], np.int64), np.zeros((1, len(d)), np.int64), one(r.x), one(r.y), one(r.z))[0] for d in allowed)
+        found = told[r.gid, r.d, r.rep]
+        assert found.contradictory == (not allowed) and found.survived == (bool(allowed) and not bad)
+        seen.add((found.contradictory, found.survived))
+    assert len(told) == draws.count() and seen == {(True, False), (False, True), (False, False)}
+    assert K.judged_draws(K.flip_draws(cases.filter("false"), 3)).collect() == []
