@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import linear, ranks, survival
+from ..operators import linear, ranks, resampling, stopping, survival
+from ..operators.fixpoint import settle
 from ..sources import networks
 from ..sources.population import dags, edge_rows, table
 
@@ -36,6 +37,16 @@ units as (
 """
 
 
+#: Pairs of different units by their networks (g, h: each pair once) and predictor.
+CONCORDANT = """
+u as (select unit, network, radius, (unit * 5 + unit // 7) % 7 as claims, balance from units where radius >= 0),
+xs as (select unit, network, 'radius' as x, radius as v, balance from u union all select unit, network, 'claims', claims, balance from u),
+pr as (
+  select l.x, l.network as g, r.network as h, sum(sign(l.v - r.v) * sign(l.balance - r.balance)) as a, sum((l.v = r.v)::int) as tx, sum((l.balance = r.balance)::int) as ty, count(*) as p
+  from xs l join xs r on r.x = l.x and l.unit < r.unit group by l.x, l.network, r.network)
+"""
+
+
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("instance"), F.col("l_linenumber").cast("int").alias("d"), (F.col("l_returnflag") == "R").alias("contradictory"), (F.col("l_linestatus") == "O").alias("survived")
@@ -51,6 +62,15 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.join(prices, "unit")
 
 
+def adaptive_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a supplier's mean discount exceeds 0.035, and after how many of its line items a test that spends its error knows."""
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_discount")
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.row_number().over(order).alias("k"), F.col("l_discount").alias("value"))
+    drawn = lines.withColumn("total", F.count("*").over(Window.partitionBy("l_suppkey"))).withColumn("span", F.lit(0.1))
+    found = stopping.decide(drawn, "l_suppkey", 0.035, step=25, cap=400)
+    return found.withColumn("mean", F.round("mean", 6))
+
+
 def survival_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survival.curve(draws(spark, sf_dir))
 
@@ -117,6 +137,26 @@ def kendall_tau_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("tau", F.round("tau", 9))
 
 
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units with a radius, a second predictor and an endpoint."""
+    key = F.col("unit")
+    return units(spark, sf_dir).filter("radius >= 0").withColumn("claims", (key * 5 + F.floor(key / 7)) % 7)
+
+
+def tau_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tau-b of radius and balance over all networks but one; without any left out, -1."""
+    found = resampling.tau_leave_one_out(resampling.concordances(_matched(spark, sf_dir), "network", "radius", "balance"))
+    return found.select(F.coalesce(F.col("left_out").cast("long"), F.lit(-1).cast("long")).alias("left_out"), F.round("tau", 9).alias("tau"))
+
+
+def paired_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By how much radius is more in line with the balance than the number of claims is, over 10,000 resamples of networks."""
+    rows = _matched(spark, sf_dir)
+    first, second = (settle(resampling.concordances(rows, "network", x, "balance")) for x in ("radius", "claims"))
+    found = resampling.paired_difference(first, second)
+    return found.select(*[F.round(c, 9).alias(c) for c in ("delta", "low", "high", "frac_above")], "n_valid")
+
+
 def tau_within_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kendall's tau inside the networks that vary in both columns: their number, mean and median, and the share above 0."""
     found = ranks.kendall_tau_b(units(spark, sf_dir).filter("radius >= 0"), "network", "radius", "n_orders", [0, 1, 2, 3, 4]).filter("tau is not null")
@@ -244,7 +284,7 @@ def queries() -> dict[str, Query]:
         survival_curve, auc_abs, auc_frac_nearest, auc_usable, non_monotonic, decomposition_identity, contradiction_dedup, intensity_bins,
         survival_grouping_sets, matched_instances, paired_arms, kendall_tau_b, tau_within_networks, spearman, avg_rank_pct, spotlight_topk, pareto_front,
         per_network_iqr, effect_buckets, leave_one_network_out, cluster_bootstrap, icc_one_way, covariance, ols_theta,
-        histogram_by_json_param, sha_seed, normalise_names, parse_bif, parse_dagitty, parse_bnjson,
+        adaptive_stop, tau_leave_one_out, paired_tau, histogram_by_json_param, sha_seed, normalise_names, parse_bif, parse_dagitty, parse_bnjson,
     )}
 
 
@@ -266,6 +306,44 @@ def oracle_sql() -> dict[str, str]:
     cov = lambda a, b: f"select l_returnflag, '{a}' as a, '{b}' as b, round(covar_samp({a}, {b}), 9) as cov from lineitem group by 1"
     columns = ["l_quantity", "l_discount", "l_tax"]
     return {
+        "tau_leave_one_out": f"""with {UNITS}, {CONCORDANT},
+            o as (select distinct g as left_out from pr union all select -1)
+            select o.left_out::bigint as left_out, round(sum(a) / sqrt((sum(p) - sum(tx)) * (sum(p) - sum(ty))), 9) as tau
+            from o join pr on pr.x = 'radius' and pr.g <> o.left_out and pr.h <> o.left_out group by o.left_out""",
+        "paired_tau": f"""with {UNITS}, {CONCORDANT},
+            nm as (select list(g order by g) as names from (select distinct g from pr)),
+            dr as (select r.rep, names[('0x' || substr(md5(r.rep || '|' || s.slot || '|r'), 1, 8))::bigint % len(names) + 1] as g from nm, range(0, 10000) as r(rep), unnest(range(0, len(names))) as s(slot)),
+            w as (select rep, g, count(*) as w from dr group by rep, g),
+            sz as (select network as g, count(*) as n from u group by network),
+            -- a cluster drawn w times meets itself: rows with their own copies tie in both
+            sm as (
+              select pr.x, l.rep, sum(l.w * r.w * a) as a, sum(l.w * r.w * tx) as tx, sum(l.w * r.w * ty) as ty
+              from pr join w l on l.g = pr.g join w r on r.g = pr.h and r.rep = l.rep group by pr.x, l.rep),
+            nn as (select w.rep, sum(w.w * sz.n) as n, sum(w.w * (w.w - 1) / 2 * sz.n) as own from w join sz on sz.g = w.g group by w.rep),
+            t as (
+              select sm.x, sm.rep, sm.a / sqrt((n * (n - 1) / 2 - (sm.tx + own)) * (n * (n - 1) / 2 - (sm.ty + own))) as tau
+              from sm join nn on nn.rep = sm.rep),
+            d as (select l.tau - r.tau as d from t l join t r on r.rep = l.rep and l.x = 'radius' and r.x = 'claims'),
+            pt as (select x, sum(a) / sqrt((sum(p) - sum(tx)) * (sum(p) - sum(ty))) as tau from pr group by x)
+            select round((select tau from pt where x = 'radius') - (select tau from pt where x = 'claims'), 9) as delta, round(quantile_cont(d, 0.025), 9) as low,
+              round(quantile_cont(d, 0.975), 9) as high, round(avg((d > 0)::int), 9) as frac_above, count(*) as n_valid from d""",
+        "adaptive_stop": """with r as (
+              select l_suppkey, l_discount as value, row_number() over w as k, count(*) over (partition by l_suppkey) as total from lineitem
+              window w as (partition by l_suppkey order by l_orderkey, l_linenumber, l_discount)),
+            m as (
+              select *, avg(value) over w as mean, coalesce(var_samp(value) over w, 0) as v, least(400, total) as last from r where k <= 400
+              window w as (partition by l_suppkey order by k rows unbounded preceding)),
+            k as (
+              select *, greatest(0, ceil((k - 25) / 25.0))::int + 1 as look from m where k >= least(25, last) and ((k - 25) % 25 = 0 or k = last)),
+            h as (
+              select *, ln(2 / (0.05 * 6 / (pi() * pi() * look * look))) as lg from k),
+            i as (
+              select *, case when k < 2 or k >= total then 0
+                else (sqrt(2 * v * lg / k) + 7 * 0.1 * lg / (3 * (k - 1))) * sqrt(greatest(0, 1 - k / total::double)) end as half from h),
+            d as (
+              select *, k >= total or mean + half < 0.035 or mean - half > 0.035 as decided, case when k >= total then mean > 0.035 else mean - half > 0.035 end as crosses from i)
+            select l_suppkey, k as n_drawn, look, case when decided then crosses else true end as crosses, not decided as capped, round(mean, 6) as mean from d
+            where decided or k = last qualify row_number() over (partition by l_suppkey order by k) = 1""",
         "survival_curve": f"with {DRAWS} select * from curve",
         "auc_abs": f"with {DRAWS} select instance, sum(s) as auc, count(s) as n_depths from curve group by 1",
         "auc_frac_nearest": _auc(1),

@@ -53,10 +53,12 @@ def parse_bif(files: DataFrame) -> DataFrame:
     """
     bare = files.select("name", F.regexp_replace(F.regexp_replace("text", r"(?s)/\*.*?\*/", " "), r"//[^\n]*", " ").alias("text"))
     plain = lambda c: F.trim(F.replace(c, F.lit('"'), F.lit("")))
-    blocks = F.transform(F.regexp_extract_all("text", F.lit(r"variable\s+(\"[^\"]+\"|[^\s{]+)\s*\{"), F.lit(1)), plain)
+    variables = F.transform(F.regexp_extract_all("text", F.lit(r"variable\s+(\"[^\"]+\"|[^\s{]+)\s*\{"), F.lit(1)), plain)
     sound = (F.size("vars") > 0) & (F.size(F.array_distinct("vars")) == F.size("vars"))
     told = F.raise_error(F.concat(F.lit("no variable block, or two of one name: "), F.col("name")))
-    nodes = bare.select("name", blocks.alias("vars")).select("name", F.explode(F.when(sound, F.col("vars")).otherwise(told)).alias("raw"))
+    # The text hangs on it, too, as a file without an edge would not be looked at else.
+    bare = bare.withColumn("vars", variables).withColumn("text", F.when(sound, F.col("text")).otherwise(told))
+    nodes = bare.filter("text is not null").select("name", F.explode("vars").alias("raw"))
     blocks = F.regexp_extract_all("text", F.lit(r"probability\s*\(([^)]*)\)"), F.lit(1))
     rows = bare.select("name", F.explode(blocks).alias("block")).filter(F.contains("block", F.lit("|")))
     edges = rows.select("name", plain(F.substring_index("block", "|", 1)).alias("b"), F.explode(F.split(F.substring_index("block", "|", -1), ",")).alias("a"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +28,16 @@ def stopping_rule(draws: DataFrame, half_width: float, least: int = 30) -> DataF
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, hits, stopped = state.get if state.exists else (0, 0, False)
         for batch in batches:
-            for survived in batch["survived"].to_numpy():
-                if stopped:
-                    break
-                n, hits = n + 1, hits + int(survived)
-                p, z = hits / n, 1.96
-                wide = z * ((p * (1 - p) + z * z / (4 * n)) / n) ** 0.5 / (1 + z * z / n)
-                stopped = n >= least and wide <= half_width
+            if stopped:
+                break
+            runs = np.cumsum(batch["survived"].to_numpy().astype(np.int64))
+            ns, z = n + np.arange(1, len(runs) + 1), 1.96
+            p = (hits + runs) / ns
+            wide = z * np.sqrt((p * (1 - p) + z * z / (4 * ns)) / ns) / (1 + z * z / ns)
+            ends = np.flatnonzero((ns >= least) & (wide <= half_width))
+            last = int(ends[0]) if len(ends) else len(runs) - 1
+            if last >= 0:
+                n, hits, stopped = int(ns[last]), hits + int(runs[last]), bool(len(ends))
         state.update((n, hits, bool(stopped)))
         yield pd.DataFrame({"instance": [key[0]], "n": [n], "s": [hits / n if n else None], "stopped": [bool(stopped)]})
 
