@@ -243,6 +243,11 @@ def oracle_sql() -> dict[str, str]:
               count(*) filter (not contradictory and survived) / nullif(count(*) filter (not contradictory), 0)::double as s,
               count(*) filter (not contradictory and survived) / count(*)::double as s_fail from jd group by gid, d""",
         # Registered by other modules; their SQL rests on the DAGs listed here.
+        "amenability": f"""{spaces}, {PAIRS}
+            select q.gid, not exists (
+              select 1 from dg join de on de.gid = dg.gid and de.w = dg.w join oe on oe.gid = de.gid and least(de.a, de.b) = oe.a and greatest(de.a, de.b) = oe.b
+              where dg.gid = q.gid and de.a = q.x and (de.b = q.y or exists (select 1 from rc where rc.gid = de.gid and rc.w = de.w and rc.a = de.b and rc.b = q.y))) as amenable
+            from q""",
         "dag_extensions": f"{spaces} select gid, count(*) as n_extensions from dm group by gid",
         "radius": f"""{judged}
             select aq.gid, coalesce(min((select bit_count(sum(1::bigint << (2 * oe.k)::int)::bigint & ~bad.m) from oe where oe.gid = aq.gid)), -1)::int as radius
