@@ -55,38 +55,45 @@ def _canonical_bytes(column: str = "text"):
     return bytes_of(column)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and row_key, which tells apart the texts of rows that share a doc_id, or have none, by a 64-bit hash."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.withColumn("row_key", F.xxhash64("text"))
+
+
 def resolve_collisions(keyed: DataFrame, texts: DataFrame) -> DataFrame:
-    """keyed (doc_id, fingerprint) with the fingerprints of colliding texts told apart, and copy_of.
+    """keyed with the fingerprints of colliding texts told apart, and copy_of: as many rows, its other columns kept.
 
-    copy_of is the smallest doc_id of the bucket. Only rows of buckets with two or more rows bring
-    their texts; each is compared with the bucket's first, so a bucket of any size stays spread out
-    (the join splits its partitions where a bucket is large).
+    keyed: doc_id, row_key, fingerprint and more; texts: with_row_key(). copy_of is the smallest doc_id of the bucket (null if none has
+    one). Only rows of buckets with two or more rows bring their texts, repeated ones once; each is compared with the bucket's first, so
+    a bucket of any size stays spread out (the join splits its partitions where a bucket is large).
     """
-    buckets = keyed.groupBy("fingerprint").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("bucket_rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_key"))
+    buckets = keyed.groupBy("fingerprint").agg(first.alias("_first"), F.count("*").alias("_rows"))
     joined = keyed.join(buckets, "fingerprint")
-    members = joined.filter("bucket_rows > 1").select("doc_id", "fingerprint", "copy_of")
+    is_first = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("row_key") == F.col("_first.row_key"))
+    members = joined.filter("_rows > 1").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "fingerprint", is_first.alias("is_first")).distinct()
     few = members.count() <= BROADCAST_MEMBERS
-    told = (F.broadcast(members) if few else members).join(texts, "doc_id")
-    with_text = told.groupBy("doc_id", "fingerprint", "copy_of").agg(F.min("text").alias("text")).withColumn("canon", _canonical_bytes())
-    heads = with_text.filter("doc_id = copy_of").select("fingerprint", F.col("canon").alias("head"))
+    same_row = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key"))
+    told = texts.join(F.broadcast(members) if few else members, same_row)
+    with_text = told.groupBy("_id", "_key", "fingerprint", "is_first").agg(F.min("text").alias("text")).withColumn("canon", _canonical_bytes())
+    heads = with_text.filter("is_first").select("fingerprint", F.col("canon").alias("head"))
     differs = with_text.join(heads, "fingerprint").filter("canon != head")
-    other = differs.select("doc_id", F.substring(F.sha2("canon", 256), 1, 32).alias("other"))
-    return joined.join(other, "doc_id", "left").select(
-        "doc_id",
-        F.coalesce("other", "fingerprint").alias("fingerprint"),
-        F.when(F.col("other").isNull(), F.col("copy_of")).alias("copy_of"),
+    other = differs.select("_id", "_key", F.substring(F.sha2("canon", 256), 1, 32).alias("_other"))
+    named = joined.join(other, same_row, "left").withColumns(
+        {"fingerprint": F.coalesce("_other", "fingerprint"), "copy_of": F.when(F.col("_other").isNull(), F.col("_first.doc_id"))}
     )
+    return named.select(*keyed.columns, "copy_of")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, copy_of (smallest doc_id with the same canonical text).
+    """doc_id, fingerprint, copy_of (smallest doc_id with the same canonical text), a row for each row.
 
-    Null text counts as empty; repeated rows share a fingerprint. doc_ids should be unique and not
-    null: rows without one are left out, of rows that share one the first text (by order) counts.
+    Null text counts as empty; repeated rows, rows that share a doc_id and rows without one have a row each.
     """
-    own = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    own = with_row_key(docs)
     one = F.pandas_udf(lambda texts: texts.map(digest), "string")
-    return resolve_collisions(own.select("doc_id", one("text").alias("fingerprint")), own)
+    return resolve_collisions(own.select("doc_id", "row_key", one("text").alias("fingerprint")), own).drop("row_key")
 
 
 def _part_bounds(ids: DataFrame) -> list[int]:
@@ -98,30 +105,26 @@ def _part_bounds(ids: DataFrame) -> list[int]:
 
 
 EDITED_SCHEMA = pa.schema([
-    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()),
+    ("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()),
     ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
 ])
-EDITED_DDL = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+EDITED_DDL = "doc_id long, row_key long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _edit_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (part, lent, doc_id, text); a part ends with a row that only lends its text.
-
-    One row is held back until the next is seen. Of rows that share a doc_id the first counts.
-    """
-    held: tuple[int, int, str, str] | None = None  # part, doc_id, text, canonical text
+    """Rows in order of (part, lent, doc_id, text); a part ends with a row that only lends its text. One row is held back until the next is seen."""
+    held: tuple[int, int | None, int, str, str] | None = None  # part, doc_id, row_key, text, canonical text
     for batch in batches:
         out: list[tuple] = []
-        for part, lent, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held is not None and (part, doc_id, lent) == (held[0], held[1], 0):
-                continue
+        for part, lent, doc_id, text, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             own = canonical(text)
             if held is not None and held[0] == part:
-                new = edited(held[2], text)
+                _, held_id, held_key, held_text, held_canon = held
+                new = edited(held_text, text)
                 new_canon = canonical(new)
                 sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).digest()
-                out.append((held[1], len(held[2]), sha, digest_of(held[3]), digest_of(new_canon), float(held[3] == new_canon), float(held[3] == own)))
-            held = None if lent else (part, doc_id, text, own)
+                out.append((held_id, held_key, len(held_text), sha, digest_of(held_canon), digest_of(new_canon), float(held_canon == new_canon), float(held_canon == own)))
+            held = None if lent else (part, doc_id, key, text, own)
         columns = list(zip(*out, strict=True)) or [()] * len(EDITED_SCHEMA)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, EDITED_SCHEMA, strict=True)], schema=EDITED_SCHEMA)
 
@@ -129,28 +132,28 @@ def _edit_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, copy_of.
 
-    The next document is the one with the next doc_id; after the last comes the first (a sole document
-    is its own next). Parts of the table are ranges of doc_id; the first document of each is also lent
-    to the part before, so a text moves once. Exact digests are alike (1.0) or not (0.0), by comparison
-    of the canonical texts. Null text is empty; rows without a doc_id are left out; of rows that share
-    a doc_id the first by text counts. An empty table gives no rows; other columns are ignored.
+    A row for each row. The next document is the one with the next doc_id; rows that share one follow each other by text, rows
+    without one come last, also by text; after the last comes the first (a sole document is its own next). Parts of the table are
+    ranges of doc_id; the first document of each is also lent to the part before, so a text moves once. Exact digests are alike (1.0)
+    or not (0.0), by comparison of the canonical texts. Null text is empty; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = _part_bounds(texts.select("doc_id"))
+    texts = with_row_key(docs)
+    cuts = _part_bounds(texts.select("doc_id").filter("doc_id is not null"))
     edges = spark.sparkContext.broadcast(np.array(cuts, dtype=np.int64))
-    part_of = F.pandas_udf(lambda ids: pd.Series(np.searchsorted(edges.value, ids.to_numpy(), side="right"), dtype="int32"), "int")
-    parts = texts.select("doc_id").withColumn("part", part_of("doc_id")).groupBy("part").agg(F.min("doc_id").alias("first"))
+    range_of = F.pandas_udf(lambda ids: pd.Series(np.searchsorted(edges.value, ids.to_numpy(), side="right"), dtype="int32"), "int")
+    # Rows without a doc_id are a part of their own, after all others.
+    part_of = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(range_of(F.coalesce("doc_id", F.lit(0).cast("long"))))
+    parts = texts.select("doc_id").withColumn("part", part_of).groupBy("part").agg(F.min("doc_id").alias("first"))
     firsts = sorted((r["part"], r["first"]) for r in parts.collect())  # one row a part
     lend = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
-    lend_df = spark.createDataFrame(lend, "doc_id long, part int")
-    own = texts.select(part_of("doc_id").alias("part"), F.lit(0).alias("lent"), "doc_id", "text")
-    lent = texts.join(F.broadcast(lend_df), "doc_id").groupBy("part", "doc_id").agg(F.min("text").alias("text"))
-    rows = own.union(lent.select("part", F.lit(1).alias("lent"), "doc_id", "text"))
+    lend_df = spark.createDataFrame(lend, "first long, part int")
+    own = texts.select(part_of.alias("part"), F.lit(0).alias("lent"), "doc_id", "text", "row_key")
+    lent = texts.join(F.broadcast(lend_df), F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("part", "doc_id").agg(F.min("text").alias("text"))
+    rows = own.union(lent.select("part", F.lit(1).alias("lent"), "doc_id", "text", F.lit(0).cast("long").alias("row_key")))
     in_order = rows.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "lent", "doc_id", "text")
     made = materialize(in_order.mapInArrow(_edit_part, EDITED_DDL), "digests")
-    told = resolve_collisions(made.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint")), texts)
-    return made.drop("fingerprint").join(told, "doc_id").select(
+    return resolve_collisions(made.withColumn("fingerprint", F.lower(F.hex("fingerprint"))), texts).select(
         "doc_id",
         "n_chars",
         F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
