@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import linear, ranks, resampling, stopping, survival
+from ..operators import linear, paired, ranks, resampling, stopping, survival
 from ..operators.fixpoint import settle
 from ..sources import networks
 from ..sources.population import dags, edge_rows, table
@@ -132,6 +132,15 @@ def paired_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.groupBy(F.col("l_linenumber").cast("int").alias("d")).agg(F.count_if(F.col("diff") > 0).alias("n_up"), F.count_if(F.col("diff") < 0).alias("n_down"), F.count_if(F.col("diff") == 0).alias("n_same"), F.round(F.avg("diff"), 9).alias("mean_diff"))
 
 
+def paired_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signs and signed ranks of how many more line items with flag A than with flag N a supplier has, by line number."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag in ('A', 'N')")
+    counts = lambda flag: F.count_if(F.col("l_returnflag") == flag)
+    pairs = lines.groupBy("l_suppkey", F.col("l_linenumber").cast("int").alias("d")).agg((counts("A") - counts("N")).alias("diff"))
+    found = paired.paired_tests(pairs, "d", "diff")
+    return found.select("d", "n", F.round("mean", 9).alias("mean"), "n_pos", "n_neg", "n_zero", "w_plus", "w_minus", F.round("z", 9).alias("z"), F.round("sign_p", 9).alias("sign_p"))
+
+
 def kendall_tau_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ranks.kendall_tau_b(units(spark, sf_dir).filter("radius >= 0"), "network", "radius", "n_orders", [0, 1, 2, 3, 4])
     return found.withColumn("tau", F.round("tau", 9))
@@ -282,7 +291,7 @@ def parse_bnjson(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         survival_curve, auc_abs, auc_frac_nearest, auc_usable, non_monotonic, decomposition_identity, contradiction_dedup, intensity_bins,
-        survival_grouping_sets, matched_instances, paired_arms, kendall_tau_b, tau_within_networks, spearman, avg_rank_pct, spotlight_topk, pareto_front,
+        survival_grouping_sets, matched_instances, paired_arms, paired_tests, kendall_tau_b, tau_within_networks, spearman, avg_rank_pct, spotlight_topk, pareto_front,
         per_network_iqr, effect_buckets, leave_one_network_out, cluster_bootstrap, icc_one_way, covariance, ols_theta,
         adaptive_stop, tau_leave_one_out, paired_tau, histogram_by_json_param, sha_seed, normalise_names, parse_bif, parse_dagitty, parse_bnjson,
     )}
@@ -361,6 +370,19 @@ def oracle_sql() -> dict[str, str]:
             from draws group by grouping sets ((network, d), (network), (d), ())""",
         "matched_instances": f"""with {DRAWS}, e as (select * from draws where not contradictory)
             select instance from e group by 1 having count(distinct d) = (select count(distinct d) from e)""",
+        "paired_tests": """with c as (
+              select l_suppkey, l_linenumber::int as d, count(*) filter (l_returnflag = 'A') - count(*) filter (l_returnflag = 'N') as diff
+              from lineitem where l_returnflag in ('A', 'N') group by 1, 2),
+            r as (select d, diff, count(*) over (partition by d, abs(diff)) as t,
+              rank() over (partition by d order by abs(diff)) + (count(*) over (partition by d, abs(diff)) - 1) / 2.0 as k from c where diff <> 0),
+            w as (select d, count(*)::double as m, coalesce(sum(k) filter (diff > 0), 0)::double as w_plus, coalesce(sum(k) filter (diff < 0), 0)::double as w_minus,
+              sum(t * t - 1)::double as ties from r group by d),
+            n as (select d, count(*) as n, avg(diff) as mean, count(*) filter (diff > 0) as n_pos, count(*) filter (diff < 0) as n_neg, count(*) filter (diff = 0) as n_zero from c group by d)
+            select n.d, n, round(mean, 9) as mean, n_pos, n_neg, n_zero, w_plus, w_minus,
+              round((w_plus - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48), 9) as z,
+              case when m > 0 then round(least(1.0, 2 * (select sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2)))
+                from range(0, least(n_pos, n_neg) + 1) as t(i))), 9) end as sign_p
+            from n left join w on w.d = n.d""",
         "paired_arms": """with c as (select l_suppkey, l_linenumber, avg((l_linestatus = 'O')::int) filter (l_returnflag = 'A')
               - avg((l_linestatus = 'O')::int) filter (l_returnflag = 'N') as diff from lineitem group by 1, 2)
             select l_linenumber::int as d, count(*) filter (diff > 0) as n_up, count(*) filter (diff < 0) as n_down, count(*) filter (diff = 0) as n_same,
