@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import criterion_queries, graph_queries, model_queries, space_queries, statistics_queries, validity_queries
+from . import criterion_queries, family_queries, graph_queries, model_queries, space_queries, statistics_queries, validity_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLANS = (graph_queries, criterion_queries, space_queries, model_queries, statistics_queries, validity_queries)
+PLANS = (graph_queries, criterion_queries, space_queries, model_queries, statistics_queries, validity_queries, family_queries)
 
 
 def queries() -> dict[str, Query]:
