@@ -137,8 +137,8 @@ def oracle_sql() -> dict[str, str]:
     named = "array_to_string(path, '>') as path"
     return {
         "block_graphs": f"""with {_orders_sql(4, 12)}, {KEYED}, li as (
-            select p.gid, p.v as a, q.v as b from kd p join kd q on q.gid = p.gid and p.v < q.v
-            where {_percent('p.gid', 'p.v', 'q.v', "'b'")} < case when p.v % 3 = q.v % 3 then 60 else 10 end) {DIRECTED}""",
+            select gid, a, b from (select gid, a, unnest(range(a + 1, n))::int as b from (select gid, n, unnest(range(n))::int as a from fam))
+            where {_percent('gid', 'a', 'b', "'b'")} < case when a % 3 = b % 3 then 60 else 10 end) {DIRECTED}""",
         "scale_free_graphs": f"""with recursive {_orders_sql(4, 12)}, {KEYED}, sf(gid, n, j, ends) as (
             select gid, n, 3, [0, 2, 1, 2] from fam
             union all
