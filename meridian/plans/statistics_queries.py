@@ -255,8 +255,7 @@ def sha_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalise_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part names of each brand with their sizes, told apart where their safe names are the same."""
     raw = F.concat(F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, " ").otherwise("#"), F.col("p_size").cast("string"))
-    names = table(spark, sf_dir, "part").groupBy("p_brand").agg(networks.normal_names(F.collect_set(raw)).alias("m"))
-    return names.select("p_brand", F.explode("m").alias("m")).select("p_brand", "m.raw", "m.node")
+    return networks.normal_rows(table(spark, sf_dir, "part").select("p_brand", raw.alias("raw")), ["p_brand"])
 
 
 def _written(spark: SparkSession, sf_dir: str) -> DataFrame:

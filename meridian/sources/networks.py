@@ -5,7 +5,10 @@ All take a DataFrame with columns name and text (a file each, as ``read.text(who
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,7 +31,47 @@ def normal_names(raw: Column) -> Column:
         node = F.when(name == "", F.raise_error(F.lit("empty node name"))).otherwise(free)
         return F.concat(found, F.array(F.struct(name.alias("raw"), node.alias("node"))))
 
-    return F.aggregate(F.array_sort(F.array_distinct(raw)), F.array().cast(kind), add)
+    names = F.array_sort(F.array_distinct(raw))
+    safe = F.transform(names, lambda n: F.when(n == "", F.raise_error(F.lit("empty node name"))).otherwise(safe_name(n)))
+    plain = F.zip_with(names, safe, lambda n, s: F.struct(n.alias("raw"), s.alias("node"))).cast(kind)
+    # Names whose safe ones differ never ask for a number, so nothing need be looked up among those before.
+    return F.when(F.size(F.array_distinct(safe)) == F.size(safe), plain).otherwise(F.aggregate(names, F.array().cast(kind), add))
+
+
+def normal_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, raw, node: normal_names() of the names (raw) of each key, a row a name, for keys of any number of names.
+
+    A name and one with a number after it can ask for the same node only if they are alike without such numbers. Of these families, those with one
+    safe name are numbered by their order; in the others each name looks from where the one before it with its safe name ended.
+    """
+    base = F.when(F.col("raw") == "", F.raise_error(F.lit("empty node name"))).otherwise(safe_name(F.col("raw")))
+    family = Window.partitionBy(*keys, "_root")
+    each = rows.select(*keys, "raw").filter("raw is not null").distinct().withColumn("_base", base).withColumn("_root", F.regexp_replace("_base", r"(?:__[0-9]+)+$", ""))
+    told = each.withColumn("_mixed", F.min("_base").over(family) != F.max("_base").over(family))
+    place = F.row_number().over(Window.partitionBy(*keys, "_root", "_base").orderBy("raw"))
+    told = told.withColumn("_k", place)
+    node = F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("__"), F.col("_k").cast("string")))
+    plain = told.filter("not _mixed").select(*keys, "raw", node.alias("node"))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Sorted by family and name; only the family at hand is kept in memory.
+        at, taken, free = None, set(), {}
+        for batch in batches:
+            nodes = []
+            for *family, raw_base in zip(*[batch.column(c).to_pylist() for c in (*keys, "_root", "_base")], strict=True):
+                if family != at:
+                    at, taken, free = family, set(), {}
+                k = free.get(raw_base, 1)
+                while (name := raw_base if k == 1 else f"{raw_base}__{k}") in taken:
+                    k += 1
+                taken.add(name)
+                free[raw_base] = k + 1
+                nodes.append(name)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*keys, "raw")], pa.array(nodes, pa.string())], names=[*keys, "raw", "node"])
+
+    mixed = told.filter("_mixed").select(*keys, "_root", "_base", "raw").repartition(*keys, "_root").sortWithinPartitions(*keys, "_root", "raw")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    return plain.union(mixed.mapInArrow(numbered, f"{types}, raw string, node string"))
 
 
 def _built(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from meridian.sources import networks as N
@@ -21,6 +24,20 @@ def test_names_stay_apart(spark):
         names(spark, "a", "")
 
 
+def test_names_of_large_keys(spark):
+    """As many names as a fold over an array would need minutes for, and the same as its result on names that clash in every way."""
+    rnd = random.Random(3)
+    tricky = [rnd.choice("ab") + "".join(rnd.choice(["__2", "__3", " ", "_", "#", "__2__2", "é"]) for _ in range(rnd.randint(0, 3))) for _ in range(90)]
+    rows = [("t", n) for n in tricky] + [("p", f"w {i // 2}{' #'[i % 2]}x") for i in range(40000)] + [(None, "a b"), (None, "a_b"), ("t", None)]
+    began = time.time()
+    found = {(r.k, r.raw): r.node for r in N.normal_rows(spark.createDataFrame(rows, "k string, raw string"), ["k"]).collect()}
+    assert time.time() - began < 60
+    assert {n: found["t", n] for n in tricky} == names(spark, *tricky)
+    assert len(found) == len({(k, n) for k, n in rows if n}) and len({(k, n) for (k, _), n in found.items()}) == len(found)
+    assert (found["p", "w 7 x"], found["p", "w 7#x"]) == ("w_7_x", "w_7_x__2")
+    assert found[None, "a_b"] == "a_b__2"
+
+
 def test_dagitty(spark):
     text = 'dag {\nbb="0,0,1,1"\n"my node" [exposure,pos="0,1"]\nC\n"my node" -> B\nB <- D\nB <-> E;\n# no edge\nC -- E [beta=1]\n}\n'
     assert edges(N.parse_dagitty, spark, text) == [("B", "<->", "E"), ("C", "--", "E"), ("D", "->", "B"), ("my_node", "->", "B")]
