@@ -5,10 +5,13 @@ Queries are columns of the graph's row: x and y are places of nodes, z a mask.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
+from . import criterion as C
 from .extensions import extensions
 from .fixpoint import settle
 
@@ -60,6 +63,23 @@ def optimal(x: Column, y: Column) -> Column:
     return B.minus(B.union_over(cn, F.col("pa")), cn.bitwiseOR(B.bit(x)))
 
 
+def optimal_of_ends(part: pa.RecordBatch) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """The kernel that keeps DAGs (pa) with a causal path from their first node x to their last one y, and gives x, y and z, the optimal set."""
+    up = C._matrix(part.column("pa"))
+    sizes = part.column("pa").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    above, n, row = up.copy(), up.shape[1], np.arange(len(up))
+    for k in range(n):  # paths through node k, for one k after the other
+        above |= np.where(C._has(above, k), above[:, [k]], 0)
+    y = np.maximum(sizes - 1, 0)
+    causal = C.transpose(above)[:, 0] & (above[row, y] | C._bit(y)) if n else np.zeros(len(up), np.int64)
+    z = np.zeros(len(up), np.int64)
+    for v in range(n):
+        z |= np.where(C._has(causal, v), up[:, v], 0)
+    z &= ~(causal | 1)
+    at = np.flatnonzero((sizes >= 3) & ((causal >> y) & 1 == 1))
+    return at, {"x": pa.array(np.zeros(len(at)), pa.int32()), "y": pa.array(y[at], pa.int32()), "z": pa.array(z[at], pa.int64())}
+
+
 def backdoor_valid(df: DataFrame, x: Column, y: Column, z: Column) -> DataFrame:
     """df and valid, by the back-door criterion: z avoids x, y and what is below x, and separates them without the edges out of x."""
     cut = df.withColumn("_cut", F.transform("pa", lambda m: B.minus(m, B.bit(x))))

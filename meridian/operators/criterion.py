@@ -52,23 +52,28 @@ def acyclic(parents: Masks) -> np.ndarray:
 def close(parents: Masks, open_: Masks) -> tuple[Masks, Masks, np.ndarray]:
     """parents and undirected neighbours under Meek's four rules, and whether no edge ends directed both ways or in a cycle."""
     parents, open_, n = parents.copy(), open_.copy(), parents.shape[1]
-    adj = parents | transpose(parents) | open_
-    while True:
-        children, new = transpose(parents), np.zeros_like(parents)
+    # A round looks at the graphs that the one before has changed, as far as they have open edges.
+    left = np.flatnonzero(open_.any(axis=1))
+    while len(left):
+        whole, free = parents[left], open_[left]
+        children, new = transpose(whole), np.zeros_like(whole)
+        adj = whole | children | free
         for j in range(n):
-            for i in _members(open_[:, j]):
-                at = np.flatnonzero(_has(open_[:, j], i))
-                up, far = parents[at], ~(adj[at, j] | _bit(j))
+            for i in _members(free[:, j]):
+                at = np.flatnonzero(_has(free[:, j], i))
+                up, far = whole[at], ~(adj[at, j] | _bit(j))
                 fires = (up[:, i] & far != 0) | (children[at, i] & up[:, j] != 0)
-                middle, apart = open_[at, i] & up[:, j], open_[at, i] & far
+                middle, apart = free[at, i] & up[:, j], free[at, i] & far
                 for k in _members(up[:, j]):
                     fires |= _has(middle, k) & (middle & ~(adj[at, k] | _bit(k)) != 0)
                     fires |= _has(up[:, j], k) & (up[:, k] & apart != 0)
                 new[at[fires], j] |= _bit(i)
-        if not new.any():
-            return parents, open_, acyclic(parents)
-        parents |= new
-        open_ &= ~(new | transpose(new))
+        changed = new.any(axis=1)
+        left, new = left[changed], new[changed]
+        parents[left] |= new
+        open_[left] &= ~(new | transpose(new))
+        left = left[open_[left].any(axis=1)]
+    return parents, open_, acyclic(parents)
 
 
 def new_colliders(before: Masks, parents: Masks, open_: Masks) -> np.ndarray:
@@ -215,8 +220,8 @@ def lists_of(masks: Masks, like: pa.ListArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, pa.int64()))
 
 
-#: Graphs worked on at a time, so that what is between stays in cache.
-GRAPHS = 2048
+#: Graphs worked on at a time: what is between stays in cache, and each step, which costs something itself, serves many.
+GRAPHS = 8192
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,19 +239,45 @@ def over_graphs(df: DataFrame, kernel: Callable[[pa.RecordBatch], tuple[np.ndarr
 
     The kernel gives places of rows (null: all rows, in order) and the new columns for them; new ones replace those of df.
     """
+    return over_graphs_in_parts(df, lambda part: iter([kernel(part)]), made)
+
+
+def over_graphs_in_parts(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray | None, dict[str, pa.Array]]]], made: str) -> DataFrame:
+    """over_graphs() with a kernel that yields the rows of a slice of graphs in several parts, as there may be many a graph."""
     names = [part.split()[0] for part in made.split(", ")]
     keep = [c for c in df.columns if c not in names]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
-            rows, new = kernel(part)
-            own = part.select(keep) if rows is None else part.select(keep).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*own.columns, *[new[n] for n in names]], names=[*keep, *names])
+            for rows, new in kernel(part):
+                own = part.select(keep) if rows is None else part.select(keep).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*own.columns, *[new[n] for n in names]], names=[*keep, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     return df.mapInArrow(work, f"{schema}, {made}" if schema else made)
 
 
+Kernel = Callable[[pa.RecordBatch], tuple[np.ndarray | None, dict[str, pa.Array]]]
+
+
+def chained(*kernels: Kernel) -> Kernel:
+    """One kernel of several, each of which sees the columns that those before it made: rows cross to Python and back once."""
+
+    def kernel(part: pa.RecordBatch) -> tuple[np.ndarray | None, dict[str, pa.Array]]:
+        rows, made = None, {}
+        for step in kernels:
+            own, new = step(part)
+            if own is not None:
+                at = pa.array(own)
+                part, made, rows = part.take(at), {n: c.take(at) for n, c in made.items()}, own if rows is None else rows[own]
+            made |= new
+            kept = [n for n in part.schema.names if n not in new]
+            part = pa.RecordBatch.from_arrays([*[part.column(n) for n in kept], *new.values()], names=[*kept, *new])
+        return rows, made
+
+    return kernel
+
+
 def why_invalid(states: DataFrame) -> DataFrame:
     """states and why mask z is no valid adjustment set for places x and y in some DAG of the graph.
 

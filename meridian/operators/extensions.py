@@ -2,68 +2,105 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
+from . import criterion as C
 from .fixpoint import settle
-from .meek import close
 
 
-def _open_edges() -> Column:
-    idx = B.indices(F.col("nb"))
-    return F.flatten(F.transform("nb", lambda m, j: F.transform(F.filter(idx, lambda i: B.has(m, i) & (i < j)), lambda i: F.struct(i.alias("i"), j.alias("j")))))
+def _n_open() -> Column:
+    return F.aggregate("nb", F.lit(0), lambda acc, m: acc + B.count(m)) / 2
 
 
-def _branched(graphs: DataFrame, most: int) -> DataFrame:
-    """graphs with their open edges as _open, those of more than ``most`` as branches of fewer.
+def _turned(up: C.Masks, loose: C.Masks, before: C.Masks) -> tuple[np.ndarray, C.Masks, C.Masks]:
+    """Graphs with open edges, each as two with its first one turned either way and closed; those that no DAG fits are left out."""
+    row = np.arange(len(up))
+    head = (loose != 0).argmax(axis=1)
+    bit = loose[row, head] & -loose[row, head]
+    tail = np.bitwise_count(bit - 1).astype(np.int64)
+    up, loose, both = np.concatenate([up, up]), np.concatenate([loose, loose]), np.concatenate([row, row])
+    one, two = row, row + len(row)
+    up[one, head] |= bit
+    up[two, tail] |= C._bit(head)
+    for half in (one, two):
+        loose[half, head] &= ~bit
+        loose[half, tail] &= ~C._bit(head)
+    up, loose, fine = C.close(up, loose)
+    fine &= ~C.new_colliders(before[both], up, loose)
+    order = np.flatnonzero(fine)
+    order = order[np.argsort(both[order], kind="stable")]
+    return both[order], up[order], loose[order]
 
-    A branch turns one edge and is closed, so that ways which no DAG allows are hardly followed.
+
+#: Graphs that are branched at a time.
+BRANCHES = 1 << 14
+
+
+def dags_of(parents: C.Masks, open_: C.Masks) -> Iterator[tuple[np.ndarray, C.Masks]]:
+    """graph, parents: every DAG that each graph allows, in parts. One half of what is begun waits where there is much, so that few are kept at a time."""
+    up, loose, fine = C.close(parents, open_)
+    fine &= ~C.new_colliders(parents, up, loose)
+    g = np.flatnonzero(fine)
+    stack = [(g, up[g], loose[g])]
+    while stack:
+        g, up, loose = stack.pop()
+        while len(g):
+            whole = ~loose.any(axis=1)
+            if whole.any():
+                yield g[whole], up[whole]
+            g, up, loose = (c[~whole] for c in (g, up, loose))
+            if len(g) > BRANCHES:
+                half = len(g) // 2
+                stack.append((g[half:], up[half:], loose[half:]))
+                g, up, loose = g[:half], up[:half], loose[:half]
+            if len(g):
+                at, up, loose = _turned(up, loose, parents[g])
+                g = g[at]
+
+
+def branched(graphs: DataFrame, most: int) -> DataFrame:
+    """graphs (with _from, their parents), those of more than ``most`` open edges as branches of fewer.
+
+    A branch turns one edge and is closed, so that ways which no DAG allows are not followed.
     """
     # Settled, as a filter would be moved below the steps that made the graphs and repeat them.
-    left, done = settle(graphs.withColumn("_open", _open_edges())), []
+    left, done = settle(graphs), []
+
+    def kernel(part: pa.RecordBatch) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        g, up, loose = _turned(*[C._matrix(part.column(c)) for c in ("pa", "nb", "_from")])
+        like = part.column("pa").take(pa.array(g))
+        return g, {"pa": C.lists_of(up, like), "nb": C.lists_of(loose, like)}
+
     while True:
-        done.append(left.filter(F.size("_open") <= most))
-        left = left.filter(F.size("_open") > most)
+        done.append(left.filter(_n_open() <= most))
+        left = left.filter(_n_open() > most)
         if left.isEmpty():
             return reduce(DataFrame.union, done)
-        ways = F.array(F.struct(F.get("_open", F.lit(0))["i"].alias("i"), F.get("_open", F.lit(0))["j"].alias("j")), F.struct(F.get("_open", F.lit(0))["j"].alias("i"), F.get("_open", F.lit(0))["i"].alias("j")))
-        split = left.withColumn("_edge", F.explode(ways))
-        i, j = F.col("_edge.i"), F.col("_edge.j")
-        turned = split.withColumns(
-            {
-                "pa": F.transform("pa", lambda m, v: F.when(v == j, m.bitwiseOR(B.bit(i))).otherwise(m)),
-                "nb": F.transform("nb", lambda m, v: F.when(v == j, B.minus(m, B.bit(i))).when(v == i, B.minus(m, B.bit(j))).otherwise(m)),
-            }
-        )
-        left = settle(close(turned.drop("_open", "_edge")).withColumn("_open", _open_edges()).select(*left.columns))
+        left = settle(C.over_graphs(left, kernel, "pa array<long>, nb array<long>").select(*graphs.columns))
 
 
 def extensions(graphs: DataFrame, most: int = 12) -> DataFrame:
     """graphs' keys and pa for every DAG that a graph allows: each way to turn its open edges that makes
     no cycle and no new v-structure.
 
-    Up to ``most`` open edges all ways are tried at once; graphs with more are branched down to so many
-    first. It decides the cost and nothing else.
+    The DAGs of up to ``most`` open edges are made together; graphs with more are branched down to so many
+    first, and their branches are dealt over tasks. It decides the cost and nothing else.
     """
-    idx = B.indices(F.col("nb"))
     keys = [c for c in graphs.columns if c not in ("pa", "nb")]
-    listed = _branched(graphs.withColumn("_from", F.col("pa")), most)
-    turned = listed.withColumn("_way", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size("_open")) - 1)))
-    edges = F.transform("_open", lambda e, k: F.when(B.has(F.col("_way").cast("long"), k), F.struct(e["j"].alias("i"), e["i"].alias("j"))).otherwise(e))
-    oriented = turned.withColumn("_edges", edges).withColumn(
-        "_all", F.transform("pa", lambda m, j: F.aggregate(F.filter("_edges", lambda e: e["j"] == j), m, lambda a, e: a.bitwiseOR(B.bit(e["i"]))))
-    )
-    children = F.transform(F.arrays_zip("_all", B.transpose(F.col("_all")).alias("_ch")), lambda z: z["_all"].bitwiseOR(z["_ch"]))
-    known = oriented.withColumn("_adj", children).withColumn("_an", B.closure(F.col("_all")))
-    cyclic = F.exists(F.transform("_an", lambda m, i: B.has(m, i)), lambda x: x)
-    shields = lambda a: F.get("_adj", a).bitwiseOR(B.bit(a))
-    fresh = F.exists(
-        F.arrays_zip("_from", "_all"),
-        lambda z: F.exists(idx, lambda a: B.has(z["_all"], a) & B.overlap(B.minus(z["_all"], shields(a)), F.when(B.has(z["_from"], a), B.minus(z["_all"], z["_from"])).otherwise(z["_all"]))),
-    )
-    judged = known.withColumn("_bad", cyclic | fresh)
-    # The steps stay columns up to here: one that only a lambda uses would be worked out again for each element.
-    return settle(judged.select(*keys, F.col("_all").alias("pa"), "_adj", "_an", "_bad")).filter("not _bad").drop("_adj", "_an", "_bad")
+
+    def kernel(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, dict[str, pa.Array]]]:
+        before = C._matrix(part.column("_from"))
+        for g, up in dags_of(C._matrix(part.column("pa")), C._matrix(part.column("nb"))):
+            fits = ~C.new_colliders(before[g], up, np.zeros_like(up))
+            g, up = g[fits], up[fits]
+            yield g, {"pa": C.lists_of(up, part.column("pa").take(pa.array(g)))}
+
+    listed = branched(graphs.withColumn("_from", F.col("pa")), most)
+    return C.over_graphs_in_parts(listed, kernel, "pa array<long>").select(*keys, "pa")

@@ -87,9 +87,25 @@ def pattern(dags: DataFrame) -> DataFrame:
     return with_kept.withColumn("nb", nb).select("gid", "labels", F.col("kept").alias("pa"), "nb")
 
 
+def completed(parents: C.Masks) -> tuple[C.Masks, C.Masks]:
+    """Parents and open neighbours of the completed partially directed graph of each DAG: its pattern, closed."""
+    adj, kept = parents | C.transpose(parents), np.zeros_like(parents)
+    for m in range(parents.shape[1]):
+        for a in C._members(parents[:, m]):
+            collides = C._has(parents[:, m], a) & (parents[:, m] & ~(adj[:, a] | C._bit(a)) != 0)
+            kept[:, m] |= np.where(collides, C._bit(a), 0)
+    up, loose, _ = C.close(kept, adj & ~(kept | C.transpose(kept)))
+    return up, loose
+
+
 def cpdag(dags: DataFrame) -> DataFrame:
     """gid, labels, pa, nb: the completed partially directed graph of each DAG."""
-    return close(pattern(dags))
+
+    def kernel(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
+        up, loose = completed(C._matrix(part.column("pa")))
+        return None, {"pa": C.lists_of(up, part.column("pa")), "nb": C.lists_of(loose, part.column("pa"))}
+
+    return C.over_graphs(dags.select("gid", "labels", "pa"), kernel, "pa array<long>, nb array<long>")
 
 
 def apply_knowledge(graphs: DataFrame, claims: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ share, so the number of steps between them is the number of edges that one of th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from . import criterion as C
-from .extensions import extensions
+from .extensions import _n_open, dags_of, extensions
 from .fixpoint import settle
 from .steps import implied, opened, steps
 
@@ -45,24 +46,126 @@ def up_covers(states: DataFrame) -> DataFrame:
     return retract(states).select("gid", F.get("labels", F.col("tail")).alias("a"), F.get("labels", F.col("head")).alias("b"))
 
 
+#: Open edges of the graphs whose whole space is made in one place; that of a larger one is made level by level over all tasks.
+MOST_OPEN = 12
+#: DAGs from which a space is made at a time.
+DAGS = 1 << 15
+
+
+def _distinct(g: np.ndarray, up: C.Masks) -> np.ndarray:
+    """Places of the first of equal rows."""
+    n = up.shape[1]
+    keys = [np.bitwise_or.reduce(up << (n * np.arange(n, dtype=np.int64)), axis=1)] if 0 < n <= 7 else list(up.T)
+    order = np.lexsort([*keys, g])
+    new = np.ones(len(g), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in (*keys, g)], axis=0)
+    return order[new]
+
+
+def _levels(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, C.Masks, C.Masks, tuple[np.ndarray, C.Masks, C.Masks]]]:
+    """graph, parents, open neighbours of the states of a level, and its covers (graph, lower and upper parents), from the DAGs upwards."""
+    fixed = C._matrix(part.column("pa"))
+    made = list(dags_of(fixed, C._matrix(part.column("nb"))))
+    if not made:
+        return
+    g, up = (np.concatenate(c) for c in zip(*made, strict=True))
+    order = np.argsort(g, kind="stable")
+    g, up = g[order], up[order]
+    # Whole graphs at a time.
+    piece = np.searchsorted(g, g) // DAGS
+    for begin, end in zip(*(lambda e: (np.append(0, e), np.append(e, len(g))))(np.flatnonzero(np.diff(piece)) + 1), strict=True):
+        own, p = g[begin:end], up[begin:end]
+        u = np.zeros_like(p)
+        while len(own):
+            at, i, j = steps(p & ~fixed[own] & ~implied(p, u))
+            above, loose = opened(p[at], u[at], i, j)
+            yield own, p, u, (own[at], p[at], above)
+            first = _distinct(own[at], above)
+            own, p, u = own[at][first], above[first], loose[first]
+
+
+def state_texts(states: C.Masks, labels: list[list[int]], g: np.ndarray) -> pa.Array:
+    """'a->b ...' of the directed edges in masks of parents, by tail and then head; ``labels`` of the graphs g. Equal texts are made once."""
+    numbers = {}
+    names = np.array([numbers.setdefault(tuple(own), len(numbers)) for own in labels], np.int64)
+    lists = list(numbers)
+    row = names[g] if len(g) else g
+    first = _distinct(row, states)
+    texts = []
+    for k, masks in zip(row[first].tolist(), states[first].tolist(), strict=True):
+        edges = [(i, j) for j, m in enumerate(masks) if m for i in range(m.bit_length()) if m >> i & 1]
+        texts.append(" ".join(f"{lists[k][i]}->{lists[k][j]}" for i, j in sorted(edges)))
+    # _distinct() goes through rows in order, so a row's text is that of the last first one before it.
+    n = states.shape[1]
+    keys = [np.bitwise_or.reduce(states << (n * np.arange(n, dtype=np.int64)), axis=1)] if 0 < n <= 7 else list(states.T)
+    order = np.lexsort([*keys, row])
+    new = np.zeros(len(row), np.int64)
+    new[first] = 1
+    at = np.empty(len(row), np.int64)
+    at[order] = np.cumsum(new[order]) - 1
+    return pa.array(texts, pa.string()).take(pa.array(at))
+
+
+def _split(cpdags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Graphs (settled) whose space is made in one place, and the larger ones."""
+    whole = settle(cpdags)
+    return whole.filter(_n_open() <= MOST_OPEN), whole.filter(_n_open() > MOST_OPEN)
+
+
+def states(cpdags: DataFrame) -> DataFrame:
+    """The states of all graphs: the columns of cpdags (gid, labels, pa, nb and others), pa and nb being those of the state, and fixed, the CPDAG's parents."""
+    few, many = _split(cpdags)
+
+    def kernel(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, dict[str, pa.Array]]]:
+        for g, up, loose, _ in _levels(part):
+            like = part.column("pa").take(pa.array(g))
+            yield g, {"fixed": like, "pa": C.lists_of(up, like), "nb": C.lists_of(loose, like)}
+
+    columns = [*[c for c in cpdags.columns if c not in ("fixed", "pa", "nb")], "fixed", "pa", "nb"]
+    found = C.over_graphs_in_parts(few, kernel, "fixed array<long>, pa array<long>, nb array<long>").select(*columns)
+    if many.isEmpty():
+        return found
+    others = [c for c in columns if c not in ("labels", "fixed", "pa", "nb")]
+    return found.union(_by_levels(many)[0].join(many.select(*others), "gid").select(*columns))
+
+
+def covers(cpdags: DataFrame) -> DataFrame:
+    """gid, labels, fixed, lower, upper: pairs of states of which one covers the other, by their parents. cpdags: gid, labels, pa, nb."""
+    few, many = _split(cpdags.select("gid", "labels", "pa", "nb"))
+
+    def kernel(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, dict[str, pa.Array]]]:
+        for *_, (g, lower, upper) in _levels(part):
+            like = part.column("pa").take(pa.array(g))
+            yield g, {"fixed": like, "lower": C.lists_of(lower, like), "upper": C.lists_of(upper, like)}
+
+    found = C.over_graphs_in_parts(few, kernel, "fixed array<long>, lower array<long>, upper array<long>").select("gid", "labels", "fixed", "lower", "upper")
+    if many.isEmpty():
+        return found
+    return found.union(_by_levels(many)[1].join(many.select("gid", "labels", F.col("pa").alias("fixed")), "gid").select(*found.columns))
+
+
 def space(cpdags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """states (gid, labels, fixed, pa, nb, n_directed) and covers (gid, lower, upper: parents of either) of all graphs.
 
-    cpdags: gid, labels, pa, nb. A graph with contradictions has no state. Levels are deduplicated by graph and
-    state, so the states of one large graph are spread like those of many small ones.
+    cpdags: gid, labels, pa, nb. A graph with contradictions has no state.
     """
+    base = cpdags.select("gid", "labels", "pa", "nb")
+    total = F.aggregate("pa", F.lit(0), lambda acc, m: acc + B.count(m))
+    return states(base).select("gid", "labels", "fixed", "pa", "nb").withColumn("n_directed", total), covers(base).select("gid", "lower", "upper")
+
+
+def _by_levels(cpdags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """space() of large graphs: levels are deduplicated by graph and state, so the states of one are spread like those of many."""
     base = cpdags.select("gid", "labels", "pa", "nb", F.col("pa").alias("fixed"))
     whole = extensions(base).select("gid", "labels", "fixed", "pa", F.transform("pa", lambda _: B.zero()).alias("nb"))
-    level, states, covers = settle(whole), [], []
+    level, found, pairs = settle(whole), [], []
     while not level.isEmpty():
-        states.append(level)
+        found.append(level)
         above = settle(retract(level.withColumn("lower", F.col("pa"))))
-        covers.append(above.select("gid", "lower", F.col("pa").alias("upper")))
+        pairs.append(above.select("gid", "lower", F.col("pa").alias("upper")))
         level = settle(above.select(*whole.columns).dropDuplicates(["gid", "pa"]))
-    total = F.aggregate("pa", F.lit(0), lambda acc, m: acc + B.count(m))
-    pairs = "gid long, lower array<long>, upper array<long>" if not covers else None
-    found = reduce(DataFrame.union, states or [whole]).withColumn("n_directed", total)
-    return found, reduce(DataFrame.union, covers) if covers else cpdags.sparkSession.createDataFrame([], pairs)
+    none = "gid long, lower array<long>, upper array<long>"
+    return reduce(DataFrame.union, found or [whole]), reduce(DataFrame.union, pairs) if pairs else cpdags.sparkSession.createDataFrame([], none)
 
 
 def state_distance(left: Column, right: Column) -> Column:

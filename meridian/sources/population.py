@@ -27,6 +27,9 @@ def hash_percent(*parts: Column) -> Column:
 def node_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """gid, labels: the sorted nodes of each graph. The only shuffle that a population needs."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("gid"), F.col("l_linenumber").cast("int").alias("v"))
+    # Rows are short and what is done with them is long: joined to the usual sizes, a million graphs would be one task. A number keeps them apart.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    lines = lines.repartition(tasks, "gid")
     return lines.groupBy("gid").agg(F.array_sort(F.collect_set("v")).alias("labels")).withColumn("labels", _fitting("labels"))
 
 

@@ -302,3 +302,37 @@ def test_flip_draws(spark):
         seen.add((found.contradictory, found.survived))
     assert len(told) == draws.count() and seen == {(True, False), (False, True), (False, False)}
     assert K.judged_draws(K.flip_draws(cases.filter("false"), 3)).collect() == []
+
+
+def test_spaces_are_made_where_their_graphs_are(spark, sf_dir, monkeypatch):
+    """No level of a small graph's space is written: one table of graphs is, whatever the number of their states."""
+    from meridian.plans import space_queries as Q
+
+    written = []
+    whole = S.settle
+    monkeypatch.setattr(S, "settle", lambda df: written.append(1) or whole(df))
+    assert Q.space_distances(spark, sf_dir).count() > 10000 and Q.shell_sizes(spark, sf_dir).count() > 2000
+    assert len(written) == 2
+
+
+def test_large_spaces_by_levels(spark, sf_dir, monkeypatch):
+    """Graphs beyond the limit take the other way to the same states and covers, and branches that wait are not lost."""
+    from meridian.operators import extensions as X
+    from meridian.operators import meek
+    from meridian.sources.population import dags
+
+    graphs = meek.cpdag(dags(spark, sf_dir).filter("gid % 7 = 0"))
+    found = lambda: [sorted(map(repr, df.collect())) for df in (*S.space(graphs), X.extensions(graphs))]
+    first = found()
+    monkeypatch.setattr(S, "MOST_OPEN", 3)
+    assert found() == first
+    monkeypatch.setattr(X, "BRANCHES", 2)
+    monkeypatch.setattr(S, "DAGS", 3)
+    assert found() == first
+
+
+def test_graphs_are_dealt_over_tasks(spark, sf_dir):
+    """Short rows are not joined to one task, as what is done with them is long."""
+    from meridian.sources.population import dags
+
+    assert dags(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
