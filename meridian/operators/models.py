@@ -49,20 +49,20 @@ def _rows(squares: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes**2)), pa.int32()), pa.array(flat, pa.float64()))
 
 
+def moment_kernel(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
+    sizes = part.column("pa").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    n = int(sizes.max()) if len(sizes) else 0
+    effects = np.linalg.inv(np.eye(n) - _squares(part.column("weights"), n))
+    noise = np.zeros((len(sizes), n))
+    noise[np.arange(n) < sizes[:, None]] = part.column("noise").flatten().to_numpy(zero_copy_only=False)
+    sigma = (effects * noise[:, None, :]) @ effects.transpose(0, 2, 1)
+    return None, {"effects": _rows(effects, sizes), "sigma": _rows(sigma, sizes)}
+
+
 def moments(models: DataFrame) -> DataFrame:
     """models (pa, weights, noise) with effects and sigma, flat n x n: total effects (row: on, column: of; 1 of a node on itself) and
     the covariance matrix. With B the weights, effects are (I - B)^-1 = I + B + B^2 + ..., the sums over directed paths."""
-
-    def kernel(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
-        sizes = part.column("pa").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        n = int(sizes.max()) if len(sizes) else 0
-        effects = np.linalg.inv(np.eye(n) - _squares(part.column("weights"), n))
-        noise = np.zeros((len(sizes), n))
-        noise[np.arange(n) < sizes[:, None]] = part.column("noise").flatten().to_numpy(zero_copy_only=False)
-        sigma = (effects * noise[:, None, :]) @ effects.transpose(0, 2, 1)
-        return None, {"effects": _rows(effects, sizes), "sigma": _rows(sigma, sizes)}
-
-    return C.over_graphs(models, kernel, "effects array<double>, sigma array<double>")
+    return C.over_graphs(models, moment_kernel, "effects array<double>, sigma array<double>")
 
 
 def entries(matrices: DataFrame, column: str, name: str) -> DataFrame:
@@ -82,21 +82,21 @@ def regressed(sigma: np.ndarray, on: np.ndarray, target: np.ndarray) -> tuple[np
     return found, sigma[row, target, target] - (found * right).sum(axis=1)
 
 
+def adjusted_kernel(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
+    n = int(part.column("pa").value_lengths().to_numpy(zero_copy_only=False).max()) if part.num_rows else 0
+    x, y, z = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in "xyz")
+    sigma, effects, row = _squares(part.column("sigma"), n), _squares(part.column("effects"), n), np.arange(len(x))
+    beside = z & ~(C._bit(x) | C._bit(y))
+    found, left_y = regressed(sigma, beside | C._bit(x), y)
+    _, left_x = regressed(sigma, beside, x)
+    theta = found[row, x]
+    return None, {"theta": pa.array(theta), "bias": pa.array(theta - effects[row, y, x]), "variance": pa.array(left_y / left_x)}
+
+
 def adjusted(models: DataFrame) -> DataFrame:
     """models (pa, effects, sigma; places x and y, mask z) with theta, the coefficient of x in the regression of y on x and z; bias, by
     which it is off the total effect; and variance, that of its estimator times the number of observations."""
-
-    def kernel(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
-        n = int(part.column("pa").value_lengths().to_numpy(zero_copy_only=False).max()) if part.num_rows else 0
-        x, y, z = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in "xyz")
-        sigma, effects, row = _squares(part.column("sigma"), n), _squares(part.column("effects"), n), np.arange(len(x))
-        beside = z & ~(C._bit(x) | C._bit(y))
-        found, left_y = regressed(sigma, beside | C._bit(x), y)
-        _, left_x = regressed(sigma, beside, x)
-        theta = found[row, x]
-        return None, {"theta": pa.array(theta), "bias": pa.array(theta - effects[row, y, x]), "variance": pa.array(left_y / left_x)}
-
-    return C.over_graphs(models, kernel, "theta double, bias double, variance double")
+    return C.over_graphs(models, adjusted_kernel, "theta double, bias double, variance double")
 
 
 def parent_sets(parents: C.Masks, open_: C.Masks, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
+from ..operators import adjustment as A
+from ..operators import criterion as C
 from ..operators import equivalence as Q
+from ..operators import knowledge as K
 from ..operators import meek as M
 from ..operators import models as L
 from ..operators import radius as R
@@ -17,7 +20,7 @@ from ..operators.extensions import extensions
 from ..operators.fixpoint import settle
 from ..sources.population import dags, models
 from .graph_queries import ANC, CAUSAL, NODES, PAIRS, VD, VS, _closed
-from .space_queries import DRAWN, EXTENDED, JUDGED, asked, known_states
+from .space_queries import DRAWN, ENDS, EXTENDED, JUDGED, KNOWN
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
@@ -54,8 +57,10 @@ def asymptotic_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half-known states with x, y, z, the law of the DAG's model, and the coefficient that is reported."""
-    law = _moments(spark, sf_dir).select("gid", "effects", "sigma")
-    return settle(L.adjusted(known_states(spark, sf_dir).join(asked(spark, sf_dir), "gid").join(law, "gid")))
+    law = "effects array<double>, sigma array<double>"
+    kernel = C.chained(A.optimal_of_ends, L.moment_kernel, L.adjusted_kernel, K.known_half(0.5))
+    found = C.over_graphs(models(dags(spark, sf_dir)), kernel, f"{ENDS}, {law}, theta double, bias double, variance double, {KNOWN}")
+    return settle(found.drop("weights", "noise", "effects"))
 
 
 def ida_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
