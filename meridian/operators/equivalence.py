@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import criterion as C
@@ -45,6 +45,11 @@ def covered_edges(dags: DataFrame) -> DataFrame:
     return turns(dags).select("gid", F.get("labels", F.col("tail")).alias("a"), F.get("labels", F.col("head")).alias("b"))
 
 
+def turns_apart(left: Column, right: Column) -> Column:
+    """Least number of turns of covered edges between two DAGs of one class, given by their parents: the edges in which they differ."""
+    return F.aggregate(F.zip_with(left, right, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda acc, k: acc + k)
+
+
 def class_walk(members: DataFrame, sources: DataFrame) -> DataFrame:
     """gid, state (parents), distance: turns of covered edges from each source to the members of its class (gid, labels, pa).
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,8 +125,14 @@ def covered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def class_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many DAGs of its class are how many turns of covered edges away from each graph's DAG."""
-    own = settle(dags(spark, sf_dir))
-    reached = Q.class_walk(settle(extensions(M.cpdag(own))), own.select("gid", F.col("pa").alias("state")))
+
+
+    def kernel(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
+        up, loose = M.completed(C._matrix(part.column("pa")))
+        return None, {"own": part.column("pa"), "pa": C.lists_of(up, part.column("pa")), "nb": C.lists_of(loose, part.column("pa"))}
+
+    members = extensions(C.over_graphs(dags(spark, sf_dir), kernel, "own array<long>, pa array<long>, nb array<long>"))
+    reached = members.withColumn("distance", Q.turns_apart(F.col("pa"), F.col("own")))
     return reached.groupBy("gid", "distance").agg(F.count("*").alias("n_dags"))
 
 

@@ -16,6 +16,7 @@ from meridian.operators import models as L
 from meridian.operators import shells as H
 from meridian.operators import space as S
 from meridian.operators.extensions import extensions
+from meridian.sources.population import dags as population_of
 from meridian.sources.population import models, pack
 
 
@@ -275,3 +276,11 @@ def test_covered_edges_join_each_class(spark):
         walked.setdefault(r.gid, {})[tuple(r.state)] = r.distance
     for g, found in walked.items():
         assert found == {m: sum((a ^ b).bit_count() for a, b in zip(m, own[g], strict=True)) // 2 for m in members[g]}
+
+
+def test_turns_apart_are_hops(spark, sf_dir):
+    """The edges that differ number the steps which the search over covered edges takes."""
+    few = population_of(spark, sf_dir).filter("gid % 9 = 0")
+    walked = Q.class_walk(extensions(meek.cpdag(few)), few.select("gid", F.col("pa").alias("state")))
+    told = walked.join(few.select("gid", F.col("pa").alias("own")), "gid").select("distance", Q.turns_apart(F.col("state"), F.col("own")).alias("apart"))
+    assert told.count() > 300 and told.filter("distance != apart").isEmpty()
