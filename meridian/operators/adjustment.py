@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import bits as B
 from . import criterion as C
 from .extensions import extensions
-from .fixpoint import settle
 
 
 def upward(mask: Column, pa: Column) -> Column:
@@ -63,19 +62,26 @@ def optimal(x: Column, y: Column) -> Column:
     return B.minus(B.union_over(cn, F.col("pa")), cn.bitwiseOR(B.bit(x)))
 
 
-def optimal_of_ends(part: pa.RecordBatch) -> tuple[np.ndarray, dict[str, pa.Array]]:
-    """The kernel that keeps DAGs (pa) with a causal path from their first node x to their last one y, and gives x, y and z, the optimal set."""
-    up = C._matrix(part.column("pa"))
-    sizes = part.column("pa").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+def optimal_sets(up: C.Masks, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """causal_nodes() and optimal() of places x and y, for DAGs by their parents."""
     above, n, row = up.copy(), up.shape[1], np.arange(len(up))
+    if not n:
+        return np.zeros(len(up), np.int64), np.zeros(len(up), np.int64)
     for k in range(n):  # paths through node k, for one k after the other
         above |= np.where(C._has(above, k), above[:, [k]], 0)
-    y = np.maximum(sizes - 1, 0)
-    causal = C.transpose(above)[:, 0] & (above[row, y] | C._bit(y)) if n else np.zeros(len(up), np.int64)
+    causal = C.transpose(above)[row, x] & (above[row, y] | C._bit(y))
     z = np.zeros(len(up), np.int64)
     for v in range(n):
         z |= np.where(C._has(causal, v), up[:, v], 0)
-    z &= ~(causal | 1)
+    return causal, z & ~(causal | C._bit(x))
+
+
+def optimal_of_ends(part: pa.RecordBatch) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """The kernel that keeps DAGs (pa) with a causal path from their first node x to their last one y, and gives x, y and z, the optimal set."""
+    up = C._matrix(part.column("pa"))
+    sizes = part.column("pa").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    x, y = np.zeros(len(up), np.int64), np.maximum(sizes - 1, 0)
+    causal, z = optimal_sets(up, x, y)
     at = np.flatnonzero((sizes >= 3) & ((causal >> y) & 1 == 1))
     return at, {"x": pa.array(np.zeros(len(at)), pa.int32()), "y": pa.array(y[at], pa.int32()), "z": pa.array(z[at], pa.int64())}
 
@@ -100,7 +106,12 @@ def optimal_of_state(states: DataFrame) -> DataFrame:
 
     states: gid, labels, pa, nb, x, y. A graph that allows no DAG has no row.
     """
-    each = with_order(extensions(states.select("gid", "labels", "pa", "nb", "x", "y"))).withColumn("z", optimal(F.col("x"), F.col("y")))
-    # As a column first: in the aggregate it would be worked out twice.
-    found = settle(each.select("gid", "z")).groupBy("gid").agg(F.min("z").alias("least"), F.max("z").alias("most"))
+
+
+    def kernel(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
+        x, y = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in "xy")
+        return None, {"z": pa.array(optimal_sets(C._matrix(part.column("pa")), x, y)[1])}
+
+    each = C.over_graphs(extensions(states.select("gid", "pa", "nb", "x", "y")), kernel, "z long").select("gid", "z")
+    found = each.groupBy("gid").agg(F.min("z").alias("least"), F.max("z").alias("most"))
     return found.select("gid", F.when(F.col("least") == F.col("most"), F.col("least")).alias("z"))

@@ -60,7 +60,7 @@ def retracted_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def optimal_set_mpdag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The optimal set of a CPDAG's first and last node; nodes is null where its DAGs have different ones."""
     asked = M.cpdag(dags(spark, sf_dir).filter(F.size("labels") >= 3)).withColumns({"x": F.lit(0), "y": F.size("labels") - 1})
-    found = A.optimal_of_state(asked).join(asked.select("gid", "labels"), "gid")
+    found = A.optimal_of_state(asked).join(dags(spark, sf_dir).select("gid", "labels"), "gid")
     names = F.array_join(F.transform(B.members(F.col("z"), F.col("labels")), lambda v: v.cast("string")), ",")
     return found.select("gid", F.col("z").isNotNull().alias("identified"), F.when(F.col("z").isNotNull(), names).alias("nodes"))
 
