@@ -23,7 +23,11 @@ documents are made by pivots and join recursively:
   region can link only if a of each is at most 2 c - a of the other. So the least a of a region tells
   which of its documents have no partner left, without a comparison; texts that differ from p in ways of
   their own leave like that, however many they are.
-* Few documents in a region are compared with each other, first by bits that bound |x ^ y| from below.
+* A region that is small enough for a task is never listed pair by pair. Its documents are first measured against
+  one pivot, so that most of what is alike is one component. Then a kernel compares those of different components by
+  bits that bound |x ^ y| from below, and only what may link leaves it: for each document the nearest such one, and
+  when these have connected more, all that are left. A text is thus sent to be measured a few times, however many
+  are like it. What is too large after all turns is compared block by block in the same way.
 
 Orders, sizes of regions and numbers of pivots change the cost, never the result. Shingles are 64-bit
 hashes and sets are named by 128-bit ones; documents with equal sets are one, their head.
@@ -42,16 +46,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Tables, fresh, materialize, small_batches, text_slices
+from .shared import Tables, fresh, materialize, ragged, small_batches, text_slices
 
 #: Shingles told to be frequent and so used as the last pivots; 16 bytes each are broadcast.
 FREQUENT = 200_000
 #: Documents of one slice of the corpus that must hold a shingle for it to be proposed as frequent.
 PROPOSE_FROM = 2
-#: A region of at most so many documents, twice as many in each turn, compares each with each; a larger one takes pivots.
-SMALL_REGION = 32
-#: Most document pivots of a region in a turn, and turns before what is left is compared in full.
-PIVOTS, TURNS = 64, 10
+#: A region of at most so many documents is compared by sketches within a task; a larger one takes pivots.
+SMALL_REGION = 2048
+#: Longest sketches (64-bit words) that are sent to regions, rows of regions and pairs that a task compares at a time.
+SKETCH_WORDS, ROWS_AT_A_TIME, PAIRS_AT_A_TIME = 32, 16_384, 100_000
+#: Most document pivots of a region in a turn, and turns before what is left is compared block by block. More turns deal out documents that
+#: lie around one pivot and do not link again and again.
+PIVOTS, TURNS = 64, 2
 #: Turns of which the last deals documents by what tells them from their pivots; the others take pivots.
 DEAL_AFTER = 2
 #: Documents in candidate pairs up to which their ids (24 bytes) are sent to the texts; beyond, both are shuffled.
@@ -204,12 +211,112 @@ def _room(percent: int, c: str = "") -> tuple[Column, Column]:
     return a, 2 * (100 + percent) * (e - pos) - a
 
 
-def _pairs_within(regions: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the documents of small regions that may link and are not known to be connected."""
-    other = regions.select("region", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "e", "pos", "key")])
-    (a, room), (a2, room2) = _room(percent), _room(percent, "2")
-    met = regions.join(other, "region").filter((F.col("doc") < F.col("doc2")) & (F.col("key") != F.col("key2")) & (a <= room2) & (a2 <= room))
-    return met.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
+def _star_pairs(regions: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the documents of each region with one of it, the one that most regions share."""
+    score = regions.groupBy("doc").agg(F.count("*").alias("regions"))
+    best = F.max(F.struct("regions", F.xxhash64("doc"), "doc"))["doc"].alias("b")
+    pivots = regions.join(score, "doc").groupBy("region").agg(best)
+    return regions.select("region", F.col("doc").alias("a")).join(pivots, "region").filter("a != b").select("a", "b").distinct()
+
+
+def _blocks(regions: DataFrame) -> DataFrame:
+    """regions (with their sizes) of any size as small ones: every two documents of a region meet in a block."""
+    half = max(SMALL_REGION // 2, 1)
+    n = F.ceil(F.col("size") / half).cast("int")
+    own = F.pmod(F.xxhash64("doc", F.lit(7)), n).cast("int")
+    each = regions.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return each.withColumn("region", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))).select(REGION)
+
+
+def _folded(bits: str) -> Column:
+    """The sketch in column bits, cut to SKETCH_WORDS words at most."""
+    short = F.transform(F.sequence(F.lit(0), F.lit(SKETCH_WORDS - 1)), lambda i: F.aggregate(
+        F.sequence(F.lit(0), (F.size(bits) / SKETCH_WORDS).cast("int") - 1), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseXOR(F.get(bits, i + j * SKETCH_WORDS))
+    ))
+    return F.when(F.size(bits) <= SKETCH_WORDS, F.col(bits)).otherwise(short)
+
+
+def near_pairs(docs: dict[str, np.ndarray], words: np.ndarray, bits: np.ndarray, percent: int, nearest: bool) -> np.ndarray:
+    """Rows (a, b) of the documents of whole regions, sorted by region, that may link and whose components and keys differ.
+
+    docs: region, doc, n, key, comp, and a and room of the module's description; words and bits: lengths of their
+    sketches and these, one after the other. With nearest only the pair that is nearest by its sketch, for each document of a region.
+    """
+    rows = len(words)
+    starts, levels = np.cumsum(words) - words, {}
+    for length in np.unique(words).tolist():
+        # Sketches of this length, longer ones cut to it.
+        own = np.zeros((rows, length), np.uint64)
+        for more in np.unique(words[words >= length]).tolist():
+            which = np.flatnonzero(words == more)
+            whole = bits[starts[which][:, None] + np.arange(more)].view(np.uint64)
+            own[which] = np.bitwise_xor.reduce(whole.reshape(len(which), more // length, length), axis=1)
+        levels[length] = own
+    edge = np.append(np.flatnonzero(np.diff(docs["region"])) + 1, rows)
+    last = edge[np.searchsorted(edge, np.arange(rows), side="right")]
+    todo = last - np.arange(rows) - 1
+    piece = np.cumsum(todo) // PAIRS_AT_A_TIME
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), rows]
+    n, a, room, key, comp = (docs[c] for c in ("n", "a", "room", "key", "comp"))
+    found, apart = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        i = np.repeat(np.arange(lo, hi), todo[lo:hi])
+        j = ragged(np.arange(lo, hi) + 1, todo[lo:hi])
+        may = (comp[i] != comp[j]) & (key[i] != key[j]) & (a[i] <= room[j]) & (a[j] <= room[i])
+        may &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+        i, j = i[may], j[may]
+        common = np.minimum(words[i], words[j])
+        for length in np.unique(common).tolist():
+            x, y = i[common == length], j[common == length]
+            least = np.bitwise_count(levels[length][x] ^ levels[length][y]).sum(axis=1, dtype=np.int64)
+            fits = (100 + percent) * least <= (100 - percent) * (n[x] + n[y])
+            found.append(np.stack([x[fits], y[fits]], axis=1))
+            apart.append(least[fits] / (n[x] + n[y])[fits])
+    pairs = np.concatenate(found)
+    if nearest and len(pairs):
+        far, both = np.tile(np.concatenate(apart), 2), np.concatenate([pairs, pairs[:, ::-1]])
+        order = np.lexsort((docs["doc"][both[:, 1]], far, both[:, 0]))
+        first = np.append(True, np.diff(both[order, 0]) != 0)
+        pairs = both[order][first]
+    named = docs["doc"][pairs]
+    return np.unique(np.sort(named, axis=1), axis=0)
+
+
+def _pairs_within(regions: DataFrame, heads: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of the documents of small regions that may link and are not known to be connected (column comp)."""
+    a, room = _room(percent)
+    sketch = heads.select(F.col("node").alias("doc"), _folded("bits").alias("bits"))
+    columns = ["region", "doc", "n", "key", "comp", "a", "room"]
+    rows = regions.select("region", "doc", "n", "key", "comp", a.cast("long").alias("a"), room.cast("long").alias("room"))
+    sorted_ = rows.join(sketch, "doc").select(*columns, "bits").repartition("region").sortWithinPartitions("region")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(table: pa.Table) -> pa.RecordBatch:
+            docs = {c: table.column(c).to_numpy() for c in columns}
+            sketches_ = table.column("bits").combine_chunks()
+            words = np.diff(sketches_.offsets.to_numpy()).astype(np.int64)
+            pairs = near_pairs(docs, words, sketches_.flatten().to_numpy(), percent, nearest)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        kept, count = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kept.append(batch)
+            count += batch.num_rows
+            if count >= ROWS_AT_A_TIME:
+                whole = pa.Table.from_batches(kept).combine_chunks()
+                region = whole.column("region").to_numpy()
+                # The last region may go on in the next batch.
+                cut = int(np.searchsorted(region, region[-1]))
+                if cut:
+                    yield found(whole.slice(0, cut).combine_chunks())
+                kept = whole.slice(cut).to_batches()
+                count = len(whole) - cut
+        if kept:
+            yield found(pa.Table.from_batches(kept).combine_chunks())
+
+    return sorted_.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _alive(regions: DataFrame, percent: int, by: str) -> DataFrame:
@@ -387,15 +494,19 @@ def linked_components(corpus: Corpus) -> DataFrame:
     sized = posted.withColumn("size", F.count("*").over(Window.partitionBy("region"))).filter("size > 1")
     n = F.shiftright("place", 32).alias("n")
     regions = sized.select("region", "doc", n, n.alias("e"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), F.col("doc").alias("key"), F.lit(0).alias("age"), "size")
-    pairs = [tables.write(_pairs_within(regions.filter(F.col("size") <= SMALL_REGION), percent), "first_pairs")]
-    large, waiting = tables.write(regions.filter(F.col("size") > SMALL_REGION).select(REGION), "first_large"), []
+    regions = tables.write(regions, "regions")
+    first = regions.filter(F.col("size") <= SMALL_REGION).select(REGION)
+    components.add(corpus.measured(_star_pairs(first), percent).select("a", "b"))
+    small, waiting = [first], []
+    large = regions.filter(F.col("size") > SMALL_REGION).select(REGION)
     for turn in range(TURNS):
+        if not waiting and large.isEmpty():
+            break
         alive = tables.write(_alive(components.of(large, "doc", "comp"), percent, "comp"), "alive")
         large = tables.write(_sized(_alive(alive, percent, "key")), "large")
-        # The deeper a region, the less another turn takes from it.
-        small = F.col("size") <= SMALL_REGION << turn
-        pairs.append(_pairs_within(large.filter(small), percent))
-        large = large.filter(~small)
+        fits = F.col("size") <= SMALL_REGION
+        small.append(large.filter(fits).select(REGION))
+        large = large.filter(~fits)
         done = large.isEmpty()
         if done and not waiting:
             break
@@ -412,12 +523,14 @@ def linked_components(corpus: Corpus) -> DataFrame:
     else:
         large = large.select(REGION)
         large = large.union(_dealt(waiting, components)) if waiting else large
-        pairs.append(_pairs_within(_alive(large, percent, "key"), percent))
-    together = pairs[0]
-    for more in pairs[1:]:
+        small.append(_blocks(_sized(_alive(large, percent, "key"))))
+    together = small[0]
+    for more in small[1:]:
         together = together.union(more)
-    apart = components.of(components.of(together.distinct(), "a", "u"), "b", "v").filter("u != v").select("a", "b")
-    components.add(corpus.measured(apart, percent).select("a", "b"))
+    for nearest in (True, False):
+        together = tables.write(_alive(components.of(together, "doc", "comp"), percent, "comp"), "together").select(REGION)
+        pairs = _pairs_within(components.of(together, "doc", "comp"), corpus.heads, percent, nearest)
+        components.add(corpus.measured(pairs, percent).select("a", "b"))
     return components.table
 
 

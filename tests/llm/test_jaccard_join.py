@@ -105,3 +105,29 @@ def test_registered_query(spark, sf_dir):
     sets = sets_of(spark.read.parquet(f"{sf_dir}/documents.parquet").collect(), 4)
     assert {i: r.n_shingles for i, r in found.items()} == {i: len(s) for i, s in sets.items()}
     assert {i: r.component_id for i, r in found.items()} == brute(sets, 85)
+
+
+@pytest.mark.parametrize("small", [1024, 40])
+def test_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch, small):
+    """Near copies in large groups, of which many link with few others: texts are measured a few times each, whatever the size of a group."""
+    monkeypatch.setattr(J, "SMALL_REGION", small)
+    asked = []
+    whole = J.Corpus.may_be_near
+    monkeypatch.setattr(J.Corpus, "may_be_near", lambda self, pairs, share: asked.append(pairs.count()) or whole(self, pairs, share))
+    texts = cloud(11, 300, words=120, edits=14)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in J.jaccard_components(docs, 4, 85).collect()}
+    assert found == brute(sets_of(docs.collect(), 4), 85)
+    if small == 1024:
+        assert sum(asked) <= 8 * len(texts)
+
+
+def test_blocks_bring_every_two_documents_together(spark, monkeypatch):
+    monkeypatch.setattr(J, "SMALL_REGION", 6)
+    rows = [(1, i, 1, 1, 0, i, 0, 20) for i in range(20)]
+    regions = spark.createDataFrame(rows, "region long, doc long, n long, e long, pos int, key long, age int, size long")
+    met = {}
+    for r in J._blocks(regions).collect():
+        met.setdefault(r.region, set()).add(r.doc)
+    assert all(any({a, b} <= docs for docs in met.values()) for a in range(20) for b in range(a))
+    assert max(map(len, met.values())) < 20
