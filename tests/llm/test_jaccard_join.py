@@ -114,7 +114,7 @@ def test_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch, small)
     asked = []
     whole = J.Corpus.may_be_near
     monkeypatch.setattr(J.Corpus, "may_be_near", lambda self, pairs, share: asked.append(pairs.count()) or whole(self, pairs, share))
-    texts = cloud(11, 300, words=120, edits=14)
+    texts = cloud(11, 300, words=120, edits=4)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in J.jaccard_components(docs, 4, 85).collect()}
     assert found == brute(sets_of(docs.collect(), 4), 85)
