@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,19 +88,29 @@ def _set_query(column: str) -> Query:
 def corrupted_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How a claimed graph fares when half of its claims are turned: by the number of claims, graphs, contradictions, and
     graphs whose optimal set (of the true DAG) is still valid."""
-    graphs = settle(M.cpdag(dags(spark, sf_dir).filter(F.size("labels") >= 3)))
-    claims = K.flip(open_edges(spark, sf_dir), 0.5)
-    truth = A.with_order(dags(spark, sf_dir).filter(F.size("labels") >= 3)).withColumns({"x": F.lit(0), "y": F.size("labels") - 1})
-    asked = settle(truth.withColumn("z", A.optimal(F.col("x"), F.col("y"))).select("gid", "x", "y", "z"))
-    known = settle(M.apply_knowledge(graphs, claims))
-    sizes = claims.groupBy("gid").agg(F.count("*").alias("n_claims"))
-    judged = C.why_invalid(known.filter("status = 'ok'").join(asked, "gid")).select("gid", "reason")
-    told = known.select("gid", "status").join(sizes, "gid").join(judged, "gid", "left")
-    return told.groupBy("n_claims").agg(
-        F.count("*").alias("n_graphs"), F.sum((F.col("status") != "ok").cast("int")).alias("n_contradictory"), F.sum(F.coalesce((F.col("reason") == "").cast("int"), F.lit(0))).alias("n_survived")
+    ends = dags(spark, sf_dir).filter(F.size("labels") >= 3)
+    found = C.over_graphs(ends, C.chained(K.known_half(1.0), _corrupted), "n_claims long, contradictory boolean, survived boolean")
+    # Graphs without an open edge have no claims to turn.
+    return found.filter("n_claims > 0").groupBy("n_claims").agg(
+        F.count("*").alias("n_graphs"), F.sum(F.col("contradictory").cast("int")).alias("n_contradictory"), F.sum(F.col("survived").cast("int")).alias("n_survived")
     )
 
 
+def _corrupted(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
+    """From CPDAGs (fixed, loose) of which all open edges are known (pa): claims, half of them turned as K.flip() does, and what becomes of the
+    optimal set of the first and last node."""
+    fixed, loose, true = (C._matrix(part.column(c)) for c in ("fixed", "loose", "pa"))
+    sizes = part.column("pa").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    x, y = np.zeros(len(true), np.int64), sizes - 1
+    z = A.optimal_sets(true, x, y)[1]
+    claims = K.turned(part, true & ~fixed, 0.5)
+    up, open_, wrong = K.contradicted(fixed, loose, claims)
+    survived, at = np.zeros(len(true), bool), np.flatnonzero(~wrong)
+    survived[at] = ~C.fails(up[at], open_[at], x[at], y[at], z[at])
+    many = np.bitwise_count(claims).sum(axis=1, dtype=np.int64) if claims.shape[1] else np.zeros(len(true), np.int64)
+    return None, {"n_claims": pa.array(many), "contradictory": pa.array(wrong), "survived": pa.array(survived)}
+
+
 def queries() -> dict[str, Query]:
     plain = (draw_k_true, omit_claims, flip_claims, compound_claims, tier_assign, tiered_claims, possible_descendants, why_invalid, amenability, corrupted_validity)
     return {f.__name__: f for f in plain} | {"forbidden_set_mpdag": _set_query("forbidden"), "gac_forbidden_mpdag": _set_query("forbidden_gac")}
