@@ -97,10 +97,14 @@ def edge_string(df: DataFrame) -> Column:
     """One-line rendering 'a->b ... a-b ...', edges sorted; names a graph among those of the same nodes."""
     idx = B.indices(F.col("labels"))
     name = lambda i: F.get("labels", i).cast("string")
-    directed = F.flatten(F.transform(idx, lambda i: F.transform(F.filter(idx, lambda j: B.has(F.get("pa", j), i)), lambda j: F.concat(name(i), F.lit("->"), name(j)))))
-    parts = directed
-    if "nb" in df.columns:
-        parts = F.concat(directed, F.flatten(F.transform(idx, lambda i: F.transform(F.filter(idx, lambda j: B.has(F.get("nb", j), i) & (i < j)), lambda j: F.concat(name(i), F.lit("-"), name(j))))))
+
+    def told(masks: str, sign: str, once: bool) -> Column:
+        # Each mask is looked at for its own node only, and edges are sorted as pairs of places.
+        tails = lambda m, j: F.filter(idx, lambda i: B.has(m, i) & (i < j)) if once else F.filter(idx, lambda i: B.has(m, i))
+        heads = F.transform(masks, lambda m, j: F.transform(tails(m, j), lambda i: F.struct(i.alias("i"), j.alias("j"))))
+        return F.transform(F.sort_array(F.flatten(heads)), lambda e: F.concat(name(e["i"]), F.lit(sign), name(e["j"])))
+
+    parts = F.concat(told("pa", "->", False), told("nb", "-", True)) if "nb" in df.columns else told("pa", "->", False)
     return F.array_join(parts, " ")
 
 
