@@ -24,7 +24,7 @@ from . import criterion as C
 from .extensions import extensions as extensions
 from .fixpoint import settle
 from .meek import apply_knowledge
-from .steps import implied, opened, steps
+from .steps import distinct, implied, opened, pieces, steps
 
 #: A graph without a failing state.
 UNREACHED = -1
@@ -177,6 +177,33 @@ def _bounded(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
     }
 
 
+def radii(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Radii of a batch of cases as up_radius() has them, without a table on the way, and which of them are left to it, as there are too many claims."""
+    _, told = _bounded(part)
+    lower, upper = (told[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lower", "upper"))
+    radius = told["radius"].fill_null(NEVER).to_numpy(zero_copy_only=False).astype(np.int64)
+    fixed, loose, claims, up, open_, x, y, z = _columns(part)
+    asked = np.flatnonzero(radius == NEVER)
+    for own in pieces(_count(claims[asked])):
+        g, shell = asked[own], 0
+        p, u = up[g], open_[g]
+        while len(g):
+            # One step short of the upper bound, that bound is the radius.
+            last = upper[g] == shell + 1
+            radius[g[last]] = shell + 1
+            g, p, u, shell = g[~last], p[~last], u[~last], shell + 1
+            at, p, u = one_less(fixed[g], loose[g], claims[g], p, u)
+            g = g[at]
+            first = distinct(g, p)
+            g, p, u = g[first], p[first], u[first]
+            bad, near = np.zeros(len(g), bool), np.flatnonzero(lower[g] <= shell)
+            bad[near] = C.fails(p[near], u[near], x[g[near]], y[g[near]], z[g[near]])
+            radius[g[bad]] = shell
+            on = radius[g] == NEVER
+            g, p, u = g[on], p[on], u[on]
+    return radius, radius == NEVER
+
+
 def _above(part: pa.RecordBatch) -> tuple[np.ndarray, dict[str, pa.Array]]:
     g, up, open_ = one_less(*_columns(part)[:5])
     like = part.column("pa").take(pa.array(g))

@@ -21,7 +21,7 @@ from ..functions import bits as B
 from . import criterion as C
 from .extensions import _n_open, dags_of, extensions
 from .fixpoint import settle
-from .steps import implied, opened, steps
+from .steps import distinct, implied, opened, steps
 
 
 def retract(states: DataFrame) -> DataFrame:
@@ -52,16 +52,6 @@ MOST_OPEN = 12
 DAGS = 1 << 15
 
 
-def _distinct(g: np.ndarray, up: C.Masks) -> np.ndarray:
-    """Places of the first of equal rows."""
-    n = up.shape[1]
-    keys = [np.bitwise_or.reduce(up << (n * np.arange(n, dtype=np.int64)), axis=1)] if 0 < n <= 7 else list(up.T)
-    order = np.lexsort([*keys, g])
-    new = np.ones(len(g), bool)
-    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in (*keys, g)], axis=0)
-    return order[new]
-
-
 def _levels(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, C.Masks, C.Masks, tuple[np.ndarray, C.Masks, C.Masks]]]:
     """graph, parents, open neighbours of the states of a level, and its covers (graph, lower and upper parents), from the DAGs upwards."""
     fixed = C._matrix(part.column("pa"))
@@ -80,7 +70,7 @@ def _levels(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, C.Masks, C.Masks
             at, i, j = steps(p & ~fixed[own] & ~implied(p, u))
             above, loose = opened(p[at], u[at], i, j)
             yield own, p, u, (own[at], p[at], above)
-            first = _distinct(own[at], above)
+            first = distinct(own[at], above)
             own, p, u = own[at][first], above[first], loose[first]
 
 
@@ -90,12 +80,12 @@ def state_texts(states: C.Masks, labels: list[list[int]], g: np.ndarray) -> pa.A
     names = np.array([numbers.setdefault(tuple(own), len(numbers)) for own in labels], np.int64)
     lists = list(numbers)
     row = names[g] if len(g) else g
-    first = _distinct(row, states)
+    first = distinct(row, states)
     texts = []
     for k, masks in zip(row[first].tolist(), states[first].tolist(), strict=True):
         edges = [(i, j) for j, m in enumerate(masks) if m for i in range(m.bit_length()) if m >> i & 1]
         texts.append(" ".join(f"{lists[k][i]}->{lists[k][j]}" for i, j in sorted(edges)))
-    # _distinct() goes through rows in order, so a row's text is that of the last first one before it.
+    # distinct() goes through rows in order, so a row's text is that of the last first one before it.
     n = states.shape[1]
     keys = [np.bitwise_or.reduce(states << (n * np.arange(n, dtype=np.int64)), axis=1)] if 0 < n <= 7 else list(states.T)
     order = np.lexsort([*keys, row])

@@ -35,6 +35,29 @@ def steps(free: C.Masks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return g[order], i[order], j[order]
 
 
+#: Steps up to the top of the states whose whole search is made in one place; others are searched shell by shell over all tasks.
+MOST_STEPS = 12
+#: States, at most, of the graphs that are searched together (of one graph, if it has more).
+STATES = 1 << 17
+
+
+def pieces(n_steps: np.ndarray) -> list[np.ndarray]:
+    """Places of the graphs that are no more than MOST_STEPS steps from the top, in parts to be searched together: k steps have up to 2^k states."""
+    few = np.flatnonzero(n_steps <= MOST_STEPS)
+    begins = np.cumsum(1 << n_steps[few]) - (1 << n_steps[few])
+    return np.split(few, np.flatnonzero(np.diff(begins // STATES)) + 1) if len(few) else []
+
+
+def distinct(g: np.ndarray, up: C.Masks) -> np.ndarray:
+    """Places of the first of equal rows, graph by graph."""
+    n = up.shape[1]
+    keys = [np.bitwise_or.reduce(up << (n * np.arange(n, dtype=np.int64)), axis=1)] if 0 < n <= 7 else list(up.T)
+    order = np.lexsort([*keys, g])
+    new = np.ones(len(g), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in (*keys, g)], axis=0)
+    return order[new]
+
+
 def opened(parents: C.Masks, open_: C.Masks, i: np.ndarray, j: np.ndarray) -> tuple[C.Masks, C.Masks]:
     """The graphs with edge i -> j, one a graph, open again."""
     up, loose, row = parents.copy(), open_.copy(), np.arange(len(i))
