@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,18 +75,26 @@ def normal_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     return plain.union(mixed.mapInArrow(numbered, f"{types}, raw string, node string"))
 
 
-def _built(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with the normal names of their nodes (name, raw); an edge to an undeclared node, or to itself, is an error."""
-    mapped = nodes.groupBy("name").agg(normal_names(F.collect_set("raw")).alias("m")).select("name", F.explode("m").alias("m"))
-    side = lambda c: mapped.select("name", F.col("m.raw").alias(c), F.col("m.node").alias(f"node_{c}"))
-    named = edges.join(side("a"), ["name", "a"], "left").join(side("b"), ["name", "b"], "left")
-    wrong = F.raise_error(F.concat(F.lit("undeclared node or self-loop: "), F.col("a"), F.lit(" "), F.col("b")))
-    fine = F.col("node_a").isNotNull() & F.col("node_b").isNotNull() & (F.col("a") != F.col("b"))
-    return named.select("name", F.when(fine, F.col("node_a")).otherwise(wrong).alias("a"), F.col("node_b").alias("b"), "kind").distinct()
+def _built(files: DataFrame) -> DataFrame:
+    """Edges (name, a, b, kind) of files (name; raw, an array of its nodes; edges, one of a, b, kind) with the normal names of their nodes; an
+    edge to an undeclared node, or to itself, is an error. A file stays one row until its edges are named, so nothing is joined."""
+    merged = lambda c: F.flatten(F.collect_list(c))
+    whole = files.groupBy("name").agg(F.array_compact(merged("raw")).alias("raw"), F.array_distinct(merged("edges")).alias("edges"))
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, edges = batch.column("m").flatten(), batch.column("edges").flatten()
+            own = pc.list_parent_indices(batch.column("edges"))
+            of_file = lambda at, names: pc.binary_join_element_wise(at.cast(pa.string()), names, " ")
+            known = of_file(pc.list_parent_indices(batch.column("m")), nodes.field("raw"))
+            ends = [nodes.field("node").take(pc.index_in(of_file(own, edges.field(c)), value_set=known)) for c in "ab"]
+            fine = pc.and_(pc.and_(ends[0].is_valid(), ends[1].is_valid()), pc.fill_null(pc.not_equal(edges.field("a"), edges.field("b")), False))
+            if (wrong := pc.index(fine, False).as_py()) >= 0:
+                raise ValueError(f"undeclared node or self-loop: {edges.field('a')[wrong]} {edges.field('b')[wrong]}")
+            yield pa.RecordBatch.from_arrays([batch.column("name").take(own), *ends, edges.field("kind")], names=["name", "a", "b", "kind"])
 
-def _ends(edges: DataFrame) -> DataFrame:
-    return edges.select("name", F.explode(F.array("a", "b")).alias("raw"))
+    made = f"name {files.schema['name'].dataType.simpleString()}, a string, b string, kind string"
+    return whole.select("name", normal_names(F.col("raw")).alias("m"), "edges").mapInArrow(named, made)
 
 
 def parse_bif(files: DataFrame) -> DataFrame:
@@ -99,13 +108,12 @@ def parse_bif(files: DataFrame) -> DataFrame:
     variables = F.transform(F.regexp_extract_all("text", F.lit(r"variable\s+(\"[^\"]+\"|[^\s{]+)\s*\{"), F.lit(1)), plain)
     sound = (F.size("vars") > 0) & (F.size(F.array_distinct("vars")) == F.size("vars"))
     told = F.raise_error(F.concat(F.lit("no variable block, or two of one name: "), F.col("name")))
-    # The text hangs on it, too, as a file without an edge would not be looked at else.
-    bare = bare.withColumn("vars", variables).withColumn("text", F.when(sound, F.col("text")).otherwise(told))
-    nodes = bare.filter("text is not null").select("name", F.explode("vars").alias("raw"))
-    blocks = F.regexp_extract_all("text", F.lit(r"probability\s*\(([^)]*)\)"), F.lit(1))
-    rows = bare.select("name", F.explode(blocks).alias("block")).filter(F.contains("block", F.lit("|")))
-    edges = rows.select("name", plain(F.substring_index("block", "|", 1)).alias("b"), F.explode(F.split(F.substring_index("block", "|", -1), ",")).alias("a"))
-    return _built(nodes, edges.select("name", plain(F.col("a")).alias("a"), "b", F.lit("->").alias("kind")))
+    bare = bare.withColumn("vars", variables)
+    blocks = F.filter(F.regexp_extract_all("text", F.lit(r"probability\s*\(([^)]*)\)"), F.lit(1)), lambda block: F.contains(block, F.lit("|")))
+    parents = lambda block: F.split(F.substring_index(block, "|", -1), ",")
+    edge = lambda block, a: F.struct(plain(a).alias("a"), plain(F.substring_index(block, "|", 1)).alias("b"), F.lit("->").alias("kind"))
+    edges = F.flatten(F.transform(blocks, lambda block: F.transform(parents(block), lambda a: edge(block, a))))
+    return _built(bare.select("name", F.when(sound, F.col("vars")).otherwise(told).alias("raw"), edges.alias("edges")))
 
 
 #: A name is quoted, or has no blank.
@@ -122,15 +130,19 @@ def parse_dagitty(files: DataFrame) -> DataFrame:
     listed = files.select("name", trimmed.alias("lines"))
     framed = F.coalesce(F.get("lines", F.lit(0)).rlike(r"^(dag|graph|digraph|pdag|mag|pag)\b.*\{$"), F.lit(False)) & (F.element_at("lines", -1) == "}")
     body = F.when(framed, F.slice("lines", F.lit(2), F.size("lines") - 2)).otherwise(F.raise_error(F.concat(F.lit("not a dagitty graph: "), F.col("name"))))
-    lines = listed.select("name", F.explode(body).alias("line"))
     edge = rf"^({_NAME})\s*(->|<->|<-|--)\s*({_NAME})\s*(?:\[.*\])?$"
-    known = F.col("line").rlike(edge) | F.col("line").rlike(rf"^{_NAME}\s*(\[.*\])?$") | F.col("line").rlike(r"^\w+\s*=.*$")
-    read = lines.withColumn("line", F.when(known, F.col("line")).otherwise(F.raise_error(F.concat(F.lit("unrecognised line: "), F.col("line")))))
-    part = lambda i: F.replace(F.regexp_extract("line", edge, i), F.lit('"'), F.lit(""))
-    found = read.select("name", part(1).alias("l"), part(2).alias("kind"), part(3).alias("r"))
-    l, r, turned = F.col("l"), F.col("r"), F.col("kind") == "<-"
-    edges = found.filter("kind != ''").select("name", F.when(turned, r).otherwise(l).alias("a"), F.when(turned, l).otherwise(r).alias("b"), F.when(turned, "->").otherwise(F.col("kind")).alias("kind"))
-    return _built(_ends(edges), edges)
+    known = lambda line: line.rlike(edge) | line.rlike(rf"^{_NAME}\s*(\[.*\])?$") | line.rlike(r"^\w+\s*=.*$")
+    read = lambda line: F.when(known(line), line).otherwise(F.raise_error(F.concat(F.lit("unrecognised line: "), line)))
+    part = lambda line, i: F.replace(F.regexp_extract(line, edge, i), F.lit('"'), F.lit(""))
+    parts = F.transform(body, lambda line: F.struct(part(read(line), 1).alias("l"), part(line, 2).alias("kind"), part(line, 3).alias("r")))
+    found = listed.select("name", parts.alias("parts")).select("name", F.filter("parts", lambda e: e["kind"] != "").alias("parts"))
+
+    def ahead(e: Column) -> Column:
+        turned = e["kind"] == "<-"
+        return F.struct(F.when(turned, e["r"]).otherwise(e["l"]).alias("a"), F.when(turned, e["l"]).otherwise(e["r"]).alias("b"), F.when(turned, "->").otherwise(e["kind"]).alias("kind"))
+
+    ends = F.flatten(F.transform("parts", lambda e: F.array(e["l"], e["r"])))
+    return _built(found.select("name", ends.alias("raw"), F.transform("parts", ahead).alias("edges")))
 
 
 def parse_json(files: DataFrame) -> DataFrame:
@@ -139,9 +151,8 @@ def parse_json(files: DataFrame) -> DataFrame:
     read = files.select("name", F.from_json("text", "nodes array<string>, arcs array<array<string>>").alias("p"))
     sound = F.col("p.nodes").isNotNull() & F.col("p.arcs").isNotNull() & F.coalesce(F.forall("p.arcs", lambda a: F.size(a) == 2), F.lit(False))
     parsed = read.select("name", F.when(sound, F.col("p")).otherwise(F.raise_error(F.concat(F.lit("not a JSON network: "), F.col("name")))).alias("p"))
-    arcs = parsed.select("name", F.explode("p.arcs").alias("arc"))
-    edges = arcs.select("name", F.get("arc", F.lit(0)).alias("a"), F.get("arc", F.lit(1)).alias("b"), F.lit("->").alias("kind"))
-    return _built(parsed.select("name", F.explode("p.nodes").alias("raw")), edges)
+    edge = lambda arc: F.struct(F.get(arc, F.lit(0)).alias("a"), F.get(arc, F.lit(1)).alias("b"), F.lit("->").alias("kind"))
+    return _built(parsed.select("name", F.col("p.nodes").alias("raw"), F.transform("p.arcs", edge).alias("edges")))
 
 
 def digest(column: Column) -> Column:

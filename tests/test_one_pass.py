@@ -73,3 +73,26 @@ def test_many_steps_from_the_top(spark, monkeypatch):
         assert (d, many) == (k, n[0]) and most == pytest.approx(worst[0]) and up == pytest.approx(beta)
     made = L.certificate_kernel(part)[1]
     assert (told.r_val, told.r_eps_10) == (made["r_val"][0].as_py(), made["r_eps_10"][0].as_py()) and told.beta_top == pytest.approx(made["beta_top"][0].as_py())
+
+
+@pytest.mark.parametrize("name", ["parse_bnjson", "parse_dagitty", "parse_bif"])
+def test_files_are_read_once(spark, sf_dir, name):
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_edges_of_files_in_parts_and_large(spark):
+    """Rows of a name are one file, names of one file don't serve another, and a large file is no more than its edges."""
+    import json
+
+    from meridian.sources import networks as N
+
+    n = 20_000
+    large = json.dumps({"nodes": [f"n {i}" for i in range(n)], "arcs": [[f"n {i}", f"n {i + 1}"] for i in range(n - 1)]})
+    files = [("p", '{"nodes": ["a", "b c"], "arcs": [["a", "b c"], ["a", "b c"]]}'), ("p", '{"nodes": ["b_c"], "arcs": [["b_c", "b_c2"], ["a", "b c"]]}'), ("p", '{"nodes": ["b_c2"], "arcs": []}'), ("l", large), (None, '{"nodes": ["x", null, "y"], "arcs": [["x", "y"]]}')]
+    rows = N.parse_json(spark.createDataFrame(files, "name string, text string")).collect()
+    found = {(r.name, r.a, r.b) for r in rows}
+    assert len(rows) == len(found) == n - 1 + 3
+    assert {f for f in found if f[0] != "l"} == {("p", "a", "b_c"), ("p", "b_c__2", "b_c2"), (None, "x", "y")} and ("l", "n_7", "n_8") in found
+    with pytest.raises(Exception, match="undeclared node or self-loop: a b"):
+        N.parse_json(spark.createDataFrame([("p", '{"nodes": ["a"], "arcs": [["a", "b"]]}'), ("q", '{"nodes": ["b"], "arcs": []}')], "name string, text string")).collect()
