@@ -4,10 +4,14 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from meridian.operators import criterion as C
+from meridian.operators import meek as M
 from meridian.operators import models as L
+from meridian.operators import paths as P
 from meridian.operators import radius as R
 from meridian.operators import steps
-from meridian.plans import model_queries, registry
+from meridian.plans import family_queries, model_queries, registry
+from meridian.sources import families as S
 
 
 @pytest.fixture
@@ -21,12 +25,36 @@ def written(monkeypatch):
     return calls
 
 
-@pytest.mark.parametrize(("name", "most"), [("bias_profile", 1), ("certificate", 1)])
+@pytest.mark.parametrize(("name", "most"), [("bias_profile", 1), ("certificate", 1), ("open_path_witness", 1), ("total_effect_paths", 0)])
 def test_few_tables_on_the_way(spark, sf_dir, written, name, most):
-    assert registry.queries()[name](spark, sf_dir).count() > 100
+    assert registry.queries()[name](spark, sf_dir).count() > 50
     assert len(written) <= most
 
 
+def test_effects_without_a_join(spark, sf_dir):
+    plan = registry.queries()["total_effect_paths"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_witnesses_in_a_batch_and_over_tables(spark, sf_dir):
+    """Of the population both ways to the same paths; of larger graphs, which are left to tables, too."""
+    last = F.size("labels") - 1
+    small = family_queries._asked(spark, sf_dir).filter("gid % 2 = 0")
+    big = M.cpdag(S.block(spark.range(1, 25).select(F.col("id").alias("gid"), F.lit(10).alias("n")), 3, 60, 20)).select("gid", "labels", "pa", "nb")
+    big = big.withColumns({"x": F.lit(0), "y": last, "k": F.explode(F.sequence(F.lit(1), last - 1))}).withColumn("z", F.expr("shiftleft(1L, k)"))
+    back = small.withColumns({"gid": -F.col("gid"), "x": last, "y": F.lit(0)})
+    asked = small.unionByName(back).unionByName(big.withColumn("gid", F.col("gid") + 10**9)).cache()
+    told = lambda found: sorted((r.gid, r.k, r.path) for r in found.collect())
+    expected = told(P._witness_by_turns(asked, ["gid", "k"]))
+    assert expected[0][0] < 0 < 10**9 < expected[-1][0]
+    assert told(P.open_path_witness(asked, ["gid", "k"])) == expected
+    part = pa.RecordBatch.from_struct_array(asked.filter("size(labels) > 8").toArrow().combine_chunks().to_struct_array().combine_chunks())
+    x, y, z = (part.column(c).to_numpy(zero_copy_only=False).astype("int64") for c in "xyz")
+    gid, k = part.column("gid").to_pylist(), part.column("k").to_pylist()
+    found = [(gid[r], k[r], p.tolist()) for rows, path in P.witnesses(C._matrix(part.column("pa")), C._matrix(part.column("nb")), x, y, z) for r, p in zip(rows, path, strict=True)]
+    assert sorted(found) == [e for e in expected if e[0] > 10**9]
+
+
 @pytest.mark.parametrize("above", [None, 0.1])
 def test_profile_in_a_batch_and_over_tables(spark, sf_dir, above):
     states = model_queries._states(spark, sf_dir).filter("gid % 3 = 0").cache()
