@@ -55,19 +55,42 @@ def _rows(squares: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 def moment_kernel(part: pa.RecordBatch) -> tuple[None, dict[str, pa.Array]]:
     sizes = part.column("pa").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     n = int(sizes.max()) if len(sizes) else 0
-    effects = np.linalg.inv(np.eye(n) - _squares(part.column("weights"), n))
+    effects = _effects(part, n)
     noise = np.zeros((len(sizes), n))
     noise[np.arange(n) < sizes[:, None]] = part.column("noise").flatten().to_numpy(zero_copy_only=False)
     sigma = (effects * noise[:, None, :]) @ effects.transpose(0, 2, 1)
     return None, {"effects": _rows(effects, sizes), "sigma": _rows(sigma, sizes)}
 
 
+def _effects(part: pa.RecordBatch, n: int) -> np.ndarray:
+    return np.linalg.inv(np.eye(n) - _squares(part.column("weights"), n))
+
+
 def moments(models: DataFrame) -> DataFrame:
     """models (pa, weights, noise) with effects and sigma, flat n x n: total effects (row: on, column: of; 1 of a node on itself) and
     the covariance matrix. With B the weights, effects are (I - B)^-1 = I + B + B^2 + ..., the sums over directed paths."""
     return C.over_graphs(models, moment_kernel, "effects array<double>, sigma array<double>")
 
 
+def total_effects(models: DataFrame) -> DataFrame:
+    """gid, a, b, effect: the total effect of every node of a DAG (labels, pa, weights) on each of its descendants."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in C._slices(batches):
+            above = C._matrix(part.column("pa"))
+            n = above.shape[1]
+            for k in range(n):  # paths through node k, for one k after the other
+                above |= np.where(C._has(above, k), above[:, [k]], 0)
+            g, i, j = steps(above)
+            sizes, labels = part.column("labels").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), part.column("labels").flatten()
+            at = (np.cumsum(sizes) - sizes)[g]
+            yield pa.RecordBatch.from_arrays([part.column("gid").take(pa.array(g)), labels.take(pa.array(at + i)), labels.take(pa.array(at + j)), pa.array(_effects(part, n)[g, j, i])], names=["gid", "a", "b", "effect"])
+
+    kind = dict(models.dtypes)
+    label = kind["labels"].removeprefix("array<").removesuffix(">")
+    return models.select("gid", "labels", "pa", "weights").mapInArrow(work, f"gid {kind['gid']}, a {label}, b {label}, effect double")
+
+
 def entries(matrices: DataFrame, column: str, name: str) -> DataFrame:
     """gid, a, b and the number in row a, column b of a flat n x n column."""
     flat = matrices.select("gid", "labels", F.posexplode(column).alias("k", name))

@@ -33,14 +33,7 @@ def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def total_effect_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total effect of every node on each of its descendants."""
-    found = L.entries(_moments(spark, sf_dir), "effects", "effect").join(_below(spark, sf_dir), ["gid", "a", "b"])
-    return found.select("gid", F.col("b").alias("a"), F.col("a").alias("b"), F.round("effect", DIGITS).alias("effect"))
-
-
-def _below(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.graphs import descendant_pairs
-
-    return descendant_pairs(dags(spark, sf_dir)).select("gid", F.col("d").alias("a"), F.col("a").alias("b"))
+    return L.total_effects(models(dags(spark, sf_dir))).withColumn("effect", F.round("effect", DIGITS))
 
 
 def model_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
