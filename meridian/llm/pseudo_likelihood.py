@@ -43,8 +43,8 @@ MASK_ONE_IN, BATCH, RATE = 2, 4096, 0.08
 KNOWN, DISCOUNT = 100_000, 0.75
 #: Bytes of ids that a kernel works on at a time, two a word.
 ID_BYTES = 1 << 20
-#: Words scored at a time, so that what is between lies in cache.
-CHUNK = 8192
+#: Words whose scores are worked out at a time, so that what is between lies in cache.
+CHUNK = 2048
 
 Params = dict[str, np.ndarray]
 
@@ -100,14 +100,19 @@ def contexts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def forward(p: Params, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Log-probability of each target, and what the gradient needs."""
     group, place, row = target >> 6, target & 63, np.arange(len(target))
-    x = p["embed"][context].reshape(len(target), -1)
-    h = np.tanh(x @ p["mix"] + p["mix0"])
-    z = np.clip(h @ p["group"] + p["group0"], -30, 30)
-    gated = h * p["gate"][group]
-    y = np.clip(gated @ p["place"] + p["place0"][group], -30, 30)
+    x = p["embed"].take(context.ravel(), axis=0).reshape(len(target), -1)
+    h = x @ p["mix"] + p["mix0"]
+    np.tanh(h, out=h)
+    z = h @ p["group"]
+    z += p["group0"]
+    gated = h * p["gate"].take(group, axis=0)
+    y = gated @ p["place"]
+    y += p["place0"].take(group, axis=0)
+    for scores in (z, y):
+        np.clip(scores, -30, 30, out=scores)
     own = z[row, group] + y[row, place]
-    ez, ey = np.exp(z), np.exp(y)
-    sz, sy = ez.sum(axis=1), ey.sum(axis=1)
+    ez, ey = np.exp(z, out=z), np.exp(y, out=y)
+    sz, sy = (e @ np.ones(e.shape[1], e.dtype) for e in (ez, ey))
     return own - np.log(sz) - np.log(sy), (x, h, gated, ez, sz, ey, sy, group, place, row)
 
 
@@ -117,19 +122,26 @@ def _scatter(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 
 def gradient(p: Params, context: np.ndarray, target: np.ndarray) -> Params:
     """Gradient of the mean negative log-probability."""
-    _, (x, h, gated, ez, sz, ey, sy, group, place, row) = forward(p, context, target)
-    n = np.float32(len(target))
-    dz, dy = ez / sz[:, None], ey / sy[:, None]
-    dz[row, group] -= 1
-    dy[row, place] -= 1
-    dz, dy = dz / n, dy / n
-    dgated = dy @ p["place"].T
-    dh = (dz @ p["group"].T + dgated * p["gate"][group]) * (1 - h * h)
-    dx = (dh @ p["mix"].T).reshape(-1, DIM)
-    return {
-        "embed": _scatter(context.ravel(), dx, IDS), "mix": x.T @ dh, "mix0": dh.sum(axis=0), "group": h.T @ dz, "group0": dz.sum(axis=0),
-        "gate": _scatter(group, dgated * h, GROUPS), "place": gated.T @ dy, "place0": _scatter(group, dy, GROUPS),
-    }
+    # Targets of one group lie together, so that what belongs to a group is summed as a block.
+    order = np.argsort((target >> 6).astype(np.uint8), kind="stable")
+    context, target, n = context[order], target[order], np.float32(len(target))
+    out = {k: np.zeros(shape, np.float32) for k, shape in SHAPES.items()}
+    dx = np.empty((len(target), p["mix"].shape[0]), np.float32)
+    for a in range(0, len(target), CHUNK):
+        _, (x, h, gated, dz, sz, dy, sy, group, place, row) = forward(p, context[a : a + CHUNK], target[a : a + CHUNK])
+        dz /= (sz * n)[:, None]
+        dy /= (sy * n)[:, None]
+        dz[row, group] -= 1 / n
+        dy[row, place] -= 1 / n
+        dgated = dy @ p["place"].T
+        dh = (dz @ p["group"].T + dgated * p["gate"].take(group, axis=0)) * (1 - h * h)
+        dx[a : a + CHUNK] = dh @ p["mix"].T
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        for k, values in (("gate", dgated * h), ("place0", dy)):
+            out[k][group[first]] += np.add.reduceat(values, first, axis=0)
+        for k, values in (("mix", x.T @ dh), ("mix0", dh.sum(axis=0)), ("group", h.T @ dz), ("group0", dz.sum(axis=0)), ("place", gated.T @ dy)):
+            out[k] += values
+    return out | {"embed": _scatter(context.ravel(), dx.reshape(-1, DIM), IDS)}
 
 
 def pack(p: Params) -> np.ndarray:

@@ -121,3 +121,32 @@ def test_order_is_learned(spark):
 
 def test_empty_table(none):
     assert score(none, train(none)).count() == 0 and train_and_score(none).count() == 0
+
+
+def test_gradient_in_blocks_is_that_of_all_at_once():
+    """Over several blocks and groups the same as by summing what each target adds to each cell."""
+    rng, L = np.random.default_rng(5), pseudo_likelihood
+    n = 2 * L.CHUNK + 77
+    p = L.start(1e5 / np.arange(1, L.IDS + 1), 3)
+    p |= {"gate": rng.normal(size=L.SHAPES["gate"]).astype(np.float32)}
+    target, context = rng.integers(0, L.IDS, n), rng.integers(0, L.IDS, (n, 2 * L.SIDE))
+    logs, (x, h, gated, ez, sz, ey, sy, group, place, row) = L.forward(p, context, target)
+    dz, dy = ez / sz[:, None], ey / sy[:, None]
+    assert np.allclose(logs, np.log(dz[row, group]) + np.log(dy[row, place]), atol=1e-4)
+    dz[row, group] -= 1
+    dy[row, place] -= 1
+    dgated = dy @ p["place"].T
+    dh = (dz @ p["group"].T + dgated * p["gate"][group]) * (1 - h * h)
+    embed, gate, place0 = (np.zeros(L.SHAPES[k]) for k in ("embed", "gate", "place0"))
+    np.add.at(embed, context.ravel(), (dh @ p["mix"].T).reshape(-1, L.DIM))
+    np.add.at(gate, group, dgated * h)
+    np.add.at(place0, group, dy)
+    whole = {"embed": embed, "gate": gate, "place0": place0, "mix": x.T @ dh, "mix0": dh.sum(axis=0), "group": h.T @ dz, "group0": dz.sum(axis=0), "place": gated.T @ dy}
+    found = L.gradient(p, context, target)
+    assert found.keys() == whole.keys()
+    for k, g in whole.items():
+        assert np.allclose(found[k], g / n, rtol=1e-3, atol=1e-6), k
+
+
+def test_work_on_a_word_lies_in_cache():
+    assert 2 * 4 * pseudo_likelihood.CHUNK * (pseudo_likelihood.GROUPS + pseudo_likelihood.PLACES) <= 1 << 21
